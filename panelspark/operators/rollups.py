@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.functions.numeric import rnd
+
 from panelspark.functions.bands import classify_cgpa
 from panelspark.functions.constants import CA_WEIGHT, TIER_ORDER
 from panelspark.operators.stats import correlation_long, safe_corr
@@ -81,8 +83,8 @@ def session_trends(hist: DataFrame, session: str = "session", entity: str = "stu
                    gpa: str = "gpa", cgpa: str = "cgpa", digits: int = 3) -> DataFrame:
     """Per session: mean GPA, mean CGPA, distinct entities."""
     return (hist.groupBy(session)
-            .agg(F.round(F.avg(gpa), digits).alias("average_gpa"),
-                 F.round(F.avg(cgpa), digits).alias("average_cgpa"),
+            .agg(rnd(F.avg(gpa), digits).alias("average_gpa"),
+                 rnd(F.avg(cgpa), digits).alias("average_cgpa"),
                  F.countDistinct(entity).alias("n_students"))
             .orderBy(session))
 
@@ -96,8 +98,8 @@ def course_difficulty(enr: DataFrame, courses: DataFrame, course: str = "course_
     done = enr.filter((F.col(status) == "completed") & F.col(score).isNotNull())
     agg = done.groupBy(course).agg(
         F.count(F.lit(1)).alias("n_completed"),
-        F.round(F.avg(score), 2).alias("average_score"),
-        F.round(F.avg(F.when(F.col(grade) == "F", 1.0).otherwise(0.0)), 3).alias("failure_rate"))
+        rnd(F.avg(score), 2).alias("average_score"),
+        rnd(F.avg(F.when(F.col(grade) == "F", 1.0).otherwise(0.0)), 3).alias("failure_rate"))
     return agg.join(courses, course).orderBy(F.desc("failure_rate"), course)
 
 
@@ -146,7 +148,7 @@ def calibration_correlations(pairs: dict[str, tuple[DataFrame, str, str]]) -> Da
 def missingness_profile(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 2) -> DataFrame:
     """Null percentage per column in one pass, unpivoted to ``(column, missing_pct)``."""
     cols = list(columns) if columns else df.columns
-    one = df.agg(*[F.round(F.avg(F.col(c).isNull().cast("double")) * 100, digits).alias(c) for c in cols])
+    one = df.agg(*[rnd(F.avg(F.col(c).isNull().cast("double")) * 100, digits).alias(c) for c in cols])
     return one.unpivot([], cols, "column", "missing_pct")
 
 
@@ -163,7 +165,7 @@ def overview_kpis(entities: DataFrame, scored: DataFrame, hist: DataFrame, entit
                        (F.count_if(F.col(active)) if active else F.count(F.lit(1))).alias("active_students"))
     tiers = scored.agg(*[F.count_if(F.col(tier) == t).alias(f"at_risk_{t}") for t in reversed(TIER_ORDER)])
     latest = latest_value(hist, entity, order, "cgpa")
-    cg = latest.agg(F.round(F.coalesce(F.avg("cgpa"), F.lit(0.0)), 3).alias("average_cgpa"))
+    cg = latest.agg(rnd(F.coalesce(F.avg("cgpa"), F.lit(0.0)), 3).alias("average_cgpa"))
     out = ent.crossJoin(tiers).crossJoin(cg)
     if interventions is not None:
         out = out.crossJoin(interventions.agg(

@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.numeric import rnd
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -43,7 +45,7 @@ def correlation_long(df: DataFrame, columns: Sequence[str], digits: int = 3) ->
         for j in range(i, len(cols)):
             b = cols[j]
             name = f"_r_{i}_{j}"
-            aggs.append(F.round(safe_corr(a, b), digits).alias(name))
+            aggs.append(rnd(safe_corr(a, b), digits).alias(name))
             cells.append((a, b, name))
             if i != j:
                 cells.append((b, a, name))
