@@ -24,3 +24,13 @@ def rnd(x, digits: int = 6) -> Column:
 
 def r6(x) -> Column:
     return rnd(x, 6)
+
+
+TIE_BREAK = 1e-9
+
+
+def r6t(x) -> Column:
+    """``rnd(x + 1e-9, 6)``: for products of short decimals that land exactly on a
+    rounding tie, so an ulp of difference in the inputs cannot flip the last digit."""
+    c = F.col(x) if isinstance(x, str) else x
+    return rnd(c + F.lit(TIE_BREAK), 6)

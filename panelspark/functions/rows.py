@@ -76,25 +76,33 @@ def column_types(df: DataFrame, columns: Iterable[str] | None = None) -> tuple[l
     return numeric, categorical
 
 
-def _lineage_sources(df: DataFrame, column: str) -> set[str]:
-    """Names an output column is computed from, following aliases in the analysed plan."""
+def _rename_map(df: DataFrame) -> dict[str, set[str]]:
+    """alias -> source names for pure renames (``x AS y``) anywhere in the analysed plan.
+
+    Derived expressions (lags, windows, arithmetic) are not followed: a
+    prior-period value computed from an outcome column is a legitimate
+    feature; a bare rename of the outcome column is a leak.
+    """
+    alias_refs: dict[str, set[str]] = {}
     try:
         stack = [df._jdf.queryExecution().analyzed()]
-        alias_refs: dict[str, set[str]] = {}
         while stack:
             node = stack.pop()
             exprs = node.expressions()
             for j in range(exprs.size()):
                 e = exprs.apply(j)
-                if e.getClass().getSimpleName() == "Alias":
-                    refs = e.references().toList()
-                    names = {refs.apply(k).name() for k in range(refs.size())}
-                    alias_refs.setdefault(e.name(), set()).update(names)
+                if (e.getClass().getSimpleName() == "Alias"
+                        and e.child().getClass().getSimpleName() == "AttributeReference"):
+                    alias_refs.setdefault(e.name(), set()).add(e.child().name())
             children = node.children()
             for j in range(children.size()):
                 stack.append(children.apply(j))
     except Exception:  # pragma: no cover - lineage is best effort
-        return set()
+        return {}
+    return alias_refs
+
+
+def _lineage_sources(alias_refs: dict[str, set[str]], column: str) -> set[str]:
     seen, frontier = set(), {column}
     while frontier:
         name = frontier.pop()
@@ -120,8 +128,9 @@ def assert_no_leakage(df: DataFrame, task: str, feature_columns: Iterable[str] |
     if present:
         raise LeakageError(f"Forbidden target-outcome column(s) found in features for task '{task}': {present}")
     if check_lineage:
+        renames = _rename_map(df)
         for c in cols:
-            src = _lineage_sources(df, c)
+            src = _lineage_sources(renames, c)
             hit = sorted(forbidden.intersection(src) - {c})
             if hit:
                 raise LeakageError(f"Feature '{c}' for task '{task}' is derived from forbidden column(s) {hit}")

@@ -8,7 +8,7 @@ from panelspark.operators import history as H
 from panelspark.operators import rollups as R
 from panelspark.operators.joins import attach_scalars
 from panelspark.plans import views as V
-from panelspark.functions.numeric import r6, rnd
+from panelspark.functions.numeric import r6, r6t, rnd
 from panelspark.plans.registry import query
 from panelspark.plans.sql_views import ALL_CTE, ENR, GRADED, HIST, HIST_CTE, TERM_CTE, with_views
 
@@ -87,16 +87,17 @@ def safe_ratio_tax_discount(t):
 
 
 @query("interaction_features", sql=TERM_CTE + """
-select student_id, session, semester, round(mean_attendance_rate * ca_average, 6) as attendance_x_ca_average,
+select student_id, session, semester, round(mean_attendance_rate * ca_average + 1e-9, 6) as attendance_x_ca_average,
   round(case when credit_load <> 0 then ca_average / credit_load end, 6) as ca_per_credit,
-  round(mean_attendance_rate * credit_load, 6) as attendance_x_load
+  round(mean_attendance_rate * credit_load + 1e-9, 6) as attendance_x_load
 from term""")
 def interaction_features(t):
     """Product and ratio interactions over the term rollup."""
     x = RW.interactions(V.term(t), {"attendance_x_ca_average": ("mul", "mean_attendance_rate", "ca_average"),
                                     "ca_per_credit": ("div", "ca_average", "credit_load"),
                                     "attendance_x_load": ("mul", "mean_attendance_rate", "credit_load")})
-    return x.select(*V.KEY, *[r6(c).alias(c) for c in ("attendance_x_ca_average", "ca_per_credit", "attendance_x_load")])
+    return x.select(*V.KEY, r6t("attendance_x_ca_average").alias("attendance_x_ca_average"),
+                    r6("ca_per_credit").alias("ca_per_credit"), r6t("attendance_x_load").alias("attendance_x_load"))
 
 
 @query("clip_scores", sql="""

@@ -1 +1,105 @@
-"""Registered queries."""
+"""Registered queries: sources and sinks.
+
+Every write goes to a fresh folder under the shared checkpoint folder.
+"""
+
+from pyspark.sql import functions as F
+
+from panelspark.functions.numeric import r6
+from panelspark.plans.registry import query
+from panelspark.session import scratch_path
+from panelspark.sources import files as FS
+from panelspark.sources.tables import DRIVER_TABLES, normalise_nulls
+
+
+@query("table_row_counts", sql="\nunion all\n".join(
+    f"select '{n}' as table_name, count(*) as n_rows from {n}" for n in DRIVER_TABLES))
+def table_row_counts(t):
+    """A1: every driver table loaded lazily into a name -> DataFrame map; row count of each."""
+    parts = [t[n].agg(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("n_rows")) for n in t]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("csv_snapshot_roundtrip", sql="""
+select 'customer' as table_name, count(*) as n_rows from customer
+union all select 'nation', count(*) from nation
+union all select 'orders', count(*) from orders""")
+def csv_snapshot_roundtrip(t):
+    """A3: one CSV per table + metadata JSON; re-read counts."""
+    spark = t.spark
+    base = FS.write_csv_snapshot(spark, {n: t[n] for n in ("customer", "nation", "orders")}, seed=42)
+    parts = [spark.read.option("header", True).csv(f"{base}/{n}")
+             .agg(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("n_rows")) for n in ("customer", "nation", "orders")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("replace_tables_idempotent", sql="""
+select 'orders' as table_name, count(*) as n_rows, cast(sum(o_orderkey) as bigint) as key_sum from orders""")
+def replace_tables_idempotent(t):
+    """A4: full reload written twice by overwrite; contents unchanged."""
+    spark = t.spark
+    base = scratch_path(spark, "reload")
+    FS.replace_tables({"orders": t["orders"]}, base)
+    FS.replace_tables({"orders": t["orders"]}, base)
+    o = spark.read.parquet(f"{base}/orders")
+    return o.agg(F.lit("orders").alias("table_name"), F.count(F.lit(1)).alias("n_rows"),
+                 F.sum("o_orderkey").cast("long").alias("key_sum"))
+
+
+@query("normalise_nulls_orders", sql="""
+select o_orderkey, case when o_orderstatus = 'O' then null else cast(o_custkey as int) end as o_custkey,
+  case when o_orderstatus = 'P' then null else o_totalprice end as o_totalprice
+from orders""")
+def normalise_nulls_orders(t):
+    """A5: NaN injected by status, then NaN -> NULL and the declared int column cast back."""
+    nan = F.lit(float("nan"))
+    o = t["orders"].select("o_orderkey",
+                           F.when(F.col("o_orderstatus") == "O", nan).otherwise(F.col("o_custkey").cast("double")).alias("o_custkey"),
+                           F.when(F.col("o_orderstatus") == "P", nan).otherwise(F.col("o_totalprice")).alias("o_totalprice"))
+    return normalise_nulls(o, ["o_custkey"])
+
+
+@query("replace_by_key_customer", sql="""
+select c_custkey, c_name, case when c_acctbal > 9000 then c_acctbal + 1 else c_acctbal end as c_acctbal from customer""")
+def replace_by_key_customer(t):
+    """Rows of a changed batch replace theirs by key, others kept; applied twice (idempotent)."""
+    spark = t.spark
+    base_path = scratch_path(spark, "customers-base")
+    t["customer"].select("c_custkey", "c_name", "c_acctbal").write.parquet(base_path)
+    new = (t["customer"].filter(F.col("c_acctbal") > 9000)
+           .select("c_custkey", "c_name", (F.col("c_acctbal") + 1).alias("c_acctbal")))
+    once = FS.write_replace_by_key(spark, base_path, new, "c_custkey")
+    twice = FS.write_replace_by_key(spark, once, new, "c_custkey")
+    return spark.read.parquet(twice).select("c_custkey", "c_name", r6("c_acctbal").alias("c_acctbal"))
+
+
+@query("append_log_scores", sql=__import__("panelspark.plans.sql_views", fromlist=["ALL_CTE"]).ALL_CTE + ","
+       + __import__("panelspark.plans.scoring", fromlist=["OPEN_SQL"]).OPEN_SQL + """
+select student_id, risk_tier, round(probability, 6) as probability from tiered""")
+def append_log_scores(t):
+    """Scored open periods appended to a prediction log with a JSON payload, read back."""
+    from panelspark.plans.scoring import scored_open
+    spark = t.spark
+    path = scratch_path(spark, "prediction-log")
+    s = scored_open(t).select("student_id", "probability", "risk_tier")
+    FS.append_log(s, path, ["probability", "risk_tier"])
+    log = spark.read.parquet(path)
+    return log.select("student_id", F.get_json_object("payload", "$.risk_tier").alias("risk_tier"),
+                      r6(F.get_json_object("payload", "$.probability").cast("double")).alias("probability"))
+
+
+@query("write_report_fairness")
+def write_report_fairness(t):
+    """Nested fairness report (per attribute: groups array, gaps, flag) written as JSON and read back."""
+    from panelspark.plans.catalog_metrics import fairness_report_frame
+    spark = t.spark
+    path = scratch_path(spark, "fairness-report")
+    rep = fairness_report_frame(t)
+    nested = rep.groupBy("attribute").agg(
+        F.sort_array(F.collect_list(F.struct("value", "n", "accuracy", "positive_rate"))).alias("groups"),
+        F.max("any_flag").alias("flagged"))
+    FS.write_report(nested, path)
+    return spark.read.json(path)
