@@ -103,13 +103,13 @@ def exact_quantiles(df: DataFrame, value_col: str, qs: Sequence[float], partitio
     counts = (df.filter(F.col(value_col).isNotNull())
               .groupBy(*parts, F.col(value_col).alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
     cum = ordered_cumsum(counts, "_v", ["_n"], parts, buckets=buckets)
-    totals = counts.groupBy(*parts).agg(F.sum("_n").alias("_N"))
-    cum = cum.join(F.broadcast(totals), parts) if not parts else cum.join(totals, parts)
+    totals = counts.groupBy(*parts).agg(F.sum("_n").alias("_total"))
+    cum = cum.crossJoin(F.broadcast(totals)) if not parts else cum.join(totals, parts)
     aggs = []
     for q, name in zip(qs, names):
-        pos = (F.col("_N") - 1) * F.lit(float(q))
+        pos = (F.col("_total") - 1) * F.lit(float(q))
         klo = F.floor(pos)
-        khi = F.least(klo + 1, F.col("_N") - 1)
+        khi = F.least(klo + 1, F.col("_total") - 1)
         aggs += [F.min(F.when(F.col("_n_cum") > klo, F.col("_v"))).alias(f"_lo_{name}"),
                  F.min(F.when(F.col("_n_cum") > khi, F.col("_v"))).alias(f"_hi_{name}"),
                  F.first(pos - klo).alias(f"_fr_{name}")]
