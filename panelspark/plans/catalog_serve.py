@@ -1 +1,205 @@
-"""Registered queries."""
+"""Registered queries: served datasets (P2, P5-P8), sort/limit (F1-F3) and wish-list."""
+
+from pyspark.sql import functions as F
+
+from panelspark.functions.numeric import r6
+from panelspark.operators import rollups as R
+from panelspark.operators import select as SEL
+from panelspark.operators import serve as SV
+from panelspark.plans import scoring as S
+from panelspark.plans import views as V
+from panelspark.plans.registry import query
+from panelspark.plans.sql_views import ALL_CTE, ENR, HIST_CTE, with_views
+
+TIERED = ALL_CTE + "," + S.OPEN_SQL + "\n"
+
+
+def _entities(t):
+    c = t["customer"].select(F.col("c_custkey").alias("student_id"), F.col("c_name").alias("name"),
+                             F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("department"))
+    return c
+
+
+@query("at_risk_register", headline=True, sql=TIERED + """
+select t.student_id, round(t.probability, 6) as probability, t.risk_tier, c.c_name as name, c.c_mktsegment as department,
+  c.c_nationkey as nation
+from tiered t join customer c on t.student_id = c.c_custkey""")
+def at_risk_register(t):
+    """Open-period register with entity attributes, probability-descending."""
+    s = S.scored_open(t).select("student_id", "probability", "risk_tier")
+    r = SV.at_risk_register(s, _entities(t))
+    return r.select("student_id", r6("probability").alias("probability"), "risk_tier", "name", "department", "nation")
+
+
+@query("ranked_register_high", sql=TIERED + """
+select t.student_id, round(t.probability, 6) as probability, c.c_name as name
+from tiered t join customer c on t.student_id = c.c_custkey where t.risk_tier = 'high'""")
+def ranked_register_high(t):
+    """the register filtered to one tier (filter before the join)."""
+    s = S.scored_open(t).select("student_id", "probability", "risk_tier")
+    r = SEL.ranked_register(s, _entities(t), "student_id", tier="high")
+    return r.select("student_id", r6("probability").alias("probability"), "name")
+
+
+@query("paginate_customers", sql="""
+select c_custkey, c_name from customer order by c_custkey limit 50 offset 100""")
+def paginate_customers(t):
+    """page 3 of 50 under a total order (offset/limit; keyset variant in ``page_after``)."""
+    return SEL.paginate(t["customer"].select("c_custkey", "c_name"), ["c_custkey"], 3, 50)
+
+
+@query("top_failing_courses", sql=with_views(ENR) + """,
+g as (select *, case when total_score < 40 then 'F' else 'P' end as grade from enr where status = 'completed')
+select course_id, round(avg(case when grade = 'F' then 1.0 else 0.0 end), 3) as failure_rate, count(*) as n_completed
+from g group by course_id order by failure_rate desc, course_id limit 15""")
+def top_failing_courses(t):
+    """the 15 courses with the highest failure rate (top-k without a full sort)."""
+    d = R.course_difficulty(V.graded(t), V.courses(t).select("course_id"))
+    return SEL.top_k(d.select("course_id", "failure_rate", "n_completed"), 15,
+                     [F.desc("failure_rate"), F.col("course_id")])
+
+
+@query("seeded_sample_orders")
+def seeded_sample_orders(t):
+    """exactly min(100, N) orders chosen by a seeded hash: same rows on any partitioning."""
+    return SEL.seeded_sample_n(t["orders"].select("o_orderkey", "o_custkey"), 100, "o_orderkey", 42)
+
+
+GRANTS_SQL = """grants as (
+  select 'adviser-' || cast(c_nationkey as varchar) as user_id, 'adviser' as role, c_custkey as student_id from customer
+  union
+  select distinct 'lecturer-' || p.p_brand, 'lecturer', o.o_custkey from lineitem l
+    join orders o on l.l_orderkey = o.o_orderkey join part p on l.l_partkey = p.p_partkey
+  union
+  select 'student-' || cast(c_custkey as varchar), 'student', c_custkey from customer)"""
+
+
+def grants(t):
+    c = t["customer"]
+    adv = c.select(F.concat(F.lit("adviser-"), F.col("c_nationkey").cast("string")).alias("user_id"),
+                   F.col("c_custkey").alias("student_id"))
+    li = t["lineitem"].select("l_orderkey", "l_partkey")
+    o = t["orders"].select("o_orderkey", "o_custkey")
+    p = t["part"].select("p_partkey", "p_brand")
+    lec = (li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
+           .select(F.concat(F.lit("lecturer-"), F.col("p_brand")).alias("user_id"), F.col("o_custkey").alias("student_id")))
+    stu = c.select(F.concat(F.lit("student-"), F.col("c_custkey").cast("string")).alias("user_id"),
+                   F.col("c_custkey").alias("student_id"))
+    return SV.build_grants({"adviser": adv, "lecturer": lec, "student": stu})
+
+
+@query("scope_counts", sql="with " + GRANTS_SQL + """
+select user_id, role, count(distinct student_id) as n_students from grants group by user_id, role""")
+def scope_counts(t):
+    """Rows in scope per user for every adviser / lecturer / student user (grant semi-joins)."""
+    g = grants(t)
+    return g.groupBy("user_id", "role").agg(F.countDistinct("student_id").alias("n_students"))
+
+
+@query("scoped_open_orders", sql="with " + GRANTS_SQL + """
+select g.user_id, o.o_orderkey, cast(cast(o.o_orderdate as date) as varchar) as order_date
+from grants g join orders o on g.student_id = o.o_custkey
+where g.role = 'adviser' and o.o_orderstatus = 'O'""")
+def scoped_open_orders(t):
+    """Each adviser's in-scope log rows with a status filter, newest first."""
+    g = grants(t).filter(F.col("role") == "adviser")
+    o = t["orders"].filter(F.col("o_orderstatus") == "O").select(F.col("o_custkey").alias("student_id"), "o_orderkey",
+                                                                 "o_orderdate")
+    x = SV.scoped_rows_all_users(o, g)
+    return (x.orderBy(F.desc("o_orderdate"), "o_orderkey")
+            .select("user_id", "o_orderkey", F.to_date("o_orderdate").cast("string").alias("order_date")))
+
+
+@query("register_report", sql=TIERED + """
+select t.student_id, coalesce(c.c_name, '-') as name, coalesce(cast(l.level as varchar), '-') as level,
+  upper(substr(t.risk_tier, 1, 1)) || substr(t.risk_tier, 2) as tier,
+  printf('%.1f', round(t.probability * 100, 1)) || '%' as risk
+from tiered t left join customer c on t.student_id = c.c_custkey
+left join (select student_id, session, semester, level from (
+    select student_id, session, semester, level,
+      row_number() over (partition by student_id, session, semester order by n desc, level) as rk
+    from (select student_id, session, semester, level, count(*) as n from enr group by all) c) r where rk = 1) l
+  on t.student_id = l.student_id and t.session = l.session and t.semester = l.semester
+where t.risk_tier in ('high', 'critical')""")
+def register_report(t):
+    """High + critical register as report text: name, level, capitalised tier, '12.3%'."""
+    s = S.scored_open(t).select(*V.KEY, "probability", "risk_tier")
+    lvl = R.term_rollup(V.enrolments(t), V.KEY, with_difficulty=False).select(*V.KEY, "level")
+    x = s.join(V.students(t).select("student_id", "name"), "student_id", "left").join(lvl, list(V.KEY), "left")
+    return SV.register_report(x)
+
+
+@query("entity_profiles", sql=HIST_CTE + """
+select c.c_custkey as student_id, c.c_name as name, h.n_history, h.first_session, round(h.last_cgpa, 6) as last_cgpa,
+  e.n_enrolments, e.n_courses
+from customer c
+left join (select student_id, count(*) as n_history, min(session) as first_session,
+    arg_max(cgpa, session * 10 + semester) as last_cgpa from hist group by student_id) h on c.c_custkey = h.student_id
+left join (select student_id, count(*) as n_enrolments, count(distinct course_id) as n_courses from enr group by student_id) e
+  on c.c_custkey = e.student_id""")
+def entity_profiles(t):
+    """P5: entity with its period-ordered history (nested) and enrolment counts; flattened here."""
+    p = SV.entity_profile(V.students(t).select("student_id", "name"), V.history(t), V.enrolments(t))
+    return p.select("student_id", "name", "n_history", F.col("history")[0]["session"].alias("first_session"),
+                    r6(F.element_at("history", -1)["cgpa"]).alias("last_cgpa"), "n_enrolments", "n_courses")
+
+
+@query("entity_forecast")
+def entity_forecast(t):
+    """Per open entity, risk (reference scorer) + GPA forecast with interval and projected
+    CGPA + per-open-course score forecasts (nested, bounded by the term's course load)."""
+    from panelspark.functions import rows as RW
+    s = S.scored_open(t)
+    ext = S.extended_lagged(t).select(*V.KEY, "prior_gpa", "semesters_completed", "gpa")
+    hist_err = S.extended_lagged(t).filter(F.col("gpa").isNotNull()).select(
+        (F.col("gpa") - F.coalesce("prior_gpa", F.lit(2.5))).alias("_e"))
+    rmse = hist_err.agg(F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"))
+    x = s.join(ext.drop("gpa"), list(V.KEY)).crossJoin(F.broadcast(rmse))
+    point, lo, hi = RW.prediction_interval(F.coalesce("prior_gpa", F.lit(2.5)), F.col("rmse"), 0.0, 5.0)
+    x = x.select(*V.KEY, "probability", "risk_tier", point.alias("predicted_gpa"), lo.alias("gpa_lower"),
+                 hi.alias("gpa_upper"),
+                 RW.blend_running_mean("prior_cgpa", "semesters_completed", point).alias("projected_cgpa"))
+    items = (V.enrolments(t).filter(F.col("status") == "ongoing")
+             .groupBy(*V.KEY).agg(F.sort_array(F.collect_list(F.struct(
+                 "course_id", (F.col("ca_score") / 0.3 * F.col("attendance_rate")).alias("predicted_score")))).alias("items")))
+    return x.join(items, list(V.KEY), "left")
+
+
+@query("gpa_histogram", sql=HIST_CTE + """,
+dom as (select range as bin from range(0, 10)),
+b as (select least(cast(floor(gpa / 0.5) as int), 9) as bin from hist)
+select d.bin, round(d.bin * 0.5, 6) as lower_edge, coalesce(c.n, 0) as n
+from dom d left join (select bin, count(*) as n from b group by bin) c on d.bin = c.bin""")
+def gpa_histogram(t):
+    """Fixed-width GPA histogram (0.5 wide, top bin closed), zero-filled over the domain."""
+    h = V.history(t).select(F.least(F.floor(F.col("gpa") / 0.5).cast("int"), F.lit(9)).alias("bin"))
+    counts = h.groupBy("bin").agg(F.count(F.lit(1)).alias("_n"))
+    dom = t.spark.range(0, 10).select(F.col("id").cast("int").alias("bin"))
+    return (dom.join(counts, "bin", "left")
+            .select("bin", r6(F.col("bin") * 0.5).alias("lower_edge"), F.coalesce("_n", F.lit(0)).cast("long").alias("n")))
+
+
+@query("scatter_fit", sql=with_views(ENR) + """
+select round(regr_slope(total_score, attendance_rate), 6) as slope,
+  round(regr_intercept(total_score, attendance_rate), 6) as intercept,
+  round(regr_r2(total_score, attendance_rate), 6) as r2, count(total_score) as n
+from enr where status = 'completed'""")
+def scatter_fit(t):
+    """Least-squares fit of score on attendance (the chart's points come from F4)."""
+    e = V.enrolments(t).filter(F.col("status") == "completed")
+    return e.agg(r6(F.regr_slope("total_score", "attendance_rate")).alias("slope"),
+                 r6(F.regr_intercept("total_score", "attendance_rate")).alias("intercept"),
+                 r6(F.regr_r2("total_score", "attendance_rate")).alias("r2"),
+                 F.count("total_score").alias("n"))
+
+
+@query("level_comparison", sql=with_views(ENR) + """,
+g as (select *, case when total_score >= 70 then 5 when total_score >= 60 then 4 when total_score >= 50 then 3
+    when total_score >= 45 then 2 when total_score >= 40 then 1 else 0 end as gp from enr where status = 'completed')
+select level, round(avg(gp), 6) as mean_grade_point, count(*) as n, round(stddev_samp(gp), 6) as sd_grade_point
+from g group by level""")
+def level_comparison(t):
+    """S3: grade points compared across course levels."""
+    g = V.graded(t)
+    return g.groupBy("level").agg(r6(F.avg("grade_point")).alias("mean_grade_point"), F.count(F.lit(1)).alias("n"),
+                                  r6(F.stddev_samp("grade_point")).alias("sd_grade_point"))
