@@ -20,22 +20,23 @@ def _div0(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / b.cast("double"))
 
 
-def confusion_cells(df: DataFrame, y: str = "y_true", pred: str = "y_pred") -> DataFrame:
+def confusion_cells(df: DataFrame, y: str = "y_true", pred: str = "y_pred", by=()) -> DataFrame:
     yt, yp = F.col(y).cast("int"), F.col(pred).cast("int")
-    return df.agg(F.count_if((yt == 0) & (yp == 0)).alias("tn"), F.count_if((yt == 0) & (yp == 1)).alias("fp"),
-                  F.count_if((yt == 1) & (yp == 0)).alias("fn"), F.count_if((yt == 1) & (yp == 1)).alias("tp"))
+    aggs = [F.count_if((yt == 0) & (yp == 0)).alias("tn"), F.count_if((yt == 0) & (yp == 1)).alias("fp"),
+            F.count_if((yt == 1) & (yp == 0)).alias("fn"), F.count_if((yt == 1) & (yp == 1)).alias("tp")]
+    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
 
-def confusion_and_prf(df: DataFrame, y: str = "y_true", pred: str = "y_pred") -> DataFrame:
-    """2x2 matrix, accuracy, macro P/R/F1 and weighted F1 in one row (M1)."""
-    c = confusion_cells(df, y, pred)
+def confusion_and_prf(df: DataFrame, y: str = "y_true", pred: str = "y_pred", by=()) -> DataFrame:
+    """2x2 matrix, accuracy, macro P/R/F1 and weighted F1 in one row (per ``by`` group) (M1)."""
+    c = confusion_cells(df, y, pred, by)
     tn, fp, fn, tp = (F.col(k) for k in ("tn", "fp", "fn", "tp"))
     n = tn + fp + fn + tp
     p1, r1 = _div0(tp, tp + fp), _div0(tp, tp + fn)
     p0, r0 = _div0(tn, tn + fn), _div0(tn, tn + fp)
     f1 = F.when((p1 + r1) == 0, 0.0).otherwise(2 * p1 * r1 / (p1 + r1))
     f0 = F.when((p0 + r0) == 0, 0.0).otherwise(2 * p0 * r0 / (p0 + r0))
-    return c.select("tn", "fp", "fn", "tp",
+    return c.select(*by, "tn", "fp", "fn", "tp",
                     _div0(tp + tn, n).alias("accuracy"),
                     ((p0 + p1) / 2).alias("precision_macro"),
                     ((r0 + r1) / 2).alias("recall_macro"),
