@@ -94,16 +94,18 @@ def _prepared_panel(t):
 @query("smote_minority")
 def smote_minority(t):
     """K9: synthetic at-risk rows from sorted random-projection neighbourhoods (training rows only)."""
+    from panelspark.session import cut_lineage
     fs, numeric, categorical = _prepared_panel(t)
-    df = fs.df.withColumn("row_id", F.concat_ws("-", *[F.col(c).cast("string") for c in fs.meta_cols]))
+    df = cut_lineage(fs.df.withColumn("row_id", F.concat_ws("-", *[F.col(c).cast("string") for c in fs.meta_cols])))
     prep = Pipeline(stages=P.prep_stages(numeric, categorical)).fit(df)
     x = prep.transform(df).select("row_id", "features", "risk_label")
     return P.smote(x, "features", "risk_label", "row_id", k=5, ratio=1.0)
 
 
 def _panel_with_folds(t, k=3):
+    from panelspark.session import cut_lineage
     fs, numeric, categorical = _prepared_panel(t)
-    df = P.group_folds(fs.df, "student_id", k)
+    df = cut_lineage(P.group_folds(fs.df, "student_id", k))
     return df, numeric, categorical
 
 
@@ -228,8 +230,9 @@ def comparison_table(t):
 def registry_record(t):
     """Fit the logistic pipeline, save it under the shared folder, emit its registry row."""
     from pyspark.ml.classification import LogisticRegression
+    from panelspark.session import cut_lineage
     fs, numeric, categorical = _prepared_panel(t)
-    df = fs.df.withColumn("label", F.col("risk_label").cast("double"))
+    df = cut_lineage(fs.df.withColumn("label", F.col("risk_label").cast("double")))
     model = Pipeline(stages=[*P.prep_stages(numeric, categorical), LogisticRegression(maxIter=50)]).fit(df)
     scored = model.transform(df)
     metrics = M.confusion_and_prf(scored, "label", "prediction").first().asDict()

@@ -120,6 +120,9 @@ def _open_lineitems(t):
     return t["lineitem"].join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
 
 
+ORACLES_SCORE = None
+
+
 @query("score_updates", sql="with " + OPEN_LI + """,
 u as (select *, round(l_tax * 875, 2) as exam from li where l_linestatus = 'O'),
 v as (select *, round(l_discount * 300, 2) as ca from li where l_returnflag = 'R'),
@@ -243,3 +246,6 @@ def null_out_orders(t):
     """Seeded, partition-independent nulling of 4-8% per column (checked against D13 bounds in tests)."""
     o = t["orders"].select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
     return Q.null_out(o, ["o_totalprice", "o_orderpriority", "o_orderstatus"], ["o_orderkey"])
+
+
+ORACLES_SCORE = __import__("panelspark.plans.registry", fromlist=["ORACLES"]).ORACLES["score_updates"]

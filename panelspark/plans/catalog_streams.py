@@ -1 +1,82 @@
-"""Registered queries."""
+"""Registered queries: streaming re-aims (Q1-Q3), each driven to completion with availableNow."""
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from panelspark.functions.numeric import r6
+from panelspark.operators import quality as Q
+from panelspark.plans.registry import ORACLES, query
+from panelspark.session import scratch_path
+from panelspark.streaming import streams as ST
+
+
+def _score_update_inputs(t):
+    from panelspark.functions.numeric import rnd
+    from panelspark.plans.catalog_quality import ENR_KEY, _open_lineitems
+    li = _open_lineitems(t)
+    base = li.select(*ENR_KEY, (F.col("l_quantity") * 0.6).alias("ca_score"),
+                     F.lit(None).cast("double").alias("exam_score"), F.lit(None).cast("double").alias("total_score"),
+                     F.lit(None).cast("string").alias("grade"), F.lit(None).cast("int").alias("grade_point"),
+                     F.lit("ongoing").alias("status"), F.lit(False).alias("is_carryover"))
+    u1 = li.filter(F.col("l_linestatus") == "O").select(*ENR_KEY, F.lit(None).cast("double").alias("ca_score"),
+                                                        rnd(F.col("l_tax") * 875, 2).alias("exam_score"), F.lit(1).alias("seq"))
+    u2 = li.filter(F.col("l_returnflag") == "R").select(*ENR_KEY, rnd(F.col("l_discount") * 300, 2).alias("ca_score"),
+                                                        F.lit(None).cast("double").alias("exam_score"), F.lit(2).alias("seq"))
+    return base, u1, u2, ENR_KEY
+
+
+@query("stream_score_updates")
+def stream_score_updates(t):
+    """Q1: score updates arrive as a file stream (two files, one per trigger) and are merged
+    batch by batch with ``foreachBatch``; each batch writes a new version folder."""
+    spark = t.spark
+    base, u1, u2, key = _score_update_inputs(t)
+    base_path = scratch_path(spark, "enr-base")
+    base.write.parquet(base_path)
+    upd_dir = scratch_path(spark, "score-updates")
+    u1.coalesce(1).write.mode("append").parquet(upd_dir)
+    u2.coalesce(1).write.mode("append").parquet(upd_dir)
+    stream = ST.file_stream(spark, upd_dir, u1.schema, max_files=1)
+    out_root = scratch_path(spark, "enr-versions")
+    q = ST.stream_updates(stream, base_path, lambda cur, b: Q.apply_score_updates(cur, b, key), scratch_path(spark, "q1-ckpt"),
+                          out_root)
+    q.awaitTermination()
+    final = spark.read.parquet(ST.latest_version_path(spark, out_root))
+    return final.select(*key, r6("ca_score").alias("ca_score"), "exam_score", "total_score", "grade", "grade_point",
+                        "status", "is_carryover")
+
+
+@query("stream_latest_event")
+def stream_latest_event(t):
+    """Q2: latest event per user as a streaming aggregation in update mode."""
+    spark = t.spark
+    ev = t["events"]
+    src = ST.file_stream(spark, t.base, ev.schema, glob="events.parquet")
+    latest = ST.stream_latest(src, "user_id", ["ts", "event_id"], ["event_id", "event_type", "value"])
+    out = ST.run_to_table(latest, "update", "q2", spark)
+    w = Window.partitionBy("user_id").orderBy(F.desc("batch"))
+    final = out.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "batch")
+    return final.select("user_id", "event_id", "event_type", r6("value").alias("value"))
+
+
+@query("stream_engagement_windows", sql="""
+select strftime(to_timestamp(floor(epoch(ts) / 604800) * 604800), '%Y-%m-%d %H:%M:%S') as window_start, user_id,
+  count(*) as logins, cast(sum(case when event_type = 'purchase' then 1 else 0 end) as bigint) as submitted,
+  round(avg(value), 6) as study_hours
+from events group by all""")
+def stream_engagement_windows(t):
+    """Q3: 7-day event-time windows per user with a 1-day watermark, update mode."""
+    spark = t.spark
+    ev = t["events"]
+    src = ST.file_stream(spark, t.base, ev.schema, glob="events.parquet")
+    win = ST.stream_windows(src, "ts", "user_id")
+    out = ST.run_to_table(win, "update", "q3", spark)
+    w = Window.partitionBy("window_start", "user_id").orderBy(F.desc("batch"))
+    final = out.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
+    return final.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "user_id",
+                        "logins", F.col("submitted").cast("long").alias("submitted"), r6("study_hours").alias("study_hours"))
+
+
+# Q1 / Q2 compute the same result as their batch counterparts.
+ORACLES["stream_score_updates"] = __import__("panelspark.plans.catalog_quality", fromlist=["x"]).ORACLES_SCORE
+ORACLES["stream_latest_event"] = ORACLES.get("latest_event_per_user", "")

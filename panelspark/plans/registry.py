@@ -42,5 +42,6 @@ def load_all() -> None:
     from panelspark.plans import (  # noqa: F401
         catalog_rows, catalog_joins, catalog_rollups, catalog_history, catalog_quality,
         catalog_features, catalog_metrics, catalog_explain, catalog_serve, catalog_models,
-        catalog_sources, catalog_streams,
+        catalog_sources,
     )
+    from panelspark.plans import catalog_streams  # noqa: F401  (reuses oracles registered above)

@@ -23,7 +23,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     DecisionTreeRegressor, FMRegressor, GBTRegressor, GeneralizedLinearRegression, LinearRegression,
@@ -69,8 +69,7 @@ def platt_svm(features: str = "features", label: str = "label", reg: float = 0.0
     """Linear SVM + Platt scaling: a logistic regression on the SVM margin yields probabilities."""
     return [LinearSVC(featuresCol=features, labelCol=label, regParam=reg, rawPredictionCol="svm_raw",
                       predictionCol="svm_pred"),
-            SQLTransformer(statement="SELECT *, vector_to_array(svm_raw)[1] AS svm_margin FROM __THIS__"),
-            VectorAssembler(inputCols=["svm_margin"], outputCol="svm_margin_vec"),
+            VectorSlicer(inputCol="svm_raw", outputCol="svm_margin_vec", indices=[1]),
             LogisticRegression(featuresCol="svm_margin_vec", labelCol=label)]
 
 
@@ -122,49 +121,61 @@ def _prob(df: DataFrame) -> DataFrame:
     return df.withColumn("y_score", vector_to_array("probability")[1])
 
 
+def _metrics_row(task, name, kind, oof, insample, temporal):
+    if kind == "classification":
+        cv = M.confusion_and_prf(oof, "label", "prediction").first()
+        ins = M.confusion_and_prf(insample, "label", "prediction").first()
+        tmp = M.confusion_and_prf(temporal, "label", "prediction").first()
+        auc = M.roc_auc(_prob(oof), "label", "y_score").first()["roc_auc"]
+        per_fold = (oof.groupBy("fold").agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("a"))
+                    .agg(F.stddev_pop("a")).first()[0])
+        return (task, name, float(cv["f1_macro"]), float(per_fold or 0.0), float(cv["accuracy"]),
+                float(ins["accuracy"]), float(ins["accuracy"]) - float(cv["f1_macro"]),
+                float(tmp["f1_macro"]), float(tmp["accuracy"]), float(auc) if auc is not None else None, None)
+    cv = M.regression_metrics(oof, "label", "prediction").first()
+    ins = M.regression_metrics(insample, "label", "prediction").first()
+    tmp = M.regression_metrics(temporal, "label", "prediction").first()
+    return (task, name, float(cv["r2"]), None, None, float(ins["r2"]), float(ins["r2"]) - float(cv["r2"]),
+            float(tmp["r2"]), None, None, float(cv["rmse"]))
+
+
 def compare(df: DataFrame, task: str, kind: str, numeric: Sequence[str], categorical: Sequence[str], label_col: str,
             time_col: str, k: int = 3, algorithms: Sequence[str] | None = None) -> DataFrame:
     """L1/L2 + L4-L7: per algorithm, out-of-fold CV score, in-sample score and gap, temporal
     refit score (train on earlier periods, test on the latest), leakage redaction.
 
-    ``df`` must carry a ``fold`` column.  Returns a metrics DataFrame.
+    ``df`` must carry a ``fold`` column.  The feature table is checkpointed
+    once (lineage cut in the shared checkpoint folder); the prep stages are
+    fitted once per split on that split's training rows only, and the
+    prepared split is cached and shared by all algorithms.
     """
     from panelspark.plans.prep import temporal_split
+    from panelspark.session import cut_lineage
     spark = df.sparkSession
-    data = _with_label(df, label_col).cache()
-    prep = prep_stages(numeric, categorical)
-    if kind == "classification":
-        nfeat = n_features_after_prep(data, numeric, categorical)
-        algos = classifiers(nfeat)
-    else:
-        algos = regressors()
-    rows = []
+    data = cut_lineage(_with_label(df, label_col))
     train, test = temporal_split(data, time_col)
-    for name, est in algos.items():
-        if algorithms and name not in algorithms:
+    splits = [(f"fold{i}", data.filter(F.col("fold") != i), data.filter(F.col("fold") == i)) for i in range(k)]
+    splits += [("full", data, data), ("temporal", train, test)]
+    prepared = []
+    for name, tr, te in splits:
+        pm = Pipeline(stages=prep_stages(numeric, categorical)).fit(tr)
+        prepared.append((name, pm.transform(tr).cache(), pm.transform(te).cache()))
+    nfeat = len(prepared[0][1].select("features").first()["features"])
+    algos = classifiers(nfeat) if kind == "classification" else regressors()
+    rows = []
+    for algo, est in algos.items():
+        if algorithms and algo not in algorithms:
             continue
-        stages = [*prep, *est]
-        oof = out_of_fold(data, stages, k)
-        full = Pipeline(stages=stages).fit(data)
-        insample = full.transform(data)
-        temporal = Pipeline(stages=stages).fit(train).transform(test)
-        if kind == "classification":
-            cv = M.confusion_and_prf(oof, "label", "prediction").first()
-            ins = M.confusion_and_prf(insample, "label", "prediction").first()
-            tmp = M.confusion_and_prf(temporal, "label", "prediction").first()
-            auc = M.roc_auc(_prob(oof), "label", "y_score").first()["roc_auc"]
-            per_fold = (oof.groupBy("fold").agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("a"))
-                        .agg(F.stddev_pop("a")).first()[0])
-            rows.append((task, name, float(cv["f1_macro"]), float(per_fold or 0.0), float(cv["accuracy"]),
-                         float(ins["accuracy"]), float(ins["accuracy"]) - float(cv["f1_macro"]),
-                         float(tmp["f1_macro"]), float(tmp["accuracy"]), float(auc) if auc is not None else None, None))
-        else:
-            cv = M.regression_metrics(oof, "label", "prediction").first()
-            ins = M.regression_metrics(insample, "label", "prediction").first()
-            tmp = M.regression_metrics(temporal, "label", "prediction").first()
-            rows.append((task, name, float(cv["r2"]), None, None, float(ins["r2"]), float(ins["r2"]) - float(cv["r2"]),
-                         float(tmp["r2"]), None, None, float(cv["rmse"])))
-    data.unpersist()
+        preds = {}
+        for name, tr, te in prepared:
+            preds[name] = Pipeline(stages=est).fit(tr).transform(te)
+        oof = preds["fold0"]
+        for i in range(1, k):
+            oof = oof.unionByName(preds[f"fold{i}"], allowMissingColumns=True)
+        rows.append(_metrics_row(task, algo, kind, oof, preds["full"], preds["temporal"]))
+    for _, tr, te in prepared:
+        tr.unpersist()
+        te.unpersist()
     schema = ("task string, algorithm string, cv_score double, cv_std double, cv_accuracy double, "
               "in_sample double, train_test_gap double, temporal_score double, temporal_accuracy double, "
               "roc_auc double, rmse double")

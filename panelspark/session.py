@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 # except the skew factors, which we tighten so a key holding a third of the
 # rows is always split.
 SQL_DEFAULTS = {
+    "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
