@@ -34,25 +34,35 @@ def safe_corr(a, b) -> Column:
 
 
 def correlation_long(df: DataFrame, columns: Sequence[str], digits: int = 3) -> DataFrame:
-    """Full correlation matrix as ``(feature_a, feature_b, r)`` in one aggregation pass.
-
-    One partial+final aggregate over the input (no self-join, no pair
-    explosion); the F*F result is unpacked with ``inline``.
+    """Full correlation matrix as ``(feature_a, feature_b, r)``, pairwise-complete, 0 where undefined.
+
+    One pass over the input, no self-join, no shuffle of row data: every row
+    emits one small struct per column pair (both present) and
+    ``groupBy(pair)`` computes ``covar_pop`` / ``stddev_pop`` (numerically
+    stable online moments); partial aggregation leaves one row per pair per
+    task before the shuffle.  The aggregate stays three functions whatever
+    the column count - a single wide aggregate of F^2 moment functions is
+    expensive to plan and compile.
     """
     cols = list(columns)
-    aggs, cells = [], []
-    for i, a in enumerate(cols):
-        for j in range(i, len(cols)):
-            b = cols[j]
-            name = f"_r_{i}_{j}"
-            aggs.append(rnd(safe_corr(a, b), digits).alias(name))
-            cells.append((a, b, name))
-            if i != j:
-                cells.append((b, a, name))
-    one = df.agg(*aggs)
-    structs = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(n).alias("r"))
-               for a, b, n in cells]
-    return one.select(F.inline(F.array(*structs)))
+    k = len(cols)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    arr = F.array(*[F.struct(F.lit(i * k + j).alias("p"), F.col(cols[i]).cast("double").alias("a"),
+                             F.col(cols[j]).cast("double").alias("b")) for i, j in pairs])
+    long = df.select(F.inline(arr)).filter(F.col("a").isNotNull() & F.col("b").isNotNull())
+    g = long.groupBy("p").agg(F.covar_pop("a", "b").alias("c"), F.stddev_pop("a").alias("sa"),
+                              F.stddev_pop("b").alias("sb"))
+    r = rnd(F.coalesce(F.when((F.col("sa") > 0) & (F.col("sb") > 0), F.col("c") / (F.col("sa") * F.col("sb"))),
+                       F.lit(0.0)), digits)
+    res = g.select((F.col("p") / k).cast("int").alias("i"), (F.col("p") % k).cast("int").alias("j"), r.alias("r"))
+    # the pair table has k*(k+1)/2 rows (bounded by the column count): mirror it, and
+    # restore pairs without any complete row as 0
+    allp = df.sparkSession.createDataFrame(pairs, "i int, j int")
+    full = allp.join(F.broadcast(res), ["i", "j"], "left").select("i", "j", F.coalesce("r", F.lit(0.0)).alias("r"))
+    mirrored = full.unionByName(full.filter(F.col("i") != F.col("j")).select(F.col("j").alias("i"), F.col("i").alias("j"), "r"))
+    names = F.array(*[F.lit(c) for c in cols])
+    return mirrored.select(F.element_at(names, F.col("i") + 1).alias("feature_a"),
+                           F.element_at(names, F.col("j") + 1).alias("feature_b"), "r")
 
 
 def ordered_cumsum(df: DataFrame, order_col: str, sum_cols: Sequence[str], partition_cols: Sequence[str] = (),
