@@ -76,29 +76,30 @@ def column_types(df: DataFrame, columns: Iterable[str] | None = None) -> tuple[l
     return numeric, categorical
 
 
+_RENAME = None
+
+
 def _rename_map(df: DataFrame) -> dict[str, set[str]]:
     """alias -> source names for pure renames (``x AS y``) anywhere in the analysed plan.
 
     Derived expressions (lags, windows, arithmetic) are not followed: a
     prior-period value computed from an outcome column is a legitimate
-    feature; a bare rename of the outcome column is a leak.
+    feature; a bare rename of the outcome column is a leak.  The plan is
+    fetched as one tree string (a single JVM call) and scanned for
+    ``name#id AS alias#id`` entries.
     """
-    alias_refs: dict[str, set[str]] = {}
+    import re
+    global _RENAME
+    if _RENAME is None:
+        _RENAME = re.compile(r"(?<![\w.(])([A-Za-z_][A-Za-z0-9_]*)#\d+L? AS ([A-Za-z_][A-Za-z0-9_]*)#\d+")
     try:
-        stack = [df._jdf.queryExecution().analyzed()]
-        while stack:
-            node = stack.pop()
-            exprs = node.expressions()
-            for j in range(exprs.size()):
-                e = exprs.apply(j)
-                if (e.getClass().getSimpleName() == "Alias"
-                        and e.child().getClass().getSimpleName() == "AttributeReference"):
-                    alias_refs.setdefault(e.name(), set()).add(e.child().name())
-            children = node.children()
-            for j in range(children.size()):
-                stack.append(children.apply(j))
+        text = df._jdf.queryExecution().analyzed().treeString()
     except Exception:  # pragma: no cover - lineage is best effort
         return {}
+    alias_refs: dict[str, set[str]] = {}
+    for src, alias in _RENAME.findall(text):
+        if src != alias:
+            alias_refs.setdefault(alias, set()).add(src)
     return alias_refs
 
 

@@ -87,7 +87,8 @@ def history_features(hist: DataFrame, entity: str = "student_id", period: Sequen
 def prior_difficulty(offerings: DataFrame, course: str = "course_id", period: Sequence[str] = ("session", "semester"),
                      mean_col: str = "mean_score", fallback: Column | None = None,
                      completed: DataFrame | None = None, score: str = "total_score",
-                     out: str = "difficulty_index") -> DataFrame:
+                     out: str = "difficulty_index", sum_col: str | None = None,
+                     count_col: str | None = None) -> DataFrame:
     """1 - (unweighted mean of strictly prior offering means)/100; first offering -> global fallback.
 
     ``offerings`` is D2's table (one row per course offering with a
@@ -97,7 +98,12 @@ def prior_difficulty(offerings: DataFrame, course: str = "course_id", period: Se
     w = Window.partitionBy(course).orderBy(*period).rowsBetween(U, -1)
     prior = F.avg(mean_col).over(w)
     x = offerings.withColumn("_prior", prior)
-    if fallback is None:
+    if fallback is None and sum_col is not None:
+        # global mean of all completed scores = sum of offering sums / sum of offering counts
+        one = offerings.agg((1 - (F.sum(sum_col) / F.sum(count_col)) / 100).alias("_fallback"))
+        x = x.crossJoin(F.broadcast(one))
+        fb = F.col("_fallback")
+    elif fallback is None:
         one = completed.agg((1 - F.avg(score) / 100).alias("_fallback"))
         x = x.crossJoin(F.broadcast(one))
         fb = F.col("_fallback")

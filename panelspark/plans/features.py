@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.constants import CA_WEIGHT, PROBATION_THRESHOLD
 from panelspark.functions.rows import assert_no_leakage, safe_ratio
 from panelspark.operators import history as H
+from panelspark.session import cut_lineage
 
 HISTORY_FEATURES = ("prior_cgpa", "prior_gpa", "gpa_trend", "gpa_volatility", "credits_earned_ratio",
                     "carryover_count", "semesters_completed")
@@ -65,8 +66,9 @@ def term_panel(enr: DataFrame, entity: str = "student_id", course: str = "course
     """
     key = [entity, *period]
     done = (F.col("status") == "completed") & F.col("total_score").isNotNull()
-    offers = enr.filter(done).groupBy(course, *period).agg(F.avg("total_score").alias("mean_score"))
-    diff = H.prior_difficulty(offers, course, period, completed=enr.filter(done))
+    offers = enr.filter(done).groupBy(course, *period).agg(
+        F.avg("total_score").alias("mean_score"), F.sum("total_score").alias("_sum"), F.count("total_score").alias("_n"))
+    diff = H.prior_difficulty(offers, course, period, sum_col="_sum", count_col="_n")
     x = enr.join(diff, [course, *period], "left")
     completed = F.col("status") == "completed"
     agg = x.groupBy(*key).agg(
@@ -94,7 +96,8 @@ def term_panel(enr: DataFrame, entity: str = "student_id", course: str = "course
 
 def panel_features(enr: DataFrame, engagement: DataFrame, static: DataFrame, entity: str = "student_id",
                    course: str = "course_id", period: Sequence[str] = ("session", "semester"),
-                   include_current: bool = False, task: str = "risk_classification") -> FeatureSet:
+                   include_current: bool = False, task: str = "risk_classification",
+                   checkpoint: bool = True) -> FeatureSet:
     """J1 (``include_current=False``: completed periods) / J2 (open periods only).
 
     ``engagement``: entity (+ period when available) with submission_rate,
@@ -115,6 +118,11 @@ def panel_features(enr: DataFrame, engagement: DataFrame, static: DataFrame, ent
     tp = tp.withColumn("cgpa", F.when(F.col("gpa").isNotNull(), F.col("cgpa")))
     w_hist = H.history_features(tp, entity, period)
     w_hist = w_hist.withColumn("carryover_count", H.expanding_prior_sum_expr("_fails", entity, period))
+    if checkpoint:
+        # The (entity, period) grain feeds both the peer aggregate and the join back; writing it once
+        # to the shared checkpoint folder keeps the fact scans and shuffles from running twice.
+        assert_no_leakage(w_hist, task, [c for c in w_hist.columns if c in PANEL_FEATURES])
+        w_hist = cut_lineage(w_hist)
     w_hist = H.peer_deviation(w_hist, "credit_load", ["level", *period], "credit_load_vs_level_mean")
     # engagement
     eng = H.zscore(engagement, {"lms_logins_normalised": "lms_logins",
