@@ -13,15 +13,28 @@ from pyspark.sql import functions as F
 from panelspark.functions.numeric import rnd
 
 from panelspark.functions.bands import classify_cgpa
-from panelspark.functions.constants import CA_WEIGHT, TIER_ORDER
+from panelspark.functions.constants import CA_WEIGHT, LEVELS, TIER_ORDER
 from panelspark.operators.stats import correlation_long, safe_corr
 
 
+def mode_over_domain(col: str, domain: Sequence) -> object:
+    """Most frequent value of ``col`` among a fixed domain, smallest on ties, null if none.
+
+    Plain conditional counts (declarative, codegen) instead of the object
+    aggregate behind ``F.mode``; used when the value domain is a fixed rule
+    (e.g. the institution's levels).
+    """
+    cands = [F.struct(F.sum(F.when(F.col(col) == v, 1).otherwise(0)).alias("n"), F.lit(-i).alias("o"),
+                      F.lit(v).alias("v")) for i, v in enumerate(sorted(domain))]
+    best = F.greatest(*cands)
+    return F.when(best["n"] > 0, best["v"])
+
+
 def term_rollup(enr: DataFrame, key: Sequence[str], ca: str = "ca_score", att: str = "attendance_rate",
                 units: str = "units", core: str = "is_core", level: str = "level",
                 difficulty: str = "difficulty_index", with_level: bool = True, with_difficulty: bool = True,
-                with_attendance_std: bool = True) -> DataFrame:
-    """Per (entity, period) CA / attendance / load rollup."""
+                with_attendance_std: bool = True, level_domain: Sequence | None = LEVELS) -> DataFrame:
+    """Per (entity, period) CA / attendance / load rollup (D1); modal level smallest on ties."""
     aggs = [F.avg(ca).alias("ca_average"),
             F.stddev_samp(ca).alias("ca_std_dev_across_courses"),
             F.min(ca).alias("lowest_ca_score"),
@@ -36,7 +49,7 @@ def term_rollup(enr: DataFrame, key: Sequence[str], ca: str = "ca_score", att: s
     if with_difficulty:
         aggs.append(F.avg(difficulty).alias("mean_course_difficulty_index"))
     if with_level:
-        aggs.append(F.mode(level, True).alias("level"))
+        aggs.append((mode_over_domain(level, level_domain) if level_domain else F.mode(level, True)).alias("level"))
     out = enr.groupBy(*key).agg(*aggs)
     return out.withColumn("ca_to_max_ratio", F.col("ca_average") / CA_WEIGHT)
 

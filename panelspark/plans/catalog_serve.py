@@ -113,7 +113,7 @@ def scoped_open_orders(t):
 @query("register_report", sql=TIERED + """
 select t.student_id, coalesce(c.c_name, '-') as name, coalesce(cast(l.level as varchar), '-') as level,
   upper(substr(t.risk_tier, 1, 1)) || substr(t.risk_tier, 2) as tier,
-  printf('%.1f', round(t.probability * 100, 1)) || '%' as risk
+  printf('%.1f', round(t.probability * 100 + 1e-9, 1)) || '%' as risk
 from tiered t left join customer c on t.student_id = c.c_custkey
 left join (select student_id, session, semester, level from (
     select student_id, session, semester, level,

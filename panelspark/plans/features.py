@@ -22,9 +22,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.functions.constants import CA_WEIGHT, PROBATION_THRESHOLD
+from panelspark.functions.constants import CA_WEIGHT, LEVELS, PROBATION_THRESHOLD
 from panelspark.functions.rows import assert_no_leakage, safe_ratio
 from panelspark.operators import history as H
+from panelspark.operators.rollups import mode_over_domain
 from panelspark.session import cut_lineage
 
 HISTORY_FEATURES = ("prior_cgpa", "prior_gpa", "gpa_trend", "gpa_volatility", "credits_earned_ratio",
@@ -58,7 +59,7 @@ class FeatureSet:
 
 
 def term_panel(enr: DataFrame, entity: str = "student_id", course: str = "course_id",
-               period: Sequence[str] = ("session", "semester")) -> DataFrame:
+               period: Sequence[str] = ("session", "semester"), level_domain: Sequence | None = LEVELS) -> DataFrame:
     """Steps 1-2: one row per (entity, period) with rollup + GPA inputs + fail counts.
 
     ``enr`` columns: entity, course, period..., units, level, is_core, ca_score,
@@ -83,7 +84,7 @@ def term_panel(enr: DataFrame, entity: str = "student_id", course: str = "course
         F.sum("units").cast("long").alias("credit_load"),
         F.avg(F.col("is_core").cast("double")).alias("core_course_ratio"),
         F.avg("difficulty_index").alias("mean_course_difficulty_index"),
-        F.mode("level", True).alias("level"),
+        (mode_over_domain("level", level_domain) if level_domain else F.mode("level", True)).alias("level"),
         F.sum(F.when(completed, F.col("grade_point") * F.col("units"))).cast("long").alias("_pts"),
         F.sum(F.when(completed, F.col("units"))).cast("long").alias("credits_registered"),
         F.sum(F.when(completed & (F.col("grade") != "F"), F.col("units")).when(completed, 0)).cast("long")
@@ -122,7 +123,7 @@ def panel_features(enr: DataFrame, engagement: DataFrame, static: DataFrame, ent
         # The (entity, period) grain feeds both the peer aggregate and the join back; writing it once
         # to the shared checkpoint folder keeps the fact scans and shuffles from running twice.
         assert_no_leakage(w_hist, task, [c for c in w_hist.columns if c in PANEL_FEATURES])
-        w_hist = cut_lineage(w_hist)
+        w_hist = cut_lineage(w_hist, "panel-grain")
     w_hist = H.peer_deviation(w_hist, "credit_load", ["level", *period], "credit_load_vs_level_mean")
     # engagement
     eng = H.zscore(engagement, {"lms_logins_normalised": "lms_logins",

@@ -37,9 +37,26 @@ def extended_lagged(t) -> DataFrame:
 
 
 def open_panel(t) -> DataFrame:
-    """Open-period rows with prior history and current-term rollups."""
-    lag = extended_lagged(t).filter(F.col("gpa").isNull())
-    return lag.select(*V.KEY, "prior_cgpa", "gpa_trend").join(V.term(t), list(V.KEY))
+    """Open-period rows with prior history and current-term rollups.
+
+    Built from the single (entity, period) aggregate of the feature table
+    (``features.term_panel``): completed periods supply the GPA history,
+    the open period its CA/attendance rollup; one window pass by entity.
+    """
+    from panelspark.plans.catalog_features import panel_inputs
+    from panelspark.plans.features import term_panel
+    enr, _, _ = panel_inputs(t)
+    tp = term_panel(enr)
+    tp = tp.withColumn("gpa", F.when(F.col("credits_registered") > 0,
+                                     F.col("_pts") / F.col("credits_registered").cast("double")))
+    tp = tp.filter((F.col("credits_registered") > 0) | (F.col("_open") == 1))
+    tp = H.running_weighted_mean(tp, "student_id", V.PERIOD, "_pts", "credits_registered", "cgpa")
+    tp = tp.withColumn("cgpa", F.when(F.col("gpa").isNotNull(), F.col("cgpa")))
+    h = H.history_features(tp)
+    return h.filter(F.col("gpa").isNull()).select(
+        *V.KEY, "prior_cgpa", "gpa_trend", "ca_average", "ca_std_dev_across_courses", "lowest_ca_score",
+        "courses_below_ca_threshold", "mean_attendance_rate", "min_attendance_rate", "courses_below_75_percent",
+        "credit_load", "core_course_ratio", "ca_to_max_ratio")
 
 
 def logit_expr():

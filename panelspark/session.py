@@ -81,10 +81,37 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "scratch", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (never localCheckpoint): survives executor loss."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Cut lineage by writing a table into the shared checkpoint folder and reading it back.
+
+    Equivalent in safety to a reliable ``DataFrame.checkpoint`` (never
+    ``localCheckpoint``): the files live in shared storage and survive
+    executor loss.  Parquet keeps the data columnar and the plan is computed
+    once (an RDD checkpoint serialises rows and may recompute the plan).
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def spread_small_input(df: DataFrame, min_bytes: int = 8 * 1024 * 1024) -> DataFrame:
+    """Round-robin a scan that yields fewer splits than the session's parallelism.
+
+    A single-row-group file is read by one task, which then runs every
+    operator up to the first shuffle alone.  Large inputs (many splits) are
+    returned untouched, so this never adds a shuffle at scale.
+    """
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    size = estimated_bytes(df)
+    if size is None or size < min_bytes:
+        return df
+    try:
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # pragma: no cover
+        return df
+    return df.repartition(target) if parts < target else df
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
