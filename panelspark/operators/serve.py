@@ -62,7 +62,8 @@ def scoped_rows_all_users(df: DataFrame, grants: DataFrame, key: str = "student_
 
 def format_percent(p, digits: int = 1):
     """'12.3%' text of a probability."""
-    return F.concat(F.format_string(f"%.{digits}f", rnd(p * 100 + F.lit(1e-9), digits)), F.lit("%"))
+    # format_string renders null as (truncated) "null": guard it so callers can coalesce
+    return F.when(p.isNotNull(), F.concat(F.format_string(f"%.{digits}f", rnd(p * 100 + F.lit(1e-9), digits)), F.lit("%")))
 
 
 def register_report(register: DataFrame, name: str = "name", level: str = "level",

@@ -203,3 +203,78 @@ def level_comparison(t):
     g = V.graded(t)
     return g.groupBy("level").agg(r6(F.avg("grade_point")).alias("mean_grade_point"), F.count(F.lit(1)).alias("n"),
                                   r6(F.stddev_samp("grade_point")).alias("sd_grade_point"))
+
+
+def _fitted_models(t):
+    """Logistic risk classifier + linear GPA regressor on the completed-period feature table
+    (checkpointed once), and the open-period features to score."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.regression import LinearRegression
+    from panelspark.functions.rows import column_types
+    from panelspark.plans.catalog_features import panel_featureset
+    from panelspark.plans.prep import prep_stages
+    from panelspark.session import cut_lineage
+    fs = panel_featureset(t)
+    numeric, categorical = column_types(fs.df, fs.feature_cols)
+    train = cut_lineage(fs.df, "train-panel")
+    prep = Pipeline(stages=prep_stages(numeric, categorical)).fit(train)
+    prepared = prep.transform(train).cache()
+    clf = LogisticRegression(labelCol="risk_label", maxIter=50).fit(prepared)
+    reg = LinearRegression(labelCol="target_gpa", predictionCol="predicted_gpa").fit(prepared)
+    open_fs = panel_featureset(t, include_current=True)
+    return prep, clf, reg, open_fs.df
+
+
+@query("score_open_periods")
+def score_open_periods(t):
+    """Open-period features -> fitted classifier probability -> risk tier."""
+    from pyspark.ml import PipelineModel
+    prep, clf, _, open_df = _fitted_models(t)
+    scored = SV.score_with_model(open_df, PipelineModel(stages=[prep, clf]))
+    return scored.select(*V.KEY, r6("probability").alias("probability"), "risk_tier")
+
+
+@query("batch_predict")
+def batch_predict(t):
+    """Requested ids -> status (not found / no ongoing / ok) -> risk + predicted GPA for the ok
+    ones (the GPA is filled, unlike the source) -> appended to a prediction log, read back."""
+    from pyspark.ml import PipelineModel
+    from panelspark.functions.bands import clip
+    from panelspark.operators.joins import lookup_with_status
+    from panelspark.sources.files import append_log
+    from panelspark.session import scratch_path
+    prep, clf, reg, open_df = _fitted_models(t)
+    scored = SV.score_with_model(open_df, PipelineModel(stages=[prep, clf, reg]))
+    scored = scored.select("student_id", "probability", "risk_tier", clip("predicted_gpa", 0.0, 5.0).alias("predicted_gpa"))
+    req = t["lineitem"].select(F.col("l_partkey").alias("student_id"))
+    ent = t["customer"].select(F.col("c_custkey").alias("student_id"))
+    status = lookup_with_status(req, ent, scored, "student_id")
+    path = scratch_path(t.spark, "batch-predictions")
+    append_log(status.filter(F.col("status") == "ok"), path, ["probability", "risk_tier", "predicted_gpa"])
+    logged = t.spark.read.parquet(path).select("student_id", F.lit(True).alias("logged"))
+    return (status.join(logged, "student_id", "left")
+            .select("student_id", "status", r6("probability").alias("probability"), "risk_tier",
+                    r6("predicted_gpa").alias("predicted_gpa"), F.coalesce("logged", F.lit(False)).alias("logged")))
+
+
+@query("entity_report", sql=HIST_CTE + """,
+lv as (select student_id, level from (select student_id, level, row_number() over (partition by student_id
+  order by n desc, level) as rk from (select student_id, level, count(*) as n from enr where status = 'ongoing'
+  group by all) c) r where rk = 1),
+lc as (select student_id, arg_max(cgpa, session * 10 + semester) as cgpa from hist group by student_id)
+select c.c_custkey as student_id, coalesce(c.c_name, '-') as name, coalesce(cast(lv.level as varchar), '-') as level,
+  coalesce(printf('%.2f', round(lc.cgpa + 1e-9, 2)), '-') as latest_cgpa
+from customer c left join lv on c.c_custkey = lv.student_id left join lc on c.c_custkey = lc.student_id""")
+def entity_report(t):
+    """P8 (entity report): name, open-period level and latest CGPA as text; missing -> '-'."""
+    from panelspark.functions.numeric import rnd
+    lvl = R.term_rollup(V.enrolments(t).filter(F.col("status") == "ongoing"), ["student_id"], with_difficulty=False) \
+        .select("student_id", "level")
+    lc = R.latest_value(V.history(t), "student_id", V.PERIOD, "cgpa")
+    dash = F.lit("-")
+    x = V.students(t).select("student_id", "name").join(lvl, "student_id", "left").join(lc, "student_id", "left")
+    return x.select("student_id", F.coalesce("name", dash).alias("name"),
+                    F.coalesce(F.col("level").cast("string"), dash).alias("level"),
+                    F.coalesce(F.when(F.col("cgpa").isNotNull(), F.format_string("%.2f", rnd(F.col("cgpa") + F.lit(1e-9), 2))),
+                               dash).alias("latest_cgpa"))
