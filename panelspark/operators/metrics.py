@@ -67,7 +67,7 @@ def score_counts(df: DataFrame, y: str = "y_true", score: str = "y_score") -> Da
 def roc_curve(df: DataFrame, y: str = "y_true", score: str = "y_score") -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score plus the (0, 0) origin (M2)."""
     c = score_counts(df, y, score)
-    tot = df.agg(F.sum(F.col(y).cast("long")).alias("_P"), F.sum(1 - F.col(y).cast("long")).alias("_N"))
+    tot = c.agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
     pts = c.crossJoin(F.broadcast(tot)).select(
         "threshold", _div0(F.col("neg_cum"), F.col("_N")).alias("fpr"), _div0(F.col("pos_cum"), F.col("_P")).alias("tpr"))
     origin = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"),

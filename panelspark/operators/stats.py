@@ -55,18 +55,21 @@ def correlation_long(df: DataFrame, columns: Sequence[str], digits: int = 3) ->
     r = rnd(F.coalesce(F.when((F.col("sa") > 0) & (F.col("sb") > 0), F.col("c") / (F.col("sa") * F.col("sb"))),
                        F.lit(0.0)), digits)
     res = g.select((F.col("p") / k).cast("int").alias("i"), (F.col("p") % k).cast("int").alias("j"), r.alias("r"))
-    # the pair table has k*(k+1)/2 rows (bounded by the column count): mirror it, and
-    # restore pairs without any complete row as 0
+    # the pair table has k*(k+1)/2 rows (bounded by the column count): restore pairs without any
+    # complete row as 0 and mirror each off-diagonal cell with an explode (one lineage, no union)
     allp = df.sparkSession.createDataFrame(pairs, "i int, j int")
     full = allp.join(F.broadcast(res), ["i", "j"], "left").select("i", "j", F.coalesce("r", F.lit(0.0)).alias("r"))
-    mirrored = full.unionByName(full.filter(F.col("i") != F.col("j")).select(F.col("j").alias("i"), F.col("i").alias("j"), "r"))
+    cell = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    both = F.when(F.col("i") == F.col("j"), F.array(cell("i", "j"))).otherwise(F.array(cell("i", "j"), cell("j", "i")))
+    mirrored = full.select(F.explode(both).alias("c"), "r")
     names = F.array(*[F.lit(c) for c in cols])
-    return mirrored.select(F.element_at(names, F.col("i") + 1).alias("feature_a"),
-                           F.element_at(names, F.col("j") + 1).alias("feature_b"), "r")
+    return mirrored.select(F.element_at(names, F.col("c.a") + 1).alias("feature_a"),
+                           F.element_at(names, F.col("c.b") + 1).alias("feature_b"), "r")
 
 
 def ordered_cumsum(df: DataFrame, order_col: str, sum_cols: Sequence[str], partition_cols: Sequence[str] = (),
-                   descending: bool = False, buckets: int | None = None, suffix: str = "_cum") -> DataFrame:
+                   descending: bool = False, buckets: int | None = None, suffix: str = "_cum",
+                   materialize: bool = True) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` along ``order_col`` (one row per distinct order value).
 
     Scales past a single-partition window: bucket edges come from
@@ -78,6 +81,11 @@ def ordered_cumsum(df: DataFrame, order_col: str, sum_cols: Sequence[str], parti
     if buckets is None:
         buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     parts = list(partition_cols)
+    if materialize:
+        # the input is read by four branches (edges, bucket totals, windows, join); writing the
+        # (already aggregated) table once to the shared folder keeps its source from running 4x
+        from panelspark.session import cut_lineage
+        df = cut_lineage(df, "cumsum-input")
     ordv = -F.col(order_col) if descending else F.col(order_col)
     x = df.withColumn("_ord", ordv)
     if buckets > 1:

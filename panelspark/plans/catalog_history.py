@@ -60,9 +60,10 @@ from off cross join fb""")
 def prior_difficulty(t):
     """1 - mean of strictly prior offering means / 100, global fallback on a first offering."""
     e = V.enrolments(t)
-    off = R.offering_means(e)
     done = e.filter((F.col("status") == "completed") & F.col("total_score").isNotNull())
-    x = H.prior_difficulty(off, completed=done)
+    off = done.groupBy("course_id", *V.PERIOD).agg(F.avg("total_score").alias("mean_score"),
+                                                   F.sum("total_score").alias("_sum"), F.count("total_score").alias("_n"))
+    x = H.prior_difficulty(off, sum_col="_sum", count_col="_n")
     return x.select("course_id", *V.PERIOD, r6("difficulty_index").alias("difficulty_index"))
 
 
