@@ -88,13 +88,18 @@ def prior_difficulty(offerings: DataFrame, course: str = "course_id", period: Se
                      mean_col: str = "mean_score", fallback: Column | None = None,
                      completed: DataFrame | None = None, score: str = "total_score",
                      out: str = "difficulty_index", sum_col: str | None = None,
-                     count_col: str | None = None) -> DataFrame:
+                     count_col: str | None = None, materialize: bool = True) -> DataFrame:
     """1 - (unweighted mean of strictly prior offering means)/100; first offering -> global fallback.
 
     ``offerings`` is D2's table (one row per course offering with a
     completed score).  The fallback is ``1 - mean(all completed scores)/100``,
     a one-row aggregate attached by broadcast.
     """
+    if fallback is None and sum_col is not None and materialize:
+        # offerings feed both the prior-offering window and the global fallback: write the
+        # (courses x periods) table once so the fact scan behind it is not repeated
+        from panelspark.session import cut_lineage
+        offerings = cut_lineage(offerings, "offerings")
     w = Window.partitionBy(course).orderBy(*period).rowsBetween(U, -1)
     prior = F.avg(mean_col).over(w)
     x = offerings.withColumn("_prior", prior)
