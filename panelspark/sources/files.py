@@ -13,7 +13,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.session import scratch_path
+from panelspark.session import scratch_path, sized_broadcast
 
 
 class MissingColumnsError(ValueError):
@@ -35,8 +35,9 @@ def with_line_numbers(df: DataFrame, out: str = "line_no") -> DataFrame:
     splits = x.groupBy("_fp", "_fb").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_mid0"))
     w = Window.orderBy("_fp", "_fb").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("_fp", "_fb", "_mid0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    # the split table has one row per input split: its size is bounded by the file layout
-    y = x.join(F.broadcast(offsets), ["_fp", "_fb"])
+    # one row per input split (bounded by the file layout, not by the rows): broadcast only when
+    # the size check proves it small, otherwise AQE picks the join
+    y = x.join(sized_broadcast(offsets), ["_fp", "_fb"])
     return y.select(*df.columns, (F.col("_off") + F.col("_mid") - F.col("_mid0")).alias(out))
 
 
