@@ -98,3 +98,16 @@ def test_modal_value_smallest_on_tie(spark):
     df = spark.createDataFrame([(1, 300), (1, 100), (1, 300), (1, 100), (2, 5)], "g long, v long")
     out = {r.g: r.mode for r in S.modal_value(df, ["g"], "v").collect()}
     assert out == {1: 100, 2: 5}
+
+
+def test_salted_join_matches_plain_join_with_hot_key(spark):
+    from panelspark.operators.joins import hot_keys, salted_join
+    big = spark.range(9000).select((F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 500)).alias("k"),
+                                   F.col("id"))
+    other = spark.range(500).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    assert [r.k for r in hot_keys(big, "k", share=0.2).collect()] == [7]
+    plain = sorted(big.join(other, "k").collect())
+    salted = sorted(salted_join(big, other, "k", salts=8, share=0.2).select("k", "id", "v").collect())
+    assert plain == sorted(r for r in salted) and len(plain) == 9000
+    left = salted_join(big, other.filter("k != 7"), "k", how="left", salts=8, share=0.2)
+    assert left.count() == 9000 and left.filter("k = 7 and v is null").count() == big.filter("k = 7").count()
