@@ -92,7 +92,7 @@ def regressors(features: str = "features", label: str = "label") -> dict[str, li
         "random_forest": [RandomForestRegressor(featuresCol=features, labelCol=label, numTrees=30, maxDepth=6, seed=SEED)],
         "gradient_boosting": [GBTRegressor(featuresCol=features, labelCol=label, maxIter=20, maxDepth=3, seed=SEED)],
         "glm": [GeneralizedLinearRegression(featuresCol=features, labelCol=label, family="gaussian")],
-        "factorization_machine": [FMRegressor(featuresCol=features, labelCol=label, factorSize=4, seed=SEED)],
+        "factorization_machine": [FMRegressor(featuresCol=features, labelCol=label, factorSize=4, maxIter=50, seed=SEED)],
     }
 
 
