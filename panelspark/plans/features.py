@@ -125,7 +125,10 @@ def panel_features(enr: DataFrame, engagement: DataFrame, static: DataFrame, ent
         assert_no_leakage(w_hist, task, [c for c in w_hist.columns if c in PANEL_FEATURES])
         w_hist = cut_lineage(w_hist, "panel-grain")
     w_hist = H.peer_deviation(w_hist, "credit_load", ["level", *period], "credit_load_vs_level_mean")
-    # engagement
+    # engagement: the per-entity aggregate feeds both the z-score statistics and the join; it is
+    # bounded by the entity count, so write it once instead of aggregating the event stream twice
+    if checkpoint:
+        engagement = cut_lineage(engagement, "engagement")
     eng = H.zscore(engagement, {"lms_logins_normalised": "lms_logins",
                                 "library_visits_normalised": "library_visits"})
     eng_keys = [c for c in key if c in engagement.columns]
