@@ -57,7 +57,9 @@ def correlation_long(df: DataFrame, columns: Sequence[str], digits: int = 3) ->
     res = g.select((F.col("p") / k).cast("int").alias("i"), (F.col("p") % k).cast("int").alias("j"), r.alias("r"))
     # the pair table has k*(k+1)/2 rows (bounded by the column count): restore pairs without any
     # complete row as 0 and mirror each off-diagonal cell with an explode (one lineage, no union)
-    allp = df.sparkSession.createDataFrame(pairs, "i int, j int")
+    allp = (df.sparkSession.range(k * k)
+            .select((F.col("id") / k).cast("int").alias("i"), (F.col("id") % k).cast("int").alias("j"))
+            .filter(F.col("i") <= F.col("j")))
     full = allp.join(F.broadcast(res), ["i", "j"], "left").select("i", "j", F.coalesce("r", F.lit(0.0)).alias("r"))
     cell = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
     both = F.when(F.col("i") == F.col("j"), F.array(cell("i", "j"))).otherwise(F.array(cell("i", "j"), cell("j", "i")))
