@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 from panelspark.operators import history as H
 from panelspark.operators import rollups as R
 from panelspark.plans import views as V
-from panelspark.functions.numeric import r6, rnd
+from panelspark.functions.numeric import r6
 from panelspark.plans.registry import query
-from panelspark.plans.sql_views import ENR, GRADED, HIST, HIST_CTE, with_views
+from panelspark.plans.sql_views import ENR, HIST_CTE, with_views
 
 
 
