@@ -36,37 +36,61 @@ def safe_corr(a, b) -> Column:
 def correlation_long(df: DataFrame, columns: Sequence[str], digits: int = 3) -> DataFrame:
     """Full correlation matrix as ``(feature_a, feature_b, r)``, pairwise-complete, 0 where undefined.
 
-    One pass over the input, no self-join, no shuffle of row data: every row
-    emits one small struct per column pair (both present) and
-    ``groupBy(pair)`` computes ``covar_pop`` / ``stddev_pop`` (numerically
-    stable online moments); partial aggregation leaves one row per pair per
-    task before the shuffle.  The aggregate stays three functions whatever
-    the column count - a single wide aggregate of F^2 moment functions is
-    expensive to plan and compile.
+    Two passes over the input, no per-pair rows and no wide aggregate:
+    1. column means (one-row aggregate, broadcast) to centre the values;
+    2. each row emits one flat array with six sums per column pair
+       (n, a, b, ab, a2, b2 over rows where both are present) and
+       ``Summarizer.sum`` adds the arrays element-wise (vector partial sums per
+       task, then a merge).  The plan stays one small expression whatever the
+       column count; centring keeps the moment formulas numerically stable.
     """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
     cols = list(columns)
     k = len(cols)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    arr = F.array(*[F.struct(F.lit(i * k + j).alias("p"), F.col(cols[i]).cast("double").alias("a"),
-                             F.col(cols[j]).cast("double").alias("b")) for i, j in pairs])
-    long = df.select(F.inline(arr)).filter(F.col("a").isNotNull() & F.col("b").isNotNull())
-    g = long.groupBy("p").agg(F.covar_pop("a", "b").alias("c"), F.stddev_pop("a").alias("sa"),
-                              F.stddev_pop("b").alias("sb"))
-    r = rnd(F.coalesce(F.when((F.col("sa") > 0) & (F.col("sb") > 0), F.col("c") / (F.col("sa") * F.col("sb"))),
-                       F.lit(0.0)), digits)
-    res = g.select((F.col("p") / k).cast("int").alias("i"), (F.col("p") % k).cast("int").alias("j"), r.alias("r"))
-    # the pair table has k*(k+1)/2 rows (bounded by the column count): restore pairs without any
-    # complete row as 0 and mirror each off-diagonal cell with an explode (one lineage, no union)
-    allp = (df.sparkSession.range(k * k)
-            .select((F.col("id") / k).cast("int").alias("i"), (F.col("id") % k).cast("int").alias("j"))
-            .filter(F.col("i") <= F.col("j")))
-    full = allp.join(F.broadcast(res), ["i", "j"], "left").select("i", "j", F.coalesce("r", F.lit(0.0)).alias("r"))
-    cell = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
-    both = F.when(F.col("i") == F.col("j"), F.array(cell("i", "j"))).otherwise(F.array(cell("i", "j"), cell("j", "i")))
-    mirrored = full.select(F.explode(both).alias("c"), "r")
+    npairs = len(pairs)
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"_mu{i}") for i, c in enumerate(cols)])
+    xs = F.array(*[(F.col(c).cast("double") - F.col(f"_mu{i}")) for i, c in enumerate(cols)])
+    ii = F.array(*[F.lit(i + 1) for i, _ in pairs])
+    jj = F.array(*[F.lit(j + 1) for _, j in pairs])
+    x = df.crossJoin(F.broadcast(means)).select(xs.alias("_x"))
+
+    def six(p):
+        a = F.element_at(F.col("_x"), F.element_at(ii, p + 1))
+        b = F.element_at(F.col("_x"), F.element_at(jj, p + 1))
+        both = a.isNotNull() & b.isNotNull()
+        z = F.lit(0.0)
+        return F.array(F.when(both, F.lit(1.0)).otherwise(z), F.when(both, a).otherwise(z),
+                       F.when(both, b).otherwise(z), F.when(both, a * b).otherwise(z),
+                       F.when(both, a * a).otherwise(z), F.when(both, b * b).otherwise(z))
+
+    flat = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(npairs - 1)), six))
+    sums = x.select(Summarizer.sum(array_to_vector(flat)).alias("_s")).select(vector_to_array("_s").alias("_s"))
+    g = sums.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(npairs - 1)),
+                                          lambda p: F.struct(p.alias("p"),
+                                                             F.element_at(F.col("_s"), p * 6 + 1).alias("n"),
+                                                             F.element_at(F.col("_s"), p * 6 + 2).alias("sa"),
+                                                             F.element_at(F.col("_s"), p * 6 + 3).alias("sb"),
+                                                             F.element_at(F.col("_s"), p * 6 + 4).alias("sab"),
+                                                             F.element_at(F.col("_s"), p * 6 + 5).alias("saa"),
+                                                             F.element_at(F.col("_s"), p * 6 + 6).alias("sbb")))
+                               ).alias("c")).select("c.*")
+    n = F.col("n")
+    cov = F.col("sab") - F.col("sa") * F.col("sb") / n
+    va = F.col("saa") - F.col("sa") * F.col("sa") / n
+    vb = F.col("sbb") - F.col("sb") * F.col("sb") / n
+    den = F.sqrt(va * vb)
+    ok = (n > 0) & (va > 1e-12 * F.greatest(F.col("saa"), F.lit(1e-300))) & (vb > 1e-12 * F.greatest(F.col("sbb"), F.lit(1e-300))) & (den > 0)
+    r = rnd(F.coalesce(F.when(ok, cov / den), F.lit(0.0)), digits)
+    ia = F.element_at(ii, F.col("p") + 1)
+    ja = F.element_at(jj, F.col("p") + 1)
+    cellp = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    both = F.when(ia == ja, F.array(cellp(ia, ja))).otherwise(F.array(cellp(ia, ja), cellp(ja, ia)))
     names = F.array(*[F.lit(c) for c in cols])
-    return mirrored.select(F.element_at(names, F.col("c.a") + 1).alias("feature_a"),
-                           F.element_at(names, F.col("c.b") + 1).alias("feature_b"), "r")
+    return (g.select(F.explode(both).alias("c"), r.alias("r"))
+            .select(F.element_at(names, F.col("c.a")).alias("feature_a"),
+                    F.element_at(names, F.col("c.b")).alias("feature_b"), "r"))
 
 
 def ordered_cumsum(df: DataFrame, order_col: str, sum_cols: Sequence[str], partition_cols: Sequence[str] = (),

@@ -227,3 +227,14 @@ def tier_groups(t):
     from panelspark.plans.scoring import scored_open
     s = scored_open(t).select("student_id", r6("probability").alias("probability"), "risk_tier")
     return R.tier_groups(s)
+
+
+@query("feature_correlations")
+def feature_correlations(t):
+    """D11 as served: Pearson over every numeric column of the J1 feature table (pairwise-complete,
+    3 dp, undefined -> 0), long form; one pass with a per-pair aggregate."""
+    from panelspark.functions.rows import column_types
+    from panelspark.plans.catalog_features import panel_featureset
+    fs = panel_featureset(t)
+    numeric, _ = column_types(fs.df, fs.feature_cols)
+    return R.correlation_matrix(fs.df, numeric)
