@@ -111,3 +111,12 @@ def test_salted_join_matches_plain_join_with_hot_key(spark):
     assert plain == sorted(r for r in salted) and len(plain) == 9000
     left = salted_join(big, other.filter("k != 7"), "k", how="left", salts=8, share=0.2)
     assert left.count() == 9000 and left.filter("k = 7 and v is null").count() == big.filter("k = 7").count()
+
+
+def test_correlation_implementations_agree(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 7.0, 0.3), (2.0, 1.0, 7.0, None), (3.0, None, 7.0, 0.1),
+                                (None, 4.0, 7.0, 0.7), (5.0, 9.0, 7.0, 0.2)], "a double, b double, k double, d double")
+    cols = ["a", "b", "k", "d"]
+    rows = {(r.feature_a, r.feature_b): r.r for r in S._correlation_pair_rows(df, cols).collect()}
+    vecs = {(r.feature_a, r.feature_b): r.r for r in S._correlation_vector_sums(df, cols).collect()}
+    assert rows == vecs and len(rows) == 16
