@@ -112,11 +112,20 @@ class Words:
             np.cumsum(BYTE_CODE_LOWER[raw] * _power_table(BASE, n), out=acc[1:])
             self.hash = mix((acc[end] - acc[start]) * _power_table(BASE_INV, n + 1)[start]
                             + (end - start).astype(_U))
+        self._sums = acc
         # words per text, first word of each text, text of each word
         self.first = np.searchsorted(start, offs)
         self.count = np.diff(self.first)
         self.text = np.repeat(np.arange(self.n_texts), self.count)
 
+    def heads(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hash of the first k bytes, text) of the words longer than k bytes."""
+        long = self.end - self.start > k
+        at = self.start[long]
+        with np.errstate(over="ignore"):
+            return (mix((self._sums[at + k] - self._sums[at]) * _power_table(BASE_INV, len(self._sums))[at] - _U(k)),
+                    self.text[long])
+
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash, valid) of the k words that start at each word; valid: all in one text."""
         m = len(self.hash)

@@ -31,8 +31,9 @@ from panelspark.llm.kernels import ALNUM, Words, mix, slices, text_buffers
 LABELLED_ROWS = 6000
 POOL_ROWS = 3000
 ROUNDS = 3
-CONTENT_DIMS = 1 << 16
+CONTENT_DIMS = 1 << 18
 META_DIMS = 1 << 12
+HEADS = (4, 6)       # word beginnings (bytes) that are features besides whole words
 SURE = 0.97          # probability from which a pseudo-label is passed on
 EXCHANGE = 200       # pseudo-labels per class, view and round at most
 THRESHOLD = 0.5
@@ -54,12 +55,14 @@ def _unique_pairs(row: np.ndarray, hashes: np.ndarray, dims: int) -> tuple[np.nd
 
 
 def content_features(data: np.ndarray, offsets: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Words and separators that occur, and whether a word follows itself, as (row, feature)."""
+    """Words, their heads, and separators that occur, and whether a word follows itself, as (row, feature)."""
     gaps = Words(data, offsets, ~ALNUM)
     same = np.zeros(len(words.hash), bool)
     same[1:] = (words.hash[1:] == words.hash[:-1]) & (words.text[1:] == words.text[:-1])
-    rows = np.concatenate([words.text, gaps.text, words.text[same]])
-    marks = np.concatenate([words.hash, mix(gaps.hash + np.uint64(1)), np.full(int(same.sum()), 3, np.uint64)])
+    heads = [words.heads(k) for k in HEADS]
+    rows = np.concatenate([words.text, gaps.text, words.text[same], *[t for _, t in heads]])
+    marks = np.concatenate([words.hash, mix(gaps.hash + np.uint64(1)), np.full(int(same.sum()), 3, np.uint64),
+                            *[h for h, _ in heads]])
     return _unique_pairs(rows, marks, CONTENT_DIMS)
 
 
@@ -101,33 +104,51 @@ def meta_features(data: np.ndarray, offsets: np.ndarray, words: Words, columns:
 
 
 class View:
-    """Logistic regression over sets of features, trained by full-batch Adagrad."""
+    """Logistic regression over sets of features, trained by full-batch Adagrad.
+
+    A feature's value is the size of its log count ratio between the classes,
+    so that rare telling words outweigh the many common ones.
+    """
 
     def __init__(self, dims: int, l2: float):
         self.w, self.b, self.l2 = np.zeros(dims, np.float64), 0.0, l2
+        self.value = np.ones(dims, np.float64)
 
     @staticmethod
     def _sums(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
         return np.bincount(row, weights=values, minlength=n)
 
     def logit(self, row: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
-        return self._sums(self.w[feature], row, n) + self.b
+        return self._sums((self.w * self.value)[feature], row, n) + self.b
 
     def fit(self, row: np.ndarray, feature: np.ndarray, y: np.ndarray, steps: int, rate: float = 0.15) -> None:
         n = len(y)
         if not n:
             return
+        hot = np.bincount(feature, weights=y[row], minlength=len(self.w))
+        cold = np.bincount(feature, minlength=len(self.w)) - hot
+        self.value = np.abs(np.log((hot + 0.5) / (y.sum() + 1)) - np.log((cold + 0.5) / ((1 - y).sum() + 1)))
+        self.value[hot + cold < 3] = 0.0
         weight = np.where(y > 0.5, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)) ** 0.5
-        g_w, g_b = np.full_like(self.w, 1e-8), 1e-8
+        # only features with a value can change: work on those, renumbered
+        used = np.flatnonzero(self.value)
+        slot = np.zeros(len(self.w), np.int64)
+        slot[used] = np.arange(len(used))
+        live = self.value[feature] > 0
+        row, feature = row[live], slot[feature[live]]
+        w, value = self.w[used], self.value[used]
+        g_w, g_b = np.full(len(used), 1e-8), 1e-8
         for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(self.logit(row, feature, n), -30, 30)))
+            z = self._sums((w * value)[feature], row, n) + self.b
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             d = weight * (p - y) / n
-            grad = np.bincount(feature, weights=d[row], minlength=len(self.w)) + self.l2 * self.w / n
+            grad = value * np.bincount(feature, weights=d[row], minlength=len(w)) + self.l2 * w / n
             g_w += grad * grad
-            self.w -= rate * grad / np.sqrt(g_w)
+            w -= rate * grad / np.sqrt(g_w)
             db = d.sum()
             g_b += db * db
             self.b -= rate * db / np.sqrt(g_b)
+        self.w[used] = w
 
 
 def _take(view: tuple[np.ndarray, np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
