@@ -68,3 +68,9 @@ def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelspark.llm.mixing import mix_sources
     return mix_sources(table(spark, sf_dir, "documents"))
+
+
+@query("op4_ngram_jaccard_join")
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.jaccard import jaccard_components
+    return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)

@@ -128,7 +128,7 @@ class View:
         hot = np.bincount(feature, weights=y[row], minlength=len(self.w))
         cold = np.bincount(feature, minlength=len(self.w)) - hot
         self.value = np.abs(np.log((hot + 0.5) / (y.sum() + 1)) - np.log((cold + 0.5) / ((1 - y).sum() + 1)))
-        self.value[hot + cold < 3] = 0.0
+        self.value[(hot + cold < 3) | (self.value < 0.5)] = 0.0
         weight = np.where(y > 0.5, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)) ** 0.5
         # only features with a value can change: work on those, renumbered
         used = np.flatnonzero(self.value)
