@@ -22,6 +22,8 @@ what occurs often enough there is probed, by binary search, against the rest.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -34,10 +36,12 @@ from panelspark.llm.kernels import NOT_SPACE, Words, mix, slices, text_buffers,
 from panelspark.session import sized_broadcast
 
 WORDS, PERCENT = 5, 80
-SHORT_HITS = 3
+SHORT_HITS = 4
 SKETCH_BITS = 22
 CHUNK = 1 << 16
-STAR_ROUNDS = 6
+STAR_ROUNDS = 4
+PRUNE_ROUNDS = 2
+LONG_LIST = 16            # lists with more classes are collapsed by representatives first
 PAIRS_PER_POSTING = 4     # probe by component representatives while pairs would exceed this times the postings
 
 
@@ -74,18 +78,18 @@ def _vector_sum(parts: DataFrame, slots: int) -> np.ndarray:
         have: dict[int, np.ndarray] = {}
         for b in batches:
             for c, v in zip(b.column(0).to_pylist(), b.column(2)):
-                part = np.frombuffer(v.as_buffer(), np.uint32).astype(np.uint64)
+                part = np.frombuffer(zlib.decompress(v.as_buffer()), np.uint32).astype(np.uint64)
                 have[c] = have[c] + part if c in have else part
         for c, v in have.items():
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([0], pa.int32()),
-                                              pa.array([np.minimum(v, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())],
+                                              pa.array([zlib.compress(np.minimum(v, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)], pa.binary())],
                                              names=["chunk", "salt", "counts"])
 
     once = parts.repartition("chunk", "salt").mapInArrow(add, schema)
     rows = once.repartition("chunk").mapInArrow(add, schema).collect()
     total = np.zeros(slots, np.uint32)
     for r in rows:
-        total[r["chunk"] * CHUNK:(r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.uint32)
+        total[r["chunk"] * CHUNK:(r["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
     return total
 
 
@@ -94,7 +98,7 @@ def _chunks(total: np.ndarray, salt: int):
         part = total[c:c + CHUNK]
         if part.any():
             yield pa.RecordBatch.from_arrays([pa.array([c // CHUNK], pa.int32()), pa.array([salt], pa.int32()),
-                                              pa.array([part.tobytes()], pa.binary())], names=["chunk", "salt", "counts"])
+                                              pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["chunk", "salt", "counts"])
 
 
 _CHUNK_SCHEMA = T.StructType([T.StructField("chunk", T.IntegerType()), T.StructField("salt", T.IntegerType()),
@@ -170,8 +174,9 @@ def _sets(docs: DataFrame, key: str, text: str, k: int, percent: int, level) ->
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """(token, cid, n): the inverted index of the short lists."""
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("token", "cid", "n")])
+    """(token, cid, n, p, last): the inverted index of the short lists; p and last: number and last token of a class's."""
+    names = ["token", "cid", "n", "p", "last"]
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in names])
 
     def run(batches):
         for b in batches:
@@ -180,8 +185,9 @@ def _postings(classes: DataFrame) -> DataFrame:
                 tokens = [np.frombuffer(v.as_buffer(), np.int64) for v in part.column(2)]
                 lens = [len(t) for t in tokens]
                 cid, n = (np.repeat(part.column(i).to_numpy(), lens) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(cid), pa.array(n)],
-                                                 names=["token", "cid", "n"])
+                last = np.repeat([t[-1] for t in tokens], lens)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (
+                    np.concatenate(tokens), cid, n, np.repeat(lens, lens), last)], names=names)
 
     return classes.select("cid", "n", "short").mapInArrow(run, schema)
 
@@ -193,6 +199,7 @@ def _full_sets(docs: DataFrame, text: str, k: int, wanted: DataFrame) -> DataFra
     digests, lets a scan drop most other documents; the join decides.
     """
     bits = SKETCH_BITS
+    wanted = cut_lineage(wanted, "jaccard-wanted")
     flags = docs.sparkSession.sparkContext.broadcast(np.packbits(_slots_in_use(wanted.select("d1"), bits)))
     schema = T.StructType([T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()),
                            T.StructField("set", T.BinaryType())])
@@ -214,7 +221,7 @@ def _full_sets(docs: DataFrame, text: str, k: int, wanted: DataFrame) -> DataFra
                                                       pa.array([x[2] for x in out], pa.binary())], names=["d1", "d2", "set"])
 
     found = docs.select(col(text).cast("string").alias("t")).mapInArrow(run, schema)
-    return (found.join(wanted, ["d1", "d2"]).groupBy("cid").agg(F.first("set").alias("set")))
+    return cut_lineage(found.join(wanted, ["d1", "d2"]).groupBy("cid").agg(F.first("set").alias("set")), "jaccard-full")
 
 
 def probe(a: np.ndarray, b: np.ndarray) -> int:
@@ -246,8 +253,26 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, schema)
 
 
-def _sizes_fit(x, y, percent: int):
-    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+def _prune(lists: DataFrame, percent: int) -> DataFrame:
+    """Without the classes that cannot reach any partner.
+
+    Short-list tokens that no other class has cannot be shared: ``most`` is
+    what is left of the set.  A class needs ``most`` >= T, and SHORT_HITS
+    shared tokens (fewer only if T is smaller).
+    """
+    own = lists.groupBy("cid").agg(F.count(F.lit(1)).alias("s"), F.first("n").alias("n1"), F.first("p").alias("p1"))
+    own = (own.withColumn("most", F.col("n1") - F.col("p1") + F.col("s"))
+           .filter((F.col("most") * 100 >= F.col("n1") * percent)
+                   & (F.col("s") >= F.least(F.lit(SHORT_HITS), F.ceil(F.col("n1") * percent / 100))))
+           .select("cid", "most"))
+    left = lists.drop("most").join(own, "cid")
+    return cut_lineage(left.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("m > 1").drop("m"), "jaccard-lists")
+
+
+def _can_reach(na, ma, nb, mb, percent: int):
+    """Whether two sets of which at most ma and mb shingles can be shared may reach the threshold."""
+    both = F.least(ma, mb)
+    return both * 100 >= (na + nb - both) * percent
 
 
 def _merge(comp: DataFrame, edges: DataFrame) -> DataFrame:
@@ -269,7 +294,7 @@ def link_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: in
     spark = docs.sparkSession
     prepare(spark)
     counts = list_lengths(docs, text, k)
-    level = spark.sparkContext.broadcast(np.minimum(4 * np.log2(counts + 1.0), 255).astype(np.uint8))
+    level = spark.sparkContext.broadcast(np.minimum(4 * np.log2(counts + 1.0), 127).astype(np.uint8))
     members = cut_lineage(_sets(docs, key, text, k, percent, level), "jaccard-sets")
     classes = cut_lineage(
         members.filter("n > 0").groupBy("d1", "d2").agg(F.min("key").alias("root"), F.first("n").alias("n"), F.first("short").alias("short"))
@@ -278,44 +303,57 @@ def link_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: in
     least = 1
     while 100 * least < percent * (least + 1):
         least += 1
-    on_token = Window.partitionBy("token")
-    lists = cut_lineage(_postings(classes.filter(F.col("n") >= least)).withColumn("m", F.count(F.lit(1)).over(on_token))
-                        .filter("m > 1").select("token", "cid", "n"), "jaccard-lists")
-    nodes = lists.select("cid").distinct()
-    comp = cut_lineage(nodes.select("cid", F.col("cid").alias("comp")), "jaccard-comp")
-    wanted = classes.join(nodes, "cid").select("cid", "d1", "d2")
-    sets = None
+    lists = cut_lineage(_postings(classes.filter(F.col("n") >= least)).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token")))
+                        .filter("m > 1").drop("m"), "jaccard-lists")
+    for _ in range(PRUNE_ROUNDS):
+        lists = _prune(lists, percent)
+    comp = cut_lineage(lists.select("cid").distinct().select("cid", F.col("cid").alias("comp")), "jaccard-comp")
     n_lists = lists.count()
+    sets = None
     for turn in range(STAR_ROUNDS + 1 if n_lists else 0):
         # what each list's members belong to by now, and the largest component on it
         per = lists.join(comp, "cid")
         sizes = per.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m"))
         main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("m").alias("all"),
-                                          F.max("m").alias("most")).filter(F.col("all") > F.col("most"))
+                                          F.max("m").alias("top")).filter(F.col("all") > F.col("top"))
         per = cut_lineage(per.join(main, "token"), "jaccard-open")
         open_rows, would_be = per.agg(F.count(F.lit(1)), F.sum(F.when(F.col("comp") != F.col("main"), F.col("all")))).first()
         if not open_rows:
             break
         last = turn == STAR_ROUNDS or would_be <= PAIRS_PER_POSTING * n_lists
-        apart = per.filter(F.col("comp") != F.col("main"))
         if last:
             # merge the short lists across components: count on how many a pair occurs
-            x = apart.select("token", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            y = per.select("token", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "main")
+            side = lambda q: ["token", *[F.col(c).alias(d + q) for c, d in
+                                         (("cid", ""), ("n", "n"), ("most", "m"), ("comp", "c"), ("p", "p"), ("last", "l"))]]
+            x = per.filter(F.col("comp") != F.col("main")).select(*side("a"))
+            y = per.select(*side("b"), "main")
             hits = F.least(F.lit(SHORT_HITS), F.ceil(F.col("na") * percent / 100), F.ceil(F.col("nb") * percent / 100))
-            pairs = (x.join(y, "token").filter((F.col("ca") != F.col("cb")) & _sizes_fit(F.col("na"), F.col("nb"), percent)
+            # of the side whose short lists end first, a short-list token that the other lacks there is not shared at all
+            first = F.col("la") <= F.col("lb")
+            spare = F.when(first, F.col("na") - F.col("pa")).otherwise(F.col("nb") - F.col("pb"))
+            reach = F.col("m") + F.col("spare")
+            pairs = (x.join(y, "token").filter((F.col("ca") != F.col("cb")) & _can_reach(F.col("na"), F.col("ma"), F.col("nb"), F.col("mb"), percent)
                                                & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))))
                      .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-                     .agg(F.count(F.lit(1)).alias("m"), F.first(hits).alias("least")).filter("m >= least").select("a", "b"))
+                     .agg(F.count(F.lit(1)).alias("m"), F.first(hits).alias("least"), F.first(spare).alias("spare"),
+                          F.first(F.col("na") + F.col("nb")).alias("both"))
+                     .filter((F.col("m") >= F.col("least")) & (reach * 100 >= (F.col("both") - reach) * percent)).select("a", "b"))
         else:
-            # one class of each list's largest component, another one each round
-            pivot = (per.filter(F.col("comp") == F.col("main")).groupBy("token")
-                     .agg(F.min_by(F.struct("cid", "n"), F.struct(F.xxhash64("cid", F.lit(turn)), "cid")).alias("p")))
-            pairs = (apart.join(pivot, "token").filter(_sizes_fit(F.col("n"), F.col("p.n"), percent))
-                     .select(F.col("p.cid").alias("a"), F.col("cid").alias("b")).distinct())
+            # on long lists: one class of the largest component; first the one with the fewest tokens of its own
+            # (nearest to what its copies have in common), then another one each round
+            odd = F.col("n") - F.col("most") if turn == 0 else F.lit(0)
+            long = per.filter(F.col("all") > LONG_LIST)
+            if sets is None:
+                sets = _full_sets(docs, text, k, classes.join(long.select("cid").distinct(), "cid").select("cid", "d1", "d2"))
+            pivot = (long.filter(F.col("comp") == F.col("main")).groupBy("token")
+                     .agg(F.min_by(F.struct("cid", "n", "most"), F.struct(odd, F.xxhash64("cid", F.lit(turn)), "cid")).alias("q")))
+            pairs = (long.filter(F.col("comp") != F.col("main")).join(pivot, "token")
+                     .filter(_can_reach(F.col("n"), F.col("most"), F.col("q.n"), F.col("q.most"), percent))
+                     .select(F.col("q.cid").alias("a"), F.col("cid").alias("b")).distinct())
         pairs = cut_lineage(pairs, "jaccard-pairs")
-        if sets is None:
-            sets = cut_lineage(_full_sets(docs, text, k, cut_lineage(wanted, "jaccard-wanted")), "jaccard-full")
+        if last:
+            named = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+            sets = _full_sets(docs, text, k, classes.join(named, "cid").select("cid", "d1", "d2"))
         comp = _merge(comp, cut_lineage(_verify(pairs, sets, percent), "jaccard-links"))
         if last:
             break
