@@ -13,11 +13,12 @@ what occurs often enough there is probed, by binary search, against the rest.
   two sets that reach T share at least ``c`` of them (``c`` = ``SHORT_HITS``,
   fewer for tiny sets).
 * Equal sets are one class with one set; classes carry the multiplicity.
-* Long lists of near copies are not expanded into pairs.  While lists are
-  long, every class on a list is probed against one class of the list's
-  largest component only, and classes found alike become one component.
-  What is still apart is then joined list by list across components, counted
-  and probed, so that no link between different components is lost.
+* Long lists of near copies are not expanded into pairs at once.  First every
+  class on a long list is probed against one class of it only, the one with
+  the fewest shingles of its own, and classes found alike become one
+  component.  What is still apart is then joined list by list across
+  components, counted, bounded and probed, so that no link between different
+  components is lost.
 """
 
 from __future__ import annotations
@@ -36,13 +37,12 @@ from panelspark.llm.kernels import NOT_SPACE, Words, mix, slices, text_buffers,
 from panelspark.session import sized_broadcast
 
 WORDS, PERCENT = 5, 80
-SHORT_HITS = 4
+SHORT_HITS = 8
 SKETCH_BITS = 22
 CHUNK = 1 << 16
-STAR_ROUNDS = 4
+STAR_ROUNDS = 1
 PRUNE_ROUNDS = 2
 LONG_LIST = 16            # lists with more classes are collapsed by representatives first
-PAIRS_PER_POSTING = 4     # probe by component representatives while pairs would exceed this times the postings
 
 
 def doc_shingles(data: np.ndarray, offsets: np.ndarray, k: int):
@@ -308,19 +308,15 @@ def link_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: in
     for _ in range(PRUNE_ROUNDS):
         lists = _prune(lists, percent)
     comp = cut_lineage(lists.select("cid").distinct().select("cid", F.col("cid").alias("comp")), "jaccard-comp")
-    n_lists = lists.count()
     sets = None
-    for turn in range(STAR_ROUNDS + 1 if n_lists else 0):
+    for turn in range(STAR_ROUNDS + 1 if lists.limit(1).count() else 0):
         # what each list's members belong to by now, and the largest component on it
         per = lists.join(comp, "cid")
         sizes = per.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m"))
         main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("m").alias("all"),
                                           F.max("m").alias("top")).filter(F.col("all") > F.col("top"))
         per = cut_lineage(per.join(main, "token"), "jaccard-open")
-        open_rows, would_be = per.agg(F.count(F.lit(1)), F.sum(F.when(F.col("comp") != F.col("main"), F.col("all")))).first()
-        if not open_rows:
-            break
-        last = turn == STAR_ROUNDS or would_be <= PAIRS_PER_POSTING * n_lists
+        last = turn == STAR_ROUNDS
         if last:
             # merge the short lists across components: count on how many a pair occurs
             side = lambda q: ["token", *[F.col(c).alias(d + q) for c, d in
