@@ -74,3 +74,21 @@ def mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelspark.llm.jaccard import jaccard_components
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+@query("op3_document_fingerprints")
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.fingerprints import fingerprint_edits
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+@query("op6_url_filters")
+def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.urls import filter_urls
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
+@query("op2_html_extraction")
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.html import extract_text
+    return extract_text(table(spark, sf_dir, "pages"))
