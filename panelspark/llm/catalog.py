@@ -92,3 +92,9 @@ def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelspark.llm.html import extract_text
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("op5_suffix_array_dedup")
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.suffixes import remove_repeats
+    return remove_repeats(table(spark, sf_dir, "documents"))
