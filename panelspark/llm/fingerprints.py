@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.frames import col, field, prepare
+from panelspark.llm.frames import col, cut_lineage, field, prepare
 from panelspark.llm.kernels import slices, text_buffers
 from panelspark.session import sized_broadcast
 
@@ -104,7 +104,8 @@ def _with_next(docs: DataFrame, text: str, key: str) -> DataFrame:
              .withColumn("to", F.lead("part").over(Window.orderBy("part"))))
     heads = heads.select("part", F.col("h.k").alias("k"), F.col("h.th").alias("th"), "to")
     low = heads.agg(F.min("part")).first()[0]
-    heads = heads.withColumn("to", F.coalesce("to", F.lit(low)))
+    # a row per range, written so that its size is known to the broadcast check
+    heads = cut_lineage(heads.withColumn("to", F.coalesce("to", F.lit(low))), "fingerprint-heads")
     halo = rows.join(sized_broadcast(heads), ["part", "k", "th"]).select("key", "k", "th", "t", F.col("to").alias("part"))
     both = rows.withColumn("halo", F.lit(0)).unionByName(halo.withColumn("halo", F.lit(1)))
     return (both.repartition(parts, "part").sortWithinPartitions("part", "halo", F.desc("k"), F.desc("th"))
