@@ -299,8 +299,10 @@ def train_field(docs: DataFrame | None = None, text: str = "text", sample_rows:
     lines = generated_lines(generated)
     if docs is not None and sample_rows:
         t = col(text).cast("string")
-        rows = (docs.filter(t.rlike("[0-9]") & (F.length(t) < 20_000)).select(t.alias("t"), F.xxhash64(t).alias("h"))
-                .orderBy("h").limit(sample_rows).collect())
+        some = docs.filter(t.rlike("[0-9]") & (F.length(t) < 20_000)).select(t.alias("t"), F.xxhash64(t).alias("h"))
+        # the hashes first, then the texts of those alone: what reaches the driver is bounded by the sample
+        first = [r["h"] for r in some.select("h").distinct().orderBy("h").limit(sample_rows).collect()]
+        rows = some.filter(F.col("h") <= first[-1]).dropDuplicates(["h"]).orderBy("h").collect() if first else []
         lines += [(r["t"], secret_values(r["t"])) for r in rows]
     seqs, gold = [], []
     for line, secrets in lines:
