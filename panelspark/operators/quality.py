@@ -150,60 +150,68 @@ def last_update(updates: DataFrame, key: Sequence[str], seq: str, cols: Sequence
     return updates.groupBy(*key).agg(*aggs)
 
 
+def _in_range(c: Column, low: float, high: float, name: str) -> Column:
+    """The value itself; a value outside the range raises when it is computed."""
+    return F.when((c < low) | (c > high),
+                  F.raise_error(F.lit(f"{name} must be between {low} and {high}")).cast("double")).otherwise(c)
+
+
 def apply_score_updates(base: DataFrame, updates: DataFrame, key: Sequence[str], seq: str = "seq",
                         ca: str = "ca_score", exam: str = "exam_score") -> DataFrame:
     """Non-null CA/exam updates override; when both are present the row is graded (I4).
 
-    total = round(ca + exam, 2), grade, points, status = completed,
-    carryover = (grade == 'F'); otherwise the row keeps its status.
-    Inputs must lie in 0-30 / 0-70 (rows outside raise).
+    Grade and points come from the raw sum, the stored total is that sum
+    rounded to 2 digits; status = completed, carryover = (grade == 'F');
+    otherwise the row keeps its status.  Updates outside 0-30 / 0-70 raise:
+    the check is part of the value, so it cannot be pruned.
     """
-    up = last_update(updates, key, seq, [ca, exam]).select(*key, F.col(ca).alias("_u_ca"), F.col(exam).alias("_u_exam"))
+    up = (updates.withColumns({ca: _in_range(F.col(ca), 0, 30, ca), exam: _in_range(F.col(exam), 0, 70, exam)}))
+    up = last_update(up, key, seq, [ca, exam]).select(*key, F.col(ca).alias("_u_ca"), F.col(exam).alias("_u_exam"))
     x = base.join(up, list(key), "left")
-    new_ca = F.coalesce("_u_ca", F.col(ca))
-    new_exam = F.coalesce("_u_exam", F.col(exam))
-    x = x.withColumns({ca: new_ca, exam: new_exam}).drop("_u_ca", "_u_exam")
+    x = x.withColumns({ca: F.coalesce("_u_ca", F.col(ca)), exam: F.coalesce("_u_exam", F.col(exam))}).drop("_u_ca", "_u_exam")
     both = F.col(ca).isNotNull() & F.col(exam).isNotNull()
-    check = (F.when((F.col(ca) < 0) | (F.col(ca) > 30), F.raise_error(F.lit("ca_score must be between 0 and 30")))
-             .when((F.col(exam) < 0) | (F.col(exam) > 70), F.raise_error(F.lit("exam_score must be between 0 and 70"))))
-    total = rnd(F.col(ca) + F.col(exam), 2)
-    x = x.withColumn("_chk", check)
-    return (x.withColumns({
-        "total_score": F.when(both, total).otherwise(F.col("total_score")),
-        "grade": F.when(both, grade_letter(total)).otherwise(F.col("grade")),
-        "grade_point": F.when(both, grade_point(total)).otherwise(F.col("grade_point")),
+    raw = F.col(ca) + F.col(exam)
+    return x.withColumns({
+        "total_score": F.when(both, rnd(raw, 2)).otherwise(F.col("total_score")),
+        "grade": F.when(both, grade_letter(raw)).otherwise(F.col("grade")),
+        "grade_point": F.when(both, grade_point(raw)).otherwise(F.col("grade_point")),
         "status": F.when(both, F.lit("completed")).otherwise(F.col("status")),
-        "is_carryover": F.when(both, grade_letter(total) == "F").otherwise(F.col("is_carryover")),
-    }).drop("_chk"))
+        "is_carryover": F.when(both, grade_letter(raw) == "F").otherwise(F.col("is_carryover")),
+    })
 
 
 def apply_attendance_updates(base: DataFrame, updates: DataFrame, key: Sequence[str], held: str = "sessions_held",
-                             attended: str = "sessions_attended", enforce_le: bool = False) -> DataFrame:
-    """Upsert by key: rate = attended / held, null when held is 0.
+                             attended: str = "sessions_attended", enforce_le: bool = False, seq: str | None = None) -> DataFrame:
+    """Upsert by key: rate = attended / held, null unless held is positive.
 
-    The reference does not require attended <= held (rate may exceed 1);
-    ``enforce_le`` turns that into a raised error.
+    Of several updates of a key the last by ``seq`` counts (without ``seq``
+    the one with the most sessions), so one row per key stays.  Attended may
+    exceed held (rate above 1); ``enforce_le`` makes that raise, inside the
+    value so that it cannot be pruned.
     """
-    rate = F.when(F.col(held) != 0, F.try_divide(F.col(attended).cast("double"), F.col(held).cast("double")))
-    up = updates.select(*key, held, attended).withColumn("attendance_rate", rate)
+    pair = F.struct(held, attended)
+    order = F.struct(seq, held, attended) if seq else pair
+    up = updates.groupBy(*key).agg(F.max_by(pair, order).alias("_u"))
+    value = F.col(f"_u.{attended}")
     if enforce_le:
-        up = up.withColumn("_c", F.when(F.col(attended) > F.col(held), F.raise_error(F.lit("attended exceeds held"))))\
-            .drop("_c")
-    kept = base.join(up.select(*key), list(key), "left_anti")
-    return kept.unionByName(up, allowMissingColumns=True)
+        kind = updates.schema[attended].dataType
+        value = F.when(value > F.col(f"_u.{held}"), F.raise_error(F.lit("attended exceeds held")).cast(kind)).otherwise(value)
+    up = up.select(*key, F.col(f"_u.{held}").alias(held), value.alias(attended))
+    rate = F.when(F.col(held) > 0, F.col(attended).cast("double") / F.col(held).cast("double"))
+    up = up.withColumn("attendance_rate", rate)
+    return base.join(up.select(*key), list(key), "left_anti").unionByName(up, allowMissingColumns=True)
 
 
 def apply_status_updates(base: DataFrame, updates: DataFrame, key: Sequence[str], seq: str, cols: Sequence[str],
                          status: str = "status", resolved: str = "resolved_at", at: str = "updated_at",
                          closing: Sequence[str] = ("completed", "cancelled")) -> DataFrame:
-    """Non-null fields override; ``resolved_at`` is set when the status becomes closing, never cleared."""
-    up = last_update(updates, key, seq, [*cols, at])
-    up = up.select(*key, *[F.col(c).alias(f"_u_{c}") for c in [*cols, at]])
+    """Non-null fields override; every closing status renews ``resolved_at`` with its own time, nothing clears it."""
+    closes = F.col(status).isin(list(closing))
+    last = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(seq))).alias(f"_u_{c}") for c in cols]
+    up = updates.groupBy(*key).agg(*last, F.max_by(F.col(at), F.when(closes, F.col(seq))).alias("_closed"))
     x = base.join(up, list(key), "left")
-    x = x.withColumns({c: F.coalesce(f"_u_{c}", F.col(c)) for c in cols})
-    closes = F.col(f"_u_{status}").isin(list(closing)) if status in cols else F.lit(False)
-    x = x.withColumn(resolved, F.when(closes & F.col(resolved).isNull(), F.col(f"_u_{at}")).otherwise(F.col(resolved)))
-    return x.drop(*[f"_u_{c}" for c in [*cols, at]])
+    x = x.withColumns({**{c: F.coalesce(f"_u_{c}", F.col(c)) for c in cols}, resolved: F.coalesce("_closed", F.col(resolved))})
+    return x.drop("_closed", *[f"_u_{c}" for c in cols])
 
 
 def insert_if_absent(existing: DataFrame, incoming: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:

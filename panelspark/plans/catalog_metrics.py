@@ -187,8 +187,8 @@ def parity_gaps(t):
 
 
 @query("disparity_flags", sql=GAPS_SQL + """
-select metric, round(gap, 6) as gap, coalesce(gap > 0.1, false) as flagged,
-  (select bool_or(coalesce(gap > 0.1, false)) from gp) as any_flag from gp""")
+select metric, round(gap, 6) as gap, (metric in ('positive_rate', 'tpr', 'precision') and coalesce(gap > 0.1, false)) as flagged,
+  (select bool_or((metric in ('positive_rate', 'tpr', 'precision') and coalesce(gap > 0.1, false))) from gp) as any_flag from gp""")
 def disparity_flags(t):
     """Strict > 0.10 flag per metric and any flag."""
     r = FA.group_rates(scored_docs(t), "lang")
@@ -215,8 +215,8 @@ l as (select attribute, 'accuracy' as metric, accuracy as v from r union all sel
   union all select attribute, 'tpr', tpr from r union all select attribute, 'fpr', fpr from r
   union all select attribute, 'precision', precision from r),
 gp as (select attribute, metric, case when count(v) >= 2 then max(v) - min(v) end as gap from l group by attribute, metric)
-select attribute, metric, round(gap, 6) as gap, coalesce(gap > 0.1, false) as flagged,
-  bool_or(coalesce(gap > 0.1, false)) over (partition by attribute) as any_flag
+select attribute, metric, round(gap, 6) as gap, (metric in ('positive_rate', 'tpr', 'precision') and coalesce(gap > 0.1, false)) as flagged,
+  bool_or((metric in ('positive_rate', 'tpr', 'precision') and coalesce(gap > 0.1, false))) over (partition by attribute) as any_flag
 from gp""")
 def fairness_report(t):
     """N1-N4 over two group attributes with one (attribute, value) aggregation."""

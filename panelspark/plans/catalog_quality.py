@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.numeric import r6, rnd
 from panelspark.operators import quality as Q
 from panelspark.plans import views as V
-from panelspark.plans.registry import query
+from panelspark.plans.registry import ORACLES, query
 from panelspark.session import scratch_path
 from panelspark.sources.files import read_csv_strings, with_line_numbers, write_csv
 
@@ -132,14 +132,14 @@ m as (select li.l_orderkey, li.l_linenumber, li.l_partkey, li.l_suppkey,
     and li.l_partkey = u.l_partkey and li.l_suppkey = u.l_suppkey
   left join v on li.l_orderkey = v.l_orderkey and li.l_linenumber = v.l_linenumber
     and li.l_partkey = v.l_partkey and li.l_suppkey = v.l_suppkey),
-g as (select *, case when exam_score is not null then round(ca_score + exam_score, 2) end as total_score from m)
-select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(ca_score, 6) as ca_score, exam_score, total_score,
-  case when total_score is null then null when total_score >= 70 then 'A' when total_score >= 60 then 'B'
-    when total_score >= 50 then 'C' when total_score >= 45 then 'D' when total_score >= 40 then 'E' else 'F' end as grade,
-  case when total_score is null then null when total_score >= 70 then 5 when total_score >= 60 then 4
-    when total_score >= 50 then 3 when total_score >= 45 then 2 when total_score >= 40 then 1 else 0 end as grade_point,
-  case when total_score is null then 'ongoing' else 'completed' end as status,
-  case when total_score is null then false else total_score < 40 end as is_carryover
+g as (select *, ca_score + exam_score as raw from m)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(ca_score, 6) as ca_score, exam_score, round(raw, 2) as total_score,
+  case when raw is null then null when raw >= 70 then 'A' when raw >= 60 then 'B'
+    when raw >= 50 then 'C' when raw >= 45 then 'D' when raw >= 40 then 'E' else 'F' end as grade,
+  case when raw is null then null when raw >= 70 then 5 when raw >= 60 then 4
+    when raw >= 50 then 3 when raw >= 45 then 2 when raw >= 40 then 1 else 0 end as grade_point,
+  case when raw is null then 'ongoing' else 'completed' end as status,
+  case when raw is null then false else raw < 40 end as is_carryover
 from g""")
 def score_updates(t):
     """I4: CA/exam updates (last per key by sequence) grade an ongoing enrolment once both are present."""
@@ -166,7 +166,7 @@ up as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linenumber - 1 a
 allr as (select * from base b where not exists (select 1 from up u where u.l_orderkey = b.l_orderkey
     and u.l_linenumber = b.l_linenumber and u.l_partkey = b.l_partkey and u.l_suppkey = b.l_suppkey)
   union all select * from up)
-select *, round(case when sessions_held <> 0 then sessions_attended / cast(sessions_held as double) end, 6) as attendance_rate
+select *, round(case when sessions_held > 0 then sessions_attended / cast(sessions_held as double) end, 6) as attendance_rate
 from allr""")
 def attendance_updates(t):
     """Upsert attendance by enrolment; rate = attended / held, null when held is 0, may exceed 1."""
@@ -190,9 +190,10 @@ u as (select l_orderkey as id, l_linenumber * 100000000000 + l_partkey * 100000
     case when l_returnflag = 'R' then 'cancelled' when l_linestatus = 'F' then 'completed' end as status,
     'flag ' || l_returnflag as outcome_note from lineitem),
 lu as (select id, arg_max(status, case when status is not null then seq end) as s,
-    arg_max(outcome_note, seq) as n, arg_max(upd_at, seq) as upd_at from u group by id)
+    arg_max(outcome_note, seq) as n, arg_max(upd_at, case when status in ('completed', 'cancelled') then seq end) as closed
+  from u group by id)
 select b.id, coalesce(l.s, b.status) as status, coalesce(l.n, b.outcome_note) as outcome_note,
-  cast(case when l.s in ('completed', 'cancelled') then cast(l.upd_at as date) end as varchar) as resolved_on
+  cast(cast(l.closed as date) as varchar) as resolved_on
 from base b left join lu l on b.id = l.id""")
 def status_updates(t):
     """Non-null fields override; resolved date set when the status becomes closing."""
@@ -248,4 +249,4 @@ def null_out_orders(t):
     return Q.null_out(o, ["o_totalprice", "o_orderpriority", "o_orderstatus"], ["o_orderkey"])
 
 
-ORACLES_SCORE = __import__("panelspark.plans.registry", fromlist=["ORACLES"]).ORACLES["score_updates"]
+ORACLES_SCORE = ORACLES["score_updates"]

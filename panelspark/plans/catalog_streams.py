@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.numeric import r6
 from panelspark.operators import quality as Q
+from panelspark.plans.catalog_quality import ORACLES_SCORE
 from panelspark.plans.registry import ORACLES, query
 from panelspark.session import scratch_path
 from panelspark.streaming import streams as ST
@@ -28,14 +29,14 @@ def _score_update_inputs(t):
 @query("stream_score_updates")
 def stream_score_updates(t):
     """Q1: score updates arrive as a file stream (two files, one per trigger) and are merged
-    batch by batch with ``foreachBatch``; each batch writes a new version folder."""
+    batch by batch with ``foreachBatch``; each batch writes a new version folder.  A field's last update wins by sequence inside a batch."""
     spark = t.spark
     base, u1, u2, key = _score_update_inputs(t)
     base_path = scratch_path(spark, "enr-base")
     base.write.parquet(base_path)
     upd_dir = scratch_path(spark, "score-updates")
-    u1.coalesce(1).write.mode("append").parquet(upd_dir)
-    u2.coalesce(1).write.mode("append").parquet(upd_dir)
+    u1.write.mode("append").parquet(upd_dir)
+    u2.write.mode("append").parquet(upd_dir)
     stream = ST.file_stream(spark, upd_dir, u1.schema, max_files=1)
     out_root = scratch_path(spark, "enr-versions")
     q = ST.stream_updates(stream, base_path, lambda cur, b: Q.apply_score_updates(cur, b, key), scratch_path(spark, "q1-ckpt"),
@@ -78,5 +79,5 @@ def stream_engagement_windows(t):
 
 
 # Q1 / Q2 compute the same result as their batch counterparts.
-ORACLES["stream_score_updates"] = __import__("panelspark.plans.catalog_quality", fromlist=["x"]).ORACLES_SCORE
+ORACLES["stream_score_updates"] = ORACLES_SCORE
 ORACLES["stream_latest_event"] = ORACLES.get("latest_event_per_user", "")

@@ -100,23 +100,6 @@ def _with_label(df: DataFrame, label_col: str) -> DataFrame:
     return df.withColumn("label", F.col(label_col).cast("double"))
 
 
-def n_features_after_prep(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> int:
-    model = Pipeline(stages=prep_stages(numeric, categorical)).fit(df.limit(1000))
-    return len(model.transform(df.limit(1)).first()["features"])
-
-
-def out_of_fold(df: DataFrame, stages: list, k: int, fold: str = "fold") -> DataFrame:
-    """L4: each fold predicted by a model fitted on the other folds."""
-    parts = []
-    for i in range(k):
-        model = Pipeline(stages=stages).fit(df.filter(F.col(fold) != i))
-        parts.append(model.transform(df.filter(F.col(fold) == i)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
-
-
 def _prob(df: DataFrame) -> DataFrame:
     return df.withColumn("y_score", vector_to_array("probability")[1])
 

@@ -69,7 +69,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        # Unset means a local/test session (a cluster names its shared folder).
+        # only a local session may fall back to a folder of this machine
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="panelspark-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -95,25 +97,6 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.parquet(path)
 
 
-def spread_small_input(df: DataFrame, min_bytes: int = 8 * 1024 * 1024) -> DataFrame:
-    """Round-robin a scan that yields fewer splits than the session's parallelism.
-
-    A single-row-group file is read by one task, which then runs every
-    operator up to the first shuffle alone.  Large inputs (many splits) are
-    returned untouched, so this never adds a shuffle at scale.
-    """
-    spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism
-    size = estimated_bytes(df)
-    if size is None or size < min_bytes:
-        return df
-    try:
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # pragma: no cover
-        return df
-    return df.repartition(target) if parts < target else df
-
-
 def estimated_bytes(df: DataFrame) -> int | None:
     """Optimizer size estimate of a plan, or None when unavailable."""
     try:

@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.session import spread_small_input
-
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
                  "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -23,8 +21,8 @@ class Tables(Mapping):
     """
 
     def __init__(self, spark: SparkSession, base: str, names: Iterable[str] = DRIVER_TABLES,
-                 fmt: str = "parquet", spread: bool = False):
-        self.spark, self.base, self.fmt, self.spread = spark, base, fmt, spread
+                 fmt: str = "parquet"):
+        self.spark, self.base, self.fmt = spark, base, fmt
         self._names = tuple(names)
         self._cache: dict[str, DataFrame] = {}
 
@@ -34,7 +32,7 @@ class Tables(Mapping):
         if name not in self._cache:
             path = os.path.join(self.base, f"{name}.{self.fmt}")
             df = self.spark.read.format(self.fmt).load(path)
-            self._cache[name] = spread_small_input(df) if self.spread else df
+            self._cache[name] = df
         return self._cache[name]
 
     def __iter__(self):

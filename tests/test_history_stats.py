@@ -100,23 +100,13 @@ def test_modal_value_smallest_on_tie(spark):
     assert out == {1: 100, 2: 5}
 
 
-def test_salted_join_matches_plain_join_with_hot_key(spark):
-    from panelspark.operators.joins import hot_keys, salted_join
-    big = spark.range(9000).select((F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 500)).alias("k"),
-                                   F.col("id"))
-    other = spark.range(500).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    assert [r.k for r in hot_keys(big, "k", share=0.2).collect()] == [7]
-    plain = sorted(big.join(other, "k").collect())
-    salted = sorted(salted_join(big, other, "k", salts=8, share=0.2).select("k", "id", "v").collect())
-    assert plain == sorted(r for r in salted) and len(plain) == 9000
-    left = salted_join(big, other.filter("k != 7"), "k", how="left", salts=8, share=0.2)
-    assert left.count() == 9000 and left.filter("k = 7 and v is null").count() == big.filter("k = 7").count()
-
-
-def test_correlation_implementations_agree(spark):
+def test_correlation_matrix_narrow_wide_and_empty(spark):
     df = spark.createDataFrame([(1.0, 2.0, 7.0, 0.3), (2.0, 1.0, 7.0, None), (3.0, None, 7.0, 0.1),
                                 (None, 4.0, 7.0, 0.7), (5.0, 9.0, 7.0, 0.2)], "a double, b double, k double, d double")
     cols = ["a", "b", "k", "d"]
-    rows = {(r.feature_a, r.feature_b): r.r for r in S._correlation_pair_rows(df, cols).collect()}
-    vecs = {(r.feature_a, r.feature_b): r.r for r in S._correlation_vector_sums(df, cols).collect()}
-    assert rows == vecs and len(rows) == 16
+    got = {(r.feature_a, r.feature_b): r.r for r in S.correlation_long(df, cols).collect()}
+    pdf = df.toPandas().corr().fillna(0.0)
+    assert len(got) == 16 and all(abs(got[a, b] - pdf.loc[a, b]) < 6e-4 for a in "abd" for b in "abd")
+    wide = df.select(*[F.col("a").alias(f"c{i}") for i in range(20)])
+    assert {r.r for r in S.correlation_long(wide, wide.columns).collect()} == {1.0}
+    assert {r.r for r in S.correlation_long(df.limit(0), cols).collect()} == {0.0}

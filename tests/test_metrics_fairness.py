@@ -31,9 +31,9 @@ def test_gaps_and_strict_flags(spark):
     assert abs(gap - 0.2) < 1e-12
     one = spark.createDataFrame([("a", 0.8)], "g string, accuracy double")
     assert FA.parity_gaps(one, ["accuracy"]).first().gap is None
-    gaps = spark.createDataFrame([("m1", 0.11), ("m2", 0.10), ("m3", None)], "metric string, gap double")
+    gaps = spark.createDataFrame([("tpr", 0.11), ("precision", 0.10), ("positive_rate", None), ("accuracy", 0.5)], "metric string, gap double")
     fl = {r.metric: r.flagged for r in FA.flag_disparity(gaps).collect()}
-    assert fl == {"m1": True, "m2": False, "m3": False}
+    assert fl == {"tpr": True, "precision": False, "positive_rate": False, "accuracy": False}
 
 
 def _brute_auc(y, s):

@@ -95,6 +95,30 @@ def test_score_attendance_status_updates(spark):
     assert got.status == "completed" and got.resolved_at is not None
 
 
+def test_update_limits_last_update_and_renewed_resolution(spark):
+    kind = ("id long, ca_score double, exam_score double, total_score double, grade string, "
+            "grade_point int, status string, is_carryover boolean")
+    base = spark.createDataFrame([(1, 9.996, None, None, None, None, "ongoing", False)], kind)
+    upd = lambda ca, ex: spark.createDataFrame([(1, ca, ex, 1)], "id long, ca_score double, exam_score double, seq int")
+    got = Q.apply_score_updates(base, upd(None, 60.0), ["id"]).first()
+    assert got.grade == "B" and got.total_score == 70.0   # graded before rounding
+    for bad in ((-5.0, None), (None, 75.0)):
+        with pytest.raises(Exception, match="must be between"):
+            Q.apply_score_updates(base, upd(*bad), ["id"]).select("status").collect()
+            Q.apply_score_updates(base, upd(*bad), ["id"]).collect()
+    att = spark.createDataFrame([], "id long, sessions_held int, sessions_attended int, attendance_rate double")
+    two = spark.createDataFrame([(1, 5, 4, 1), (1, 4, 2, 2)], "id long, sessions_held int, sessions_attended int, seq int")
+    rows = Q.apply_attendance_updates(att, two, ["id"], seq="seq").collect()
+    assert len(rows) == 1 and rows[0].attendance_rate == 0.5
+    with pytest.raises(Exception, match="exceeds"):
+        Q.apply_attendance_updates(att, two.withColumn("sessions_attended", F.lit(9)), ["id"], enforce_le=True).collect()
+    iv = spark.sql("select 1L id, 'completed' status, cast(null as string) note, timestamp'2020-01-01' resolved_at")
+    iu = spark.sql("select 1L id, 'cancelled' status, cast(null as string) note, 1 seq, timestamp'2021-01-01' updated_at "
+                   "union all select 1L, null, 'later', 2, timestamp'2022-01-01'")
+    got = Q.apply_status_updates(iv, iu, ["id"], "seq", ["status", "note"]).first()
+    assert got.resolved_at.year == 2021 and got.note == "later" and got.status == "cancelled"
+
+
 def test_null_out_rates_within_bounds(spark):
     df = spark.range(20000).select(F.col("id"), F.col("id").cast("double").alias("a"), F.col("id").cast("string").alias("b"))
     out = Q.null_out(df, ["a", "b"], ["id"], seed=7)
