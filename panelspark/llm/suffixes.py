@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from panelspark.llm.frames import col, cut_lineage, field, prepare
 from panelspark.llm.kernels import BASE, BASE_INV, BYTE_CODE, _power_table, byte_grams, mix, text_buffers, winnow
+from panelspark.session import sized_broadcast
 
 LENGTH = 200
 GRAM = 40
@@ -317,12 +318,16 @@ def _shards(groups: DataFrame, length: int, gram: int) -> DataFrame:
 
 def _split(groups: DataFrame, length: int, most: int) -> DataFrame:
     """Groups of at most ``most`` parts, by halving the anchor's place in the window; equal windows stay together."""
-    while True:
+    done = None
+    while True:   # each round handles the large groups alone; halving ends at single places
         big = cut_lineage(groups.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.first("lo").alias("l"), F.first("hi").alias("h"))
                           .filter((F.col("m") > most) & (F.col("l") < F.col("h"))).select("key"), "suffix-big")
-        if not big.limit(1).count():
-            return groups
-        hot = groups.join(big, "key", "left_semi")
+        more = bool(big.limit(1).count())
+        small = groups.join(sized_broadcast(big), "key", "left_anti") if more else groups
+        done = small if done is None else done.unionByName(small)
+        if not more:
+            return done
+        hot = groups.join(sized_broadcast(big), "key", "left_semi")
         mid = F.floor((F.col("lo") + F.col("hi")) / 2)
         halves = (hot.withColumn("half", F.explode(F.array(F.struct(F.col("lo").alias("l"), mid.alias("h")),
                                                            F.struct((mid + 1).alias("l"), F.col("hi").alias("h")))))
@@ -331,8 +336,7 @@ def _split(groups: DataFrame, length: int, most: int) -> DataFrame:
         first = F.greatest(F.col("left") - F.col("hi"), F.lit(0))
         last = F.least(F.col("left") - F.col("lo"), F.length("part") - length)
         core = F.substring(F.col("part"), (F.col("left") - F.col("lo") + 1).cast("int"), (F.col("lo") - F.col("hi") + length).cast("int"))
-        halves = halves.filter(first <= last).withColumn("key", F.xxhash64("key", "lo", core))
-        groups = cut_lineage(groups.join(big, "key", "left_anti").unionByName(halves), "suffix-groups")
+        groups = cut_lineage(halves.filter(first <= last).withColumn("key", F.xxhash64("key", "lo", core)), "suffix-groups")
 
 
 FIELDS = [field("n_bytes", "long"), field("n_removed", "long"), field("n_spans", "long"), field("kept_sha256", "string")]
