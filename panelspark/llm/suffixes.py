@@ -5,17 +5,19 @@ anywhere else.  Each such string holds an anchor: winnowing keeps the least
 ``GRAM``-byte hash of every string, so equal strings hold equal anchors at
 equal places.  Anchors that occur once are dropped; an occurrence whose whole
 surroundings (all strings that can hold the anchor) occur again is decided by
-that.  The distinct surroundings of the other anchors are dealt to shards by
-anchor, and each shard's suffix array is built by induced sorting: suffixes
-are classified as smaller or larger than their successor, the leftmost-smaller
-substrings are sorted by one induction, named and ranked recursively, and a
-second induction, linear in the shard, orders all suffixes.  Strings are
-repeated where the permuted common prefix of neighbours reaches ``length``
-and the neighbours lie at different places.
-
-An anchor with very many distinct surroundings is split: by the place of the
-anchor in the string, in halves, each half keyed by the bytes that all its
-strings share, as often as needed, so that no group grows with the data.
+that.  The others are grouped by anchor and cut by the anchor's place in the
+string into ranges.  All strings of a range share a core of bytes; only rows
+with equal cores stay together, and rows alike over a whole range are decided
+by that.  The groups that are left are dealt to shards, the core written as a
+short token, and each shard's suffix array is built by induced sorting:
+suffixes are classified as smaller or larger than their successor, the
+leftmost-smaller substrings are sorted by one induction, named and ranked
+recursively, and a second induction, linear in the shard, orders all suffixes.
+Strings are repeated where the permuted common prefix of neighbours reaches
+their (shortened) length and the neighbours lie at different places.
+
+A group with very many distinct surroundings is cut in halves again, as often
+as needed, so that no group grows with the data.
 """
 
 from __future__ import annotations
@@ -30,12 +32,13 @@ from pyspark.sql import types as T
 
 from panelspark.llm.frames import col, cut_lineage, field, prepare
 from panelspark.llm.kernels import BASE, BASE_INV, BYTE_CODE, _power_table, byte_grams, mix, text_buffers, winnow
-from panelspark.session import sized_broadcast
 
 LENGTH = 200
 GRAM = 40
-SHARD_BYTES = 3 << 20
-MOST_IN_GROUP = 4000      # distinct surroundings of one group; larger groups are split
+SHARD_BYTES = 1 << 20
+MOST_IN_GROUP = 10_000    # distinct surroundings of one group; larger groups are split
+PIECES = 4                # ranges into which the windows that hold an anchor are cut first
+TOKEN = 8                 # bytes that stand for a group's core: numbers up to 7 ** 7 groups in a shard
 
 
 # ---- suffix array of one shard -------------------------------------------------------------------------------------
@@ -260,10 +263,10 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _parts(texts: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
-    """(a, t, pos, left, copies, part): the bytes around the wanted anchors."""
+    """(key, t, c0, copies, pre, post): the wanted anchors with the bytes before and after that a window can hold."""
     reach = length - gram
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("t", T.LongType()), T.StructField("pos", T.LongType()),
-                           T.StructField("left", T.LongType()), T.StructField("copies", T.BooleanType()), T.StructField("part", T.BinaryType())])
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("t", T.LongType()), T.StructField("c0", T.LongType()),
+                           T.StructField("copies", T.BooleanType()), T.StructField("pre", T.BinaryType()), T.StructField("post", T.BinaryType())])
     per = wanted.groupBy("t").agg(F.collect_list("a").alias("a"), F.collect_list("pos").alias("pos"), F.collect_list("copies").alias("copies"))
 
     def run(batches):
@@ -275,68 +278,101 @@ def _parts(texts: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataF
                     p = pos[lo:lo + 5000]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(a[lo:lo + 5000], pa.int64()), pa.array([t] * len(p), pa.int64()), pa.array(p, pa.int64()),
-                         pa.array([min(x, reach) for x in p], pa.int64()), pa.array(copies[lo:lo + 5000], pa.bool_()),
-                         pa.array([raw[max(0, x - reach):x + length] for x in p], pa.binary())], names=schema.names)
+                         pa.array(copies[lo:lo + 5000], pa.bool_()), pa.array([raw[max(0, x - reach):x] for x in p], pa.binary()),
+                         pa.array([raw[x + gram:x + length] for x in p], pa.binary())], names=schema.names)
 
     return texts.join(per, "t").select("t", "text", "a", "pos", "copies").mapInArrow(run, schema)
 
 
-def _shards(groups: DataFrame, length: int, gram: int) -> DataFrame:
-    """(t, s, e): the span of each part that repeated windows cover; groups (key, lo, hi, ...) stay together."""
+def _narrow(rows: DataFrame, width: int, pieces: int, length: int) -> tuple[DataFrame, int]:
+    """Groups dealt anew by the place of the window: (key, t, c0, copies, pre, post, s, e, hit, open, kinds) and the new width.
+
+    The rows of a group share the ``length - width + 1`` bytes from ``c0`` (the core); its windows start 0 to ``width - 1``
+    bytes before ``c0``.  These starts are cut into equal ranges.  All windows of a range hold a longer core, so rows whose
+    longer cores differ share none.  Rows with equal bytes over a whole range repeat each other there (``hit``; s, e: the
+    bytes covered); one of them stays.  Where rows remain that are alike in part only, the group is ``open``.
+    """
+    step = -(-width // pieces)
+    lows = sorted({min(k * step, width - step) for k in range(pieces)})
+    low, before, after = F.col("l"), F.length("pre"), F.length("post")
+    high, rest = low + step - 1, F.lit(width) - low - step      # rest: bytes after the core that become part of it
+    x = rows.withColumn("l", F.explode(F.array(*[F.lit(v) for v in lows])))
+    x = x.filter(F.greatest(low, F.lit(width - 1) - after) <= F.least(high, before))
+    x = x.select(F.xxhash64("key", "l", F.substring("pre", before - low + 1, low), F.substring("post", F.lit(1), rest)).alias("key"), "t",
+                 (F.col("c0") - low).alias("c0"), "copies",
+                 F.substring("pre", F.greatest(before - high, F.lit(0)) + 1, F.least(before, high) - low).alias("pre"),
+                 F.substring("post", rest + 1, F.least(after - rest, F.lit(step - 1))).alias("post"))
+    one, same = Window.partitionBy("key"), Window.partitionBy("key", "whole")
+    x = (x.withColumn("whole", F.xxhash64("pre", "post")).repartition("key")
+         .withColumn("m", F.sum(F.when(F.col("copies"), 2).otherwise(1)).over(same))
+         .withColumn("turn", F.row_number().over(same.orderBy("t", "c0")))
+         .withColumn("least", F.min("m").over(one)).withColumn("kinds", F.sum((F.col("turn") == 1).cast("int")).over(one)))
+    x = x.withColumn("hit", (F.col("m") > 1) & ~F.col("copies")).withColumn("open", (F.col("turn") == 1) & (F.col("least") == 1) & (F.col("kinds") > 1))
+    start = F.col("c0") - F.length("pre")
+    end = F.col("c0") - F.greatest(F.lit(step - 1) - F.length("post"), F.lit(0)) + length
+    x = x.filter("hit or open").select("key", "t", "c0", (F.col("m") > 1).alias("copies"), *[F.when(F.col("open"), F.col(c)).alias(c) for c in ("pre", "post")],
+                                       start.alias("s"), end.alias("e"), "hit", "open", "kinds")
+    return cut_lineage(x, "suffix-groups"), step
+
+
+def _token(group: int) -> bytes:
+    """A group's core in short: bytes that no UTF-8 text holds, the first of them nowhere else in the token."""
+    return bytes([0xFF, *(0xF8 + group // 7 ** k % 7 for k in range(TOKEN - 1))])
+
+
+def _shards(groups: DataFrame, length: int) -> DataFrame:
+    """(t, s, e): the span of each row that repeated windows cover; rows of a group (key, width) stay together.
+
+    A group's core is the same in all its rows and windows, so that it enters the shard as a token.
+    """
     schema = T.StructType([T.StructField(x, T.LongType()) for x in ("t", "s", "e")])
 
-    def solve(rows: list[tuple]):
-        t, pos, left, copies, part, lo, hi = (list(x) for x in zip(*rows))
-        at, left = np.array(pos), np.array(left)
+    def solve(rows: list[tuple], groups: list[int], width: int):
+        t, c0, copies, pre, post = (list(x) for x in zip(*rows))
+        before, after = (np.array([len(p) for p in x]) for x in (pre, post))
+        begin = np.array(c0) - before
         with np.errstate(over="ignore"):
-            place = mix(np.array(t, np.int64).astype(np.uint64)) + (at - left).astype(np.uint64)
-        sizes = np.array([len(p) for p in part])
-        first = np.maximum(left - np.array(hi), 0)               # starts of the windows with the anchor at lo..hi
-        last = np.minimum(left - np.array(lo), sizes - length)
-        found = repeated_windows(part, place, np.array(copies), first, last, length)
-        got = [(t[i], int(at[i] - left[i] + f[0]), int(at[i] - left[i] + f[1] + length)) for i, f in enumerate(found) if f and not copies[i]]
+            place = mix(np.array(t, np.int64).astype(np.uint64)) + begin.astype(np.uint64)
+        part = [p + _token(g) + q for p, g, q in zip(pre, groups, post)]
+        last = before - np.maximum(width - 1 - after, 0)
+        found = repeated_windows(part, place, np.array(copies), np.zeros(len(part), np.int64), last, width - 1 + TOKEN)
+        got = [(t[i], int(begin[i] + f[0]), int(begin[i] + f[1] + length)) for i, f in enumerate(found) if f and not copies[i]]
         if got:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*got)], names=schema.names)
 
     def run(batches):
         rows: list[tuple] = []
-        held, key = 0, None
+        numbers: list[int] = []
+        held, own = 0, None
         for b in batches:
-            for k, *row in zip(*(b.column(i).to_pylist() for i in range(8))):
-                if k != key and held > SHARD_BYTES:
-                    yield from solve(rows)
-                    rows, held = [], 0
-                key = k
+            for width, key, *row in zip(*(b.column(i).to_pylist() for i in range(7))):
+                if own is not None and (width != own[0] or key != own[1] and held > SHARD_BYTES):
+                    yield from solve(rows, numbers, own[0])
+                    rows, numbers, held, own = [], [], 0, None
+                numbers.append(numbers[-1] + (key != own[1]) if numbers else 0)
                 rows.append(tuple(row))
-                held += len(row[4])
+                own = (width, key)
+                held += len(row[3]) + len(row[4]) + TOKEN
         if rows:
-            yield from solve(rows)
+            yield from solve(rows, numbers, own[0])
 
-    return (groups.select("key", "t", "pos", "left", "copies", "part", "lo", "hi").repartition("key").sortWithinPartitions("key")
+    return (groups.select("width", "key", "t", "c0", "copies", "pre", "post").repartition("key").sortWithinPartitions("width", "key")
             .mapInArrow(run, schema))
 
 
-def _split(groups: DataFrame, length: int, most: int) -> DataFrame:
-    """Groups of at most ``most`` parts, by halving the anchor's place in the window; equal windows stay together."""
-    done = None
-    while True:   # each round handles the large groups alone; halving ends at single places
-        big = cut_lineage(groups.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.first("lo").alias("l"), F.first("hi").alias("h"))
-                          .filter((F.col("m") > most) & (F.col("l") < F.col("h"))).select("key"), "suffix-big")
-        more = bool(big.limit(1).count())
-        small = groups.join(sized_broadcast(big), "key", "left_anti") if more else groups
-        done = small if done is None else done.unionByName(small)
-        if not more:
-            return done
-        hot = groups.join(sized_broadcast(big), "key", "left_semi")
-        mid = F.floor((F.col("lo") + F.col("hi")) / 2)
-        halves = (hot.withColumn("half", F.explode(F.array(F.struct(F.col("lo").alias("l"), mid.alias("h")),
-                                                           F.struct((mid + 1).alias("l"), F.col("hi").alias("h")))))
-                  .drop("lo", "hi").withColumns({"lo": F.col("half.l"), "hi": F.col("half.h")}).drop("half"))
-        # starts of windows with the anchor at lo..hi, if the part has any
-        first = F.greatest(F.col("left") - F.col("hi"), F.lit(0))
-        last = F.least(F.col("left") - F.col("lo"), F.length("part") - length)
-        core = F.substring(F.col("part"), (F.col("left") - F.col("lo") + 1).cast("int"), (F.col("lo") - F.col("hi") + length).cast("int"))
-        groups = cut_lineage(halves.filter(first <= last).withColumn("key", F.xxhash64("key", "lo", core)), "suffix-groups")
+def _repeats(parts: DataFrame, length: int, gram: int) -> DataFrame:
+    """(t, s, e): spans of the parts that repeated windows cover."""
+    rows, width, pieces = parts, length - gram + 1, PIECES
+    spans = shards = None
+    while True:   # each further round halves the large groups alone; a group of one window each has only equal rows
+        x, width = _narrow(rows, width, pieces, length)
+        hits = x.filter("hit").select("t", "s", "e")
+        ready = x.filter(F.col("open") & (F.col("kinds") <= MOST_IN_GROUP)).withColumn("width", F.lit(width))
+        spans = hits if spans is None else spans.unionByName(hits)
+        shards = ready if shards is None else shards.unionByName(ready)
+        rows, pieces = x.filter(F.col("open") & (F.col("kinds") > MOST_IN_GROUP)), 2
+        if not rows.limit(1).count():
+            return spans.unionByName(_shards(shards, length))
 
 
 FIELDS = [field("n_bytes", "long"), field("n_removed", "long"), field("n_spans", "long"), field("kept_sha256", "string")]
@@ -368,8 +404,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     whole = x.filter("mc > 1").select("t", lo.alias("s"), hi.alias("e")).filter(F.col("e") - F.col("s") >= length)
     wanted = x.filter("turn = 1 and least = 1").select("a", "t", "pos", (F.col("mc") > 1).alias("copies"))
     parts = _parts(rows.select("t", "text").dropDuplicates(["t"]), wanted, length, gram)
-    groups = cut_lineage(parts.withColumns({"key": F.col("a"), "lo": F.lit(0).cast("long"), "hi": F.lit(reach).cast("long")}), "suffix-parts")
-    found = _shards(_split(groups, length, MOST_IN_GROUP), length, gram)
+    found = _repeats(cut_lineage(parts, "suffix-parts"), length, gram)
     spans = whole.unionByName(found).distinct().groupBy("t").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
 
     def run(batches):
