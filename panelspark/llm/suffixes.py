@@ -35,8 +35,8 @@ from panelspark.llm.kernels import BASE, BASE_INV, BYTE_CODE, _power_table, byte
 
 LENGTH = 200
 GRAM = 40
-SHARD_BYTES = 1 << 20
-MOST_IN_GROUP = 10_000    # distinct surroundings of one group; larger groups are split
+SHARD_BYTES = 1 << 19
+MOST_IN_GROUP = 4000      # distinct surroundings of one group; larger groups are split
 PIECES = 4                # ranges into which the windows that hold an anchor are cut first
 TOKEN = 8                 # bytes that stand for a group's core: numbers up to 7 ** 7 groups in a shard
 
@@ -94,7 +94,7 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.
         whole = np.concatenate(large[c]) if large[c] else lms[:0]
         large[c] = [whole]
         _deal(*back(whole[::-1], True), less, -1)
-    parts = [np.array([len(s) - 1])]   # the end, smaller than all; nothing induces it
+    parts = [np.array([len(s) - 1], lms.dtype)]   # the end, smaller than all; nothing induces it
     for c in range(1, size):
         parts += [*large[c], np.concatenate(less[c])[::-1] if less[c] else lms[:0]]
     return np.concatenate(parts)
@@ -111,7 +111,7 @@ def suffix_array(s: np.ndarray, depth: int | None = None) -> np.ndarray:
     s = np.append(s, np.uint8(0))
     n, size = len(s), int(s.max()) + 1
     small = _classify(s)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32 if n < 1 << 31 else np.int64)
     if len(lms) > 1:
         # first induction: leftmost-smaller substrings in order
         by_symbol = lms[np.argsort(s[lms], kind="stable")]
