@@ -46,3 +46,13 @@ def test_suffix_array_and_common_prefixes():
             x, y = bytes(s[a:]), bytes(s[b:])
             k = next((k for k in range(51) if k == 50 or k >= min(len(x), len(y)) or x[k] != y[k]))
             assert plcp[a] == k
+
+
+def test_tokens_name_groups_and_repeats_stay_inside_them():
+    tokens = [S._token(g) for g in range(5000)]
+    assert len(set(tokens)) == 5000 and all(len(t) == S.TOKEN and t.count(b"\xff") == 1 for t in tokens)
+    # width 3: windows hold 2 bytes around the core; rows 0 and 1 agree on "b|c", row 2 has the same bytes in another group
+    parts = [b"ab" + tokens[0] + b"cd", b"xb" + tokens[0] + b"cy", b"ab" + tokens[1] + b"cd"]
+    place = np.array([1000, 2000, 3000], np.uint64)
+    got = S.repeated_windows(parts, place, np.zeros(3, bool), np.zeros(3, np.int64), np.full(3, 2), 2 + S.TOKEN)
+    assert got == [(1, 1), (1, 1), None]
