@@ -312,9 +312,10 @@ def link_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: in
     for turn in range(STAR_ROUNDS + 1 if lists.limit(1).count() else 0):
         # what each list's members belong to by now, and the largest component on it
         per = lists.join(comp, "cid")
-        sizes = per.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m"))
-        main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("m").alias("all"),
-                                          F.max("m").alias("top")).filter(F.col("all") > F.col("top"))
+        # (of equal ones that with the class that has the fewest tokens of its own: nearest to what copies have in common)
+        sizes = per.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m"), F.min(F.col("n") - F.col("most")).alias("odd"))
+        main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("m", -F.col("odd"), F.xxhash64("comp"), "comp")).alias("main"),
+                                          F.sum("m").alias("all"), F.max("m").alias("top")).filter(F.col("all") > F.col("top"))
         per = cut_lineage(per.join(main, "token"), "jaccard-open")
         last = turn == STAR_ROUNDS
         if last:
