@@ -174,8 +174,8 @@ def _sets(docs: DataFrame, key: str, text: str, k: int, percent: int, level) ->
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """(token, cid, n, p, last): the inverted index of the short lists; p and last: number and last token of a class's."""
-    names = ["token", "cid", "n", "p", "last"]
+    """(token, cid, n, p, at): the inverted index of the short lists; p: number of a class's, at: the token's place among them."""
+    names = ["token", "cid", "n", "p", "at"]
     schema = T.StructType([T.StructField(c, T.LongType()) for c in names])
 
     def run(batches):
@@ -185,9 +185,9 @@ def _postings(classes: DataFrame) -> DataFrame:
                 tokens = [np.frombuffer(v.as_buffer(), np.int64) for v in part.column(2)]
                 lens = [len(t) for t in tokens]
                 cid, n = (np.repeat(part.column(i).to_numpy(), lens) for i in (0, 1))
-                last = np.repeat([t[-1] for t in tokens], lens)
+                at = np.concatenate([np.arange(m) for m in lens])
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (
-                    np.concatenate(tokens), cid, n, np.repeat(lens, lens), last)], names=names)
+                    np.concatenate(tokens), cid, n, np.repeat(lens, lens), at)], names=names)
 
     return classes.select("cid", "n", "short").mapInArrow(run, schema)
 
@@ -321,20 +321,18 @@ def link_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: in
         if last:
             # merge the short lists across components: count on how many a pair occurs
             side = lambda q: ["token", *[F.col(c).alias(d + q) for c, d in
-                                         (("cid", ""), ("n", "n"), ("most", "m"), ("comp", "c"), ("p", "p"), ("last", "l"))]]
+                                         (("cid", ""), ("n", "n"), ("most", "m"), ("comp", "c"), ("at", "t"))]]
             x = per.filter(F.col("comp") != F.col("main")).select(*side("a"))
             y = per.select(*side("b"), "main")
             hits = F.least(F.lit(SHORT_HITS), F.ceil(F.col("na") * percent / 100), F.ceil(F.col("nb") * percent / 100))
-            # of the side whose short lists end first, a short-list token that the other lacks there is not shared at all
-            first = F.col("la") <= F.col("lb")
-            spare = F.when(first, F.col("na") - F.col("pa")).otherwise(F.col("nb") - F.col("pb"))
-            reach = F.col("m") + F.col("spare")
-            pairs = (x.join(y, "token").filter((F.col("ca") != F.col("cb")) & _can_reach(F.col("na"), F.col("ma"), F.col("nb"), F.col("mb"), percent)
+            # two sets that share T share HITS of their first n - T + HITS lists already
+            need = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
+            early = (F.col("ta") < F.col("na") - need + hits) & (F.col("tb") < F.col("nb") - need + hits)
+            pairs = (x.join(y, "token").filter((F.col("ca") != F.col("cb")) & early & _can_reach(F.col("na"), F.col("ma"), F.col("nb"), F.col("mb"), percent)
                                                & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))))
                      .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-                     .agg(F.count(F.lit(1)).alias("m"), F.first(hits).alias("least"), F.first(spare).alias("spare"),
-                          F.first(F.col("na") + F.col("nb")).alias("both"))
-                     .filter((F.col("m") >= F.col("least")) & (reach * 100 >= (F.col("both") - reach) * percent)).select("a", "b"))
+                     .agg(F.count(F.lit(1)).alias("m"), F.first(hits).alias("least"))
+                     .filter(F.col("m") >= F.col("least")).select("a", "b"))
         else:
             # on long lists: one class of the largest component; first the one with the fewest tokens of its own
             # (nearest to what its copies have in common), then another one each round
