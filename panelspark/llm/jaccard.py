@@ -174,8 +174,8 @@ def _sets(docs: DataFrame, key: str, text: str, k: int, percent: int, level) ->
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """(token, cid, n, p, at): the inverted index of the short lists; p: number of a class's, at: the token's place among them."""
-    names = ["token", "cid", "n", "p", "at"]
+    """(token, cid, n, at): the inverted index of the short lists; at: the token's place in its class's set."""
+    names = ["token", "cid", "n", "at"]
     schema = T.StructType([T.StructField(c, T.LongType()) for c in names])
 
     def run(batches):
@@ -187,7 +187,7 @@ def _postings(classes: DataFrame) -> DataFrame:
                 cid, n = (np.repeat(part.column(i).to_numpy(), lens) for i in (0, 1))
                 at = np.concatenate([np.arange(m) for m in lens])
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (
-                    np.concatenate(tokens), cid, n, np.repeat(lens, lens), at)], names=names)
+                    np.concatenate(tokens), cid, n, at)], names=names)
 
     return classes.select("cid", "n", "short").mapInArrow(run, schema)
 
@@ -253,22 +253,39 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, schema)
 
 
-def _prune(lists: DataFrame, percent: int) -> DataFrame:
+def _can_pair(lists: DataFrame, percent: int) -> DataFrame:
     """Without the classes that cannot reach any partner.
 
-    Short-list tokens that no other class has cannot be shared: ``most`` is
-    what is left of the set.  A class needs ``most`` >= T, and SHORT_HITS
-    shared tokens (fewer only if T is smaller).
+    The first ``c`` tokens that two linked sets share are on the short lists
+    of both (``c`` = SHORT_HITS, T if that is smaller), so each stands on a
+    list that is still here.  The c-th cannot come before the class's c-th
+    such token, which bounds what it shares: ``most`` = c and all after that.
     """
-    own = lists.groupBy("cid").agg(F.count(F.lit(1)).alias("s"), F.first("n").alias("n1"), F.first("p").alias("p1"))
-    own = (own.withColumn("most", F.col("n1") - F.col("p1") + F.col("s"))
-           .filter((F.col("most") * 100 >= F.col("n1") * percent)
-                   & (F.col("s") >= F.least(F.lit(SHORT_HITS), F.ceil(F.col("n1") * percent / 100))))
-           .select("cid", "most"))
-    left = lists.drop("most").join(own, "cid")
+    c = F.least(F.lit(SHORT_HITS), F.ceil(F.col("n1") * percent / 100)).cast("int")
+    own = (lists.groupBy("cid").agg(F.first("n").alias("n1"), F.sort_array(F.collect_list("at")).alias("places"))
+           .filter(F.size("places") >= c).withColumn("most", F.col("n1") - 1 - F.element_at("places", c) + c)
+           .filter(F.col("most") * 100 >= F.col("n1") * percent).select("cid", "most"))
+    return lists.drop("most").join(own, "cid")
+
+
+def _prune(lists: DataFrame, percent: int) -> DataFrame:
+    """Without the classes that cannot reach any partner, and the lists that are then left with one class."""
+    left = _can_pair(lists, percent)
     return cut_lineage(left.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("m > 1").drop("m"), "jaccard-lists")
 
 
+def _open(per: DataFrame) -> DataFrame:
+    """The lists on which classes of several components are, each with its largest component as ``main``.
+
+    Of equally large ones the one that has the class with the fewest tokens
+    of its own: nearest to what copies have in common.
+    """
+    sizes = per.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m"), F.min(F.col("n") - F.col("most")).alias("odd"))
+    main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("m", -F.col("odd"), F.xxhash64("comp"), "comp")).alias("main"),
+                                      F.sum("m").alias("all"), F.max("m").alias("top")).filter(F.col("all") > F.col("top"))
+    return per.join(main, "token")
+
+
 def _can_reach(na, ma, nb, mb, percent: int):
     """Whether two sets of which at most ma and mb shingles can be shared may reach the threshold."""
     both = F.least(ma, mb)
@@ -311,14 +328,12 @@ def link_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: in
     sets = None
     for turn in range(STAR_ROUNDS + 1 if lists.limit(1).count() else 0):
         # what each list's members belong to by now, and the largest component on it
-        per = lists.join(comp, "cid")
-        # (of equal ones that with the class that has the fewest tokens of its own: nearest to what copies have in common)
-        sizes = per.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m"), F.min(F.col("n") - F.col("most")).alias("odd"))
-        main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("m", -F.col("odd"), F.xxhash64("comp"), "comp")).alias("main"),
-                                          F.sum("m").alias("all"), F.max("m").alias("top")).filter(F.col("all") > F.col("top"))
-        per = cut_lineage(per.join(main, "token"), "jaccard-open")
+        per = cut_lineage(_open(lists.join(comp, "cid")), "jaccard-open")
         last = turn == STAR_ROUNDS
         if last:
+            # tokens that only a class's own component has lead nowhere
+            for _ in range(PRUNE_ROUNDS):
+                per = cut_lineage(_open(_can_pair(per.drop("main", "all", "top"), percent)), "jaccard-open")
             # merge the short lists across components: count on how many a pair occurs
             side = lambda q: ["token", *[F.col(c).alias(d + q) for c, d in
                                          (("cid", ""), ("n", "n"), ("most", "m"), ("comp", "c"), ("at", "t"))]]
