@@ -38,6 +38,7 @@ from panelspark.session import sized_broadcast
 
 WORDS, PERCENT = 5, 80
 SHORT_HITS = 8
+JOIN_HITS = 4             # of these, asked for by the last join
 SKETCH_BITS = 22
 CHUNK = 1 << 16
 STAR_ROUNDS = 1
@@ -262,6 +263,7 @@ def _can_pair(lists: DataFrame, percent: int) -> DataFrame:
     such token, which bounds what it shares: ``most`` = c and all after that.
     """
     c = F.least(F.lit(SHORT_HITS), F.ceil(F.col("n1") * percent / 100)).cast("int")
+    # a class's places: no more than one document's short tokens
     own = (lists.groupBy("cid").agg(F.first("n").alias("n1"), F.sort_array(F.collect_list("at")).alias("places"))
            .filter(F.size("places") >= c).withColumn("most", F.col("n1") - 1 - F.element_at("places", c) + c)
            .filter(F.col("most") * 100 >= F.col("n1") * percent).select("cid", "most"))
@@ -339,8 +341,8 @@ def link_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: in
                                          (("cid", ""), ("n", "n"), ("most", "m"), ("comp", "c"), ("at", "t"))]]
             x = per.filter(F.col("comp") != F.col("main")).select(*side("a"))
             y = per.select(*side("b"), "main")
-            hits = F.least(F.lit(SHORT_HITS), F.ceil(F.col("na") * percent / 100), F.ceil(F.col("nb") * percent / 100))
-            # two sets that share T share HITS of their first n - T + HITS lists already
+            hits = F.least(F.lit(JOIN_HITS), F.ceil(F.col("na") * percent / 100), F.ceil(F.col("nb") * percent / 100))
+            # two sets that share T share hits of their first n - T + hits lists already
             need = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
             early = (F.col("ta") < F.col("na") - need + hits) & (F.col("tb") < F.col("nb") - need + hits)
             pairs = (x.join(y, "token").filter((F.col("ca") != F.col("cb")) & early & _can_reach(F.col("na"), F.col("ma"), F.col("nb"), F.col("mb"), percent)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import pytest
@@ -56,6 +57,24 @@ def test_jaccard_components(spark, empty, k, percent):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+@pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
+def test_many_copies_around_the_threshold(spark, k, percent):
+    """Copies of one text with 0 to 8 words changed, some alike: links on both sides of the threshold, none lost."""
+    rng = random.Random(k)
+    core = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(150):
+        words = list(core[:rng.choice((150, 150, 140))])
+        for _ in range(rng.randrange(9)):
+            words[rng.randrange(len(words))] = rng.choice((f"e{rng.randrange(12)}", f"x{i}"))
+        rows.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = rows_of(jaccard.jaccard_components(docs, k=k, percent=percent))
+    want = jaccard_brute(rows, k, percent)
+    assert len({c for _, c in want}) > 5
+    assert [(got[i].n_shingles, got[i].component_id) for i in range(len(rows))] == want
+
+
 def test_drop_near_copies(spark):
     rows = texts()
     want = {i for i, (_, c) in enumerate(jaccard_brute(rows, 5, 80)) if c == i}
