@@ -2,20 +2,20 @@
 
 A page's markup is read to blocks (lines), leaving out what is never content
 by its element (navigation, headers, footers, forms, scripts ...) or by its
-class, id or role (adverts, notices, menus, comments ...).  Where a page
-marks its article, only the article's lines are content.
-
-Lines that no article encloses are checked by differencing: pages of a host
-are put in order of their URL path, each is paired with the neighbour whose
-path is nearest (longest common beginning), their lines are aligned by
-longest common subsequence, and shared lines are deleted as boilerplate.  A
-pair that shares most of its text is a pair of copies, not of a template, and
-keeps it.  Lines inside an article are not deleted, since a copied article
-shares all its lines and "nothing else" may go.
+class, id or role (adverts, notices, menus, comments ...).
+
+Every page is then differenced: the pages of a host are put in order of their
+URL path, each is paired with the neighbour whose path is nearest (longest
+common beginning) among those whose lines are not all the same as its own,
+the two are aligned by longest common subsequence of their lines, and shared
+lines are deleted as boilerplate.  Lines inside an article element are
+aligned but not deleted, since a copied article shares all its lines and
+"nothing else" may go.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
 from bisect import bisect_left
@@ -29,8 +29,6 @@ from panelspark.llm.frames import col, cut_lineage, prepare
 from panelspark.llm.urls import host_and_path
 from panelspark.session import sized_broadcast
 
-COPY_SHARE = 0.5   # a pair that shares more of either page's characters than this is a pair of copies
-
 # Elements by what they are (public HTML element names).
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 SKIP = {"nav", "header", "footer", "aside", "form", "noscript", "template", "button", "select", "svg", "canvas", "object", "dialog", "menu", "head"}
@@ -60,14 +58,13 @@ def _not_content(attributes: str) -> bool:
     return bool(_HIDDEN.search(attributes))
 
 
-def page_lines(page: str | None) -> tuple[list[str], bool]:
-    """(lines of content, whether the page marks its article)."""
+def page_lines(page: str | None) -> list[tuple[str, bool]]:
+    """Lines that may be content, each with whether an article encloses it."""
     page = page or ""
     lines: list[tuple[str, bool]] = []
     part: list[str] = []
     skip: list[str] = []        # open elements inside a skipped one
     inside = 0                  # depth of article elements
-    seen = False
     at = 0
 
     def end_block() -> None:
@@ -118,14 +115,11 @@ def page_lines(page: str | None) -> tuple[list[str], bool]:
             end_block()
         if name in ARTICLE:
             inside = max(0, inside - 1) if closing else inside + 1
-            seen = seen or not closing
     end_block()
-    if seen:
-        return [text for text, own in lines if own], True
-    return [text for text, _ in lines], False
+    return lines
 
 
-def shared_lines(a: list[str], b: list[str]) -> list[int]:
+def shared_lines(a: list, b: list) -> list[int]:
     """Places in ``a`` of a longest common subsequence with ``b`` (Hunt and Szymanski, ends first)."""
     lo = 0
     while lo < min(len(a), len(b)) and a[lo] == b[lo]:
@@ -133,7 +127,7 @@ def shared_lines(a: list[str], b: list[str]) -> list[int]:
     hi = 0
     while hi < min(len(a), len(b)) - lo and a[len(a) - 1 - hi] == b[len(b) - 1 - hi]:
         hi += 1
-    where: dict[str, list[int]] = {}
+    where: dict[object, list[int]] = {}
     for j in range(len(b) - hi - 1, lo - 1, -1):
         where.setdefault(b[j], []).append(j)
     ends: list[int] = []
@@ -154,34 +148,48 @@ def shared_lines(a: list[str], b: list[str]) -> list[int]:
     return [*range(lo), *reversed(middle), *range(len(a) - hi, len(a))]
 
 
-def difference(a: list[str], b: list[str] | None) -> list[str]:
-    """``a`` without the lines that it shares with ``b``, unless the two are copies."""
-    if not b:
-        return a
-    shared = shared_lines(a, b)
-    size = sum(len(a[i]) for i in shared)
-    if size > COPY_SHARE * min(sum(map(len, a)), sum(map(len, b))):
-        return a
-    gone = set(shared)
-    return [line for i, line in enumerate(a) if i not in gone]
+def outline(lines: list[tuple[str, bool]]) -> tuple[bytes, bytes, list[int], list[int]]:
+    """(digest of the lines, digest of lines and marks, hash of each line, places outside an article)."""
+    coded = [text.encode("utf-8", "replace") for text, _ in lines]
+    text = hashlib.blake2b(b"\n".join(coded), digest_size=16).digest()
+    marks = hashlib.blake2b(text + bytes(own for _, own in lines), digest_size=16).digest()
+    hashes = [int.from_bytes(hashlib.blake2b(c, digest_size=8).digest(), "little", signed=True) for c in coded]
+    return text, marks, hashes, [i for i, (_, own) in enumerate(lines) if not own]
 
 
 def _neighbours(pages: DataFrame) -> DataFrame:
-    """(id, near): for each page of (id, host, path) the page of its host with the nearest path, null if alone.
+    """(host, path, page, hashes, outside, other): ``other`` are the hashes of the nearest page that is no copy, null without one.
 
-    The pages are range-sorted by host and path; neighbours come from inside
-    a range, or from the first or last page of the next one, so that a host
-    of any size is dealt over many tasks.
+    ``pages`` has one row per host, path and page digest.  They are range-sorted
+    by host and path, so that a host of any size is dealt over many tasks.  In
+    this order the nearest page that is no copy lies before or after the run of
+    copies that a page is in.  Of each range the two first and two last runs
+    are enough to carry on into the ranges next to it.
     """
     n = max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    x = cut_lineage(pages.repartitionByRange(n, "host", "path", "id").withColumn("pid", F.spark_partition_id()), "html-order")
-    me = F.struct("id", "host", "path")
-    order = Window.partitionBy("pid").orderBy("host", "path", "id")
-    x = x.withColumn("before", F.lag(me).over(order)).withColumn("after", F.lead(me).over(order))
-    ends = x.groupBy("pid").agg(F.min(F.when(F.col("before").isNull(), me)).alias("head"), F.max(F.when(F.col("after").isNull(), me)).alias("tail"))
-    ranges = Window.orderBy("pid")   # one row per range
-    ends = ends.select("pid", F.lag("tail").over(ranges).alias("tail"), F.lead("head").over(ranges).alias("head"))
-    x = x.join(sized_broadcast(ends), "pid").withColumns({"before": F.coalesce("before", "tail"), "after": F.coalesce("after", "head")})
+    x = cut_lineage(pages.repartitionByRange(n, "host", "path", "digest", "page").withColumn("pid", F.spark_partition_id()), "html-order")
+    me = F.struct("host", "path", "digest", "page", "hashes")
+    up = Window.partitionBy("pid").orderBy("host", "path", "digest", "page")
+    down = Window.partitionBy("pid").orderBy(*(F.col(c).desc() for c in ("host", "path", "digest", "page")))
+    other = lambda c: ~(F.col(f"{c}.host").eqNullSafe(F.col("host")) & F.col(f"{c}.digest").eqNullSafe(F.col("digest")))
+    x = x.withColumns({"before": F.lag(me).over(up), "after": F.lead(me).over(up)})
+    x = x.withColumns({"starts": other("before"), "stops": other("after")})
+    x = x.withColumns({"before": F.when(F.col("starts"), F.col("before")), "after": F.when(F.col("stops"), F.col("after"))})
+    rows = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumns({"run": F.sum(F.col("starts").cast("long")).over(rows(up)), "rest": F.sum(F.col("stops").cast("long")).over(rows(down)),
+                       "before": F.last("before", ignorenulls=True).over(rows(up)), "after": F.last("after", ignorenulls=True).over(rows(down))})
+    # the outer runs of each range, at most four rows a range
+    edge = (x.filter((F.col("run") <= 2) | (F.col("rest") <= 2)).filter("starts or stops").groupBy("pid", "run", "host", "digest")
+            .agg(F.min(me).alias("first"), F.max(me).alias("last")))
+    ranges = Window.orderBy("pid", "run")
+    edge = edge.withColumn("new", ~(F.lag("host").over(ranges).eqNullSafe(F.col("host")) & F.lag("digest").over(ranges).eqNullSafe(F.col("digest"))))
+    edge = edge.withColumn("chain", F.sum(F.col("new").cast("long")).over(rows(ranges)))
+    chains = edge.groupBy("chain").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    order = Window.orderBy("chain")
+    chains = chains.select("chain", F.lag("last").over(order).alias("tail"), F.lead("first").over(order).alias("head"))
+    bounds = (edge.join(chains, "chain").groupBy("pid")
+              .agg(F.min_by("tail", "run").alias("tail"), F.max_by("head", "run").alias("head")))
+    x = x.join(sized_broadcast(bounds), "pid").withColumns({"before": F.coalesce("before", "tail"), "after": F.coalesce("after", "head")})
     mine = lambda c: F.when(F.col(f"{c}.host") == F.col("host"), F.col(c))
     x = x.withColumns({"before": mine("before"), "after": mine("after")})
     depth = lambda c: F.coalesce(F.aggregate(  # noqa: E731  length of the common beginning of the paths
@@ -189,7 +197,31 @@ def _neighbours(pages: DataFrame) -> DataFrame:
         F.struct(F.lit(True).alias("go"), F.lit(0).alias("n")),
         lambda s, e: F.struct((s["go"] & F.coalesce(e, F.lit(False))).alias("go"),
                               (s["n"] + F.when(s["go"] & F.coalesce(e, F.lit(False)), 1).otherwise(0)).alias("n")), lambda s: s["n"]), F.lit(-1))
-    return x.select("id", F.when(depth("after") > depth("before"), F.col("after.id")).otherwise(F.coalesce("before.id", "after.id")).alias("near"))
+    near = F.when(depth("after") > depth("before"), F.col("after.hashes")).otherwise(F.coalesce("before.hashes", "after.hashes"))
+    return x.select("host", "path", "page", "hashes", "outside", near.alias("other"))
+
+
+def _boilerplate(src: DataFrame) -> DataFrame:
+    """(host, path, page, gone): the places of the lines outside an article that a page shares with its neighbour."""
+    kinds = {"digest": T.BinaryType(), "page": T.BinaryType(), "hashes": T.ArrayType(T.LongType()), "outside": T.ArrayType(T.IntegerType())}
+    named = [T.StructField("host", T.StringType()), T.StructField("path", T.StringType())]
+
+    def read(batches):
+        for b in batches:
+            got = list(zip(*[outline(page_lines(x)) for x in b.column(2).to_pylist()])) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got[0], pa.binary()), pa.array(got[1], pa.binary()),
+                                              pa.array(got[2], pa.list_(pa.int64())), pa.array(got[3], pa.list_(pa.int32()))], names=["host", "path", *kinds])
+
+    def differ(batches):
+        for b in batches:
+            mine, outside, other = (b.column(i).to_pylist() for i in (3, 4, 5))
+            gone = [sorted(set(shared_lines(x, z)) & set(y)) if z else [] for x, y, z in zip(mine, outside, other)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(gone, pa.list_(pa.int32()))], names=["host", "path", "page", "gone"])
+
+    pages = src.select("host", "path", "html").mapInArrow(read, T.StructType([*named, *(T.StructField(k, v) for k, v in kinds.items())]))
+    pages = pages.filter(F.size("hashes") > 0).dropDuplicates(["host", "path", "page"])
+    gone = _neighbours(pages).mapInArrow(differ, T.StructType([*named, T.StructField("page", T.BinaryType()), T.StructField("gone", T.ArrayType(T.IntegerType()))]))
+    return cut_lineage(gone.filter(F.size("gone") > 0), "html-gone")
 
 
 def extract_text(pages: DataFrame, html: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
@@ -199,34 +231,28 @@ def extract_text(pages: DataFrame, html: str = "html", url: str = "url", key: st
     url has no host and is paired with others of that kind.  Repeated rows
     each get a row.  Markup that ends early is read as far as it goes.
     Columns other than the three named are not read.
+
+    The markup is read twice, so that only hashes of the lines are put in
+    order and the texts move only where a page loses lines.
     """
     prepare(pages.sparkSession)
-    kind = pages.schema[key].dataType
-    schema = T.StructType([T.StructField("key", kind), T.StructField("url", T.StringType()),
-                           T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("open", T.BooleanType())])
+    host, path = host_and_path(col(url).cast("string"))
+    src = pages.select(col(key).alias("key"), col(url).cast("string").alias("url"), host.alias("host"), path.alias("path"), col(html).cast("string").alias("html"))
+    kept = [T.StructField("key", pages.schema[key].dataType), T.StructField("url", T.StringType())]
+    named = [T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("page", T.BinaryType())]
 
     def read(batches):
         for b in batches:
-            got = [page_lines(x) for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.list_(pa.string())),
-                                              pa.array([not g[1] and bool(g[0]) for g in got], pa.bool_())], names=["key", "url", "lines", "open"])
-
-    src = pages.select(col(key).alias("key"), col(url).cast("string").alias("url"), col(html).cast("string").alias("html"))
-    lines = cut_lineage(src.mapInArrow(read, schema), "html-lines")
-    done = lines.filter(~F.col("open")).select("key", "url", "lines")
-    loose = lines.filter("open")
-    if loose.limit(1).count():
-        loose = cut_lineage(loose.withColumn("id", F.monotonically_increasing_id()), "html-loose")
-        host, path = host_and_path(F.col("url"))
-        near = _neighbours(loose.select("id", host.alias("host"), path.alias("path")))
-        pairs = (loose.join(near, "id").join(loose.select(F.col("id").alias("near"), F.col("lines").alias("other")), "near", "left")
-                 .select("key", "url", "lines", "other"))
-
-        def differ(batches):
-            for b in batches:
-                rest = [difference(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rest, pa.list_(pa.string()))], names=["key", "url", "lines"])
-
-        done = done.unionByName(pairs.mapInArrow(differ, T.StructType(schema.fields[:3])))
+            got = [page_lines(x) for x in b.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([outline(g)[1] for g in got], pa.binary()),
+                                              pa.array([[t for t, _ in g] for g in got], pa.list_(pa.string()))],
+                                             names=["key", "url", "host", "path", "page", "lines"])
+
+    lines = src.mapInArrow(read, T.StructType([*kept, *named, T.StructField("lines", T.ArrayType(T.StringType()))]))
+    gone = _boilerplate(src)
+    if gone.limit(1).count():
+        rest = F.filter("lines", lambda s, i: ~F.array_contains("gone", i))
+        lines = (lines.join(gone, ["host", "path", "page"], "left")
+                 .withColumn("lines", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(rest)))
     text = F.concat_ws("\n", "lines")
-    return done.select(F.col("key").alias(key), "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+    return lines.select(F.col("key").alias(key), "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))

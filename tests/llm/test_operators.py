@@ -288,6 +288,47 @@ def test_html(spark):
     assert html.shared_lines(list("abcdxyz"), list("aybcz")) == [0, 1, 2, 6]
 
 
+def test_html_differences_every_page(spark):
+    """Menus around articles, around short stories and around copies go by the nearest page that is no copy; no page keeps one for its share."""
+    menu = "".join(f"<div>menu entry number {i} of a long menu</div>" for i in range(20))
+    body = "<body><div>Site name</div>{}<div>Imprint</div>"
+    art = [body.format(f"<article><p>story {i}</p><p>same line</p></article>") for i in (1, 2)]
+    short = [f"<body>{menu}<p>short story {i}</p>" for i in (1, 2)]
+    copies = [(10 + i, f"http://c.org/p/{i}", short[0]) for i in range(12)] + [(30, "http://c.org/p/9/x", short[1])]
+    rows = [(0, "http://a.org/1", art[0]), (1, "http://a.org/2", art[1]), (2, "http://b.org/1", short[0]), (3, "http://b.org/2", short[1]),
+            (4, "http://d.org/1", short[0]), (5, "http://d.org/2", short[0]), (6, "http://d.org/1", short[0]),
+            (7, "http://e.org/1", "<div>date 1</div>" + art[0]), (8, "http://e.org/2", art[1]), *copies]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in html.extract_text(pages).collect()}
+    assert got[0] == "story 1\nsame line" and got[1] == "story 2\nsame line"
+    assert got[2] == "short story 1" and got[3] == "short story 2"
+    assert got[4] == got[5] == got[6] and got[4].count("menu entry") == 20   # copies alone on their host: nothing to tell a menu by
+    assert got[7] == "date 1\nstory 1\nsame line" and got[8] == "story 2\nsame line"
+    assert all(got[10 + i] == "short story 1" for i in range(12)) and got[30] == "short story 2"
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_html_nearest_page_that_is_no_copy(spark, parts):
+    rng = random.Random(parts)
+    rows = sorted({(f"h{rng.randrange(3)}", "/" + "".join(rng.choice("ab") for _ in range(rng.randrange(1, 7))), rng.choice(("t", "t", "t", "t", "u", "v"))) for _ in range(160)})
+    data = [(h, p, d.encode(), d.encode(), [ord(d), i], [0]) for i, (h, p, d) in enumerate(rows)]
+    pages = spark.createDataFrame(data, "host string, path string, digest binary, page binary, hashes array<long>, outside array<int>")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {r.hashes[1]: r.other for r in html._neighbours(pages).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert len(got) == len(rows)
+    for i, (h, p, d) in enumerate(rows):
+        fit = [common(p, q) for g, q, e in rows if g == h and e != d]
+        assert (got[i] is None) == (not fit)
+        if fit:
+            g, q, e = rows[got[i][1]]
+            assert g == h and e != d and common(p, q) == max(fit)
+
+
 def test_quality_on_held_out_labels(spark, empty):
     path = "/root/testdata/sf0.1"   # some 2000 labels to learn from, as many held out
     docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
