@@ -2,7 +2,10 @@
 
 A page's markup is read to blocks (lines), leaving out what is never content
 by its element (navigation, headers, footers, forms, scripts ...) or by its
-class, id or role (adverts, notices, menus, comments ...).
+marks (adverts, notices, menus, comments ...): a whole class token or role, or
+outside an article a whole id.  Inside an article such a mark counts on
+containers only, not on headings or inline elements.  Left out elements whose
+end tag is missing end where HTML implies it.
 
 Every page is then differenced: the pages of a host are put in order of their
 URL path, each is paired with the neighbour whose path is nearest (longest
@@ -37,25 +40,41 @@ BLOCK = {"address", "article", "blockquote", "body", "br", "caption", "center",
          "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "hr", "html", "li", "main", "ol", "option", "p", "pre", "section", "summary",
          "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-# Words of class, id and role that mark what is not content.
+CONTAINER = BLOCK - {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "br", "hr", "html", "body"}
+NESTING = (BLOCK | SKIP | {"optgroup"}) - {"br", "hr"}   # elements whose nesting is followed
+# Start tags that end an open element of the kinds named first, unless one of the kinds named second lies between.
+_CELL, _ROW, _GROUP = {"td", "th"}, {"td", "th", "tr"}, {"td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
+IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir", "table", "td", "th"}), "dt": ({"dt", "dd"}, {"dl", "table", "td", "th"}), "dd": ({"dt", "dd"}, {"dl", "table", "td", "th"}),
+           "td": (_CELL, {"table"}), "th": (_CELL, {"table"}), "tr": (_ROW, {"table"}), "tbody": (_GROUP, {"table"}), "thead": (_GROUP, {"table"}),
+           "tfoot": (_GROUP, {"table"}), "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"})}
+ENDS_P = (BLOCK | {"nav", "header", "footer", "aside", "form", "menu", "dialog"}) - {"br", "body", "html", "caption", "option", "tbody", "td", "tfoot", "th", "thead", "tr"}
+SCOPE = {"table", "td", "th", "caption", "object", "template"}   # end tags of other elements do not reach out of these
+IN_HEAD = {"head", "base", "link", "meta", "noscript", "template", "html"} | RAW
+# Class tokens, ids and roles that mark what is not content.
 NOT_CONTENT = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "banner", "cookie", "cookies", "consent",
                "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login", "sidebar", "aside", "widget",
                "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination", "pager", "toolbar", "header", "masthead", "footer",
                "copyright", "comment", "comments", "disqus", "reply", "replies", "respond", "share", "sharing", "social", "related", "recommended",
                "complementary", "contentinfo", "search", "skip"}
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.DOTALL)
-_MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
-_WORD = re.compile(r"[a-z0-9]+")
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_MARKS = re.compile(r"class|id|role|hidden|style", re.IGNORECASE)
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.IGNORECASE)
+_CLOSED = re.compile(r"""(?:^|[\s"'])/\s*$""")
 
 
-def _not_content(attributes: str) -> bool:
-    if "=" not in attributes and "hidden" not in attributes:
+def _not_content(name: str, attributes: str, inside: bool) -> bool:
+    if not _MARKS.search(attributes):
         return False
-    for m in _MARKS.finditer(attributes):
-        if not NOT_CONTENT.isdisjoint(_WORD.findall((m.group(1) or m.group(2) or m.group(3) or "").lower())):
+    for m in _ATTRIBUTE.finditer(attributes):
+        kind, value = m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "").lower()
+        if kind == "hidden" and value.strip() != "until-found" or kind == "aria-hidden" and value.strip() == "true" or kind == "style" and _NO_DISPLAY.search(value):
             return True
-    return bool(_HIDDEN.search(attributes))
+        if kind in ("class", "role") and (not inside or name in CONTAINER) and not NOT_CONTENT.isdisjoint(value.split()):
+            return True
+        if kind == "id" and not inside and value.strip() in NOT_CONTENT:
+            return True
+    return False
 
 
 def page_lines(page: str | None) -> list[tuple[str, bool]]:
@@ -63,8 +82,9 @@ def page_lines(page: str | None) -> list[tuple[str, bool]]:
     page = page or ""
     lines: list[tuple[str, bool]] = []
     part: list[str] = []
-    skip: list[str] = []        # open elements inside a skipped one
-    inside = 0                  # depth of article elements
+    nest: list[str] = []        # open elements
+    skip = -1                   # place in ``nest`` of the element that is left out
+    inside = 0                  # open article elements
     at = 0
 
     def end_block() -> None:
@@ -76,11 +96,30 @@ def page_lines(page: str | None) -> list[tuple[str, bool]]:
         if text:
             lines.append((text, inside > 0))
 
+    def close(place: int) -> None:
+        """Ends the open element at ``place`` and those in it."""
+        nonlocal skip, inside
+        if skip < 0:
+            end_block()
+        inside -= sum(x in ARTICLE for x in nest[place:])
+        del nest[place:]
+        if skip >= place:
+            skip = -1
+
+    def find(kinds, bars) -> int:
+        """Place of the innermost open element of these kinds, -1 without one or with a bar before it."""
+        for i in range(len(nest) - 1, -1, -1):
+            if nest[i] in kinds:
+                return i
+            if nest[i] in bars:
+                return -1
+        return -1
+
     pos = 0
     while True:
         m = _TAG.search(page, pos)
         stop = m.start() if m else len(page)
-        if not skip and stop > at:
+        if skip < 0 and stop > at:
             part.append(page[at:stop])
         if not m:
             break
@@ -93,28 +132,42 @@ def page_lines(page: str | None) -> list[tuple[str, bool]]:
             end = re.compile(rf"</{name}\b[^>]*>?", re.IGNORECASE).search(page, pos)
             pos = at = end.end() if end else len(page)
             continue
-        if skip:
-            if name in ARTICLE and not closing and not _not_content(attributes):
-                skip.clear()    # an unclosed menu must not swallow the article
-            elif closing and name in skip:
-                while skip.pop() != name:
-                    pass
-                continue
-            elif not closing and name == "body" and skip[0] == "head":
-                skip.clear()
-            else:
-                if not closing and name not in VOID and not attributes.rstrip().endswith("/") and name == skip[0]:
-                    skip.append(name)
-                continue
-        if not closing and (name in SKIP or _not_content(attributes)) and name not in VOID and name not in ("html", "body"):
-            if name not in ARTICLE or _not_content(attributes):
+        left_out = nest[skip] if skip >= 0 else None
+        if closing:
+            if skip < 0 and name in BLOCK:
                 end_block()
-                skip.append(name)
-                continue
-        if name in BLOCK:
+            if name in nest:
+                bars = () if name in ARTICLE or name in ("body", "html", "head") else {"table", "template"} if name in _GROUP or name == "table" else SCOPE
+                place = find((name,), bars if name in NESTING else () if name == left_out else NESTING)
+                if place >= 0:
+                    close(place)
+            continue
+        if left_out == "head" and name not in IN_HEAD:
+            close(skip)
+        if name in ENDS_P and "p" in nest:
+            place = find(("p",), SCOPE | {"button"})
+            if place >= 0:
+                close(place)
+        if name in IMPLIED:
+            kinds, bars = IMPLIED[name]
+            while (place := find(kinds, bars)) >= 0:
+                close(place)
+        marked = name not in VOID and name not in ("html", "body") and _not_content(name, attributes, inside > 0)
+        if skip >= 0 and name in ARTICLE and not marked:
+            close(skip)         # an unclosed menu must not swallow the article
+        if skip < 0 and name in BLOCK:
             end_block()
-        if name in ARTICLE:
-            inside = max(0, inside - 1) if closing else inside + 1
+        if name in VOID or _CLOSED.search(attributes):
+            continue
+        if skip < 0 and (marked or name in SKIP):
+            end_block()
+            skip = len(nest)
+            nest.append(name)
+        elif name in NESTING or skip >= 0 and name == nest[skip]:
+            nest.append(name)
+        else:
+            continue
+        inside += name in ARTICLE
     end_block()
     return lines
 

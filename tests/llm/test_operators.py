@@ -307,6 +307,25 @@ def test_html_differences_every_page(spark):
     assert all(got[10 + i] == "short story 1" for i in range(12)) and got[30] == "short story 2"
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<section id='social-history'><h2 id='search-results' class='search'>Search</h2><p class='notice-board'>A</p><span class='share'>B</span></section>", ["Search", "A", "B"]),
+    ("<div class='x related'>no</div><div role='search'>no</div><p title='hidden role=search'>A</p><p hidden>no</p><p style='display:none'>no</p>", ["A"]),
+    ("<p class=ad>no<p>A</p><p>B</p>", ["A", "B"]),
+    ("<p class=ad>no <b>no</b><div>A</div>B", ["A", "B"]),
+    ("<ul><li class=ad>no<li>A</ul><p>B</p>", ["A", "B"]),
+    ("<ul><li class=ad>no<ul><li>no<li>no</ul>no<li>A<li class=ad>no</ul>B", ["A", "B"]),
+    ("<table><tr><td class=ad>no<td>A<tr class=ad><td>no<td>no<tr><td>B</table>C", ["A", "B", "C"]),
+    ("<dl><dt>A<dd class=ad>no<dt>B<dd>C</dl>", ["A", "B", "C"]),
+    ("<section><div class=ad>no</section><p>A</p>", ["A"]),
+    ("<div class=ad>no<div>no</div>no</span></p>no</div>A", ["A"]),
+    ("<div class=ad />A<p>B", ["A", "B"]),
+    ("<table><tr><td>A<p class=ad>no</table><p>B", ["A", "B"]),
+])
+def test_html_marks_and_implied_ends(page, want):
+    inside = html.page_lines(f"<head><title>t</title><body><nav>no</nav><article>{page}</article><p>after</p>")
+    assert inside == [(x, True) for x in want] + [("after", False)]
+
+
 @pytest.mark.parametrize("parts", [1, 3, 40])
 def test_html_nearest_page_that_is_no_copy(spark, parts):
     rng = random.Random(parts)
