@@ -1,13 +1,15 @@
 """URL filter: rules first, then a path-template tree per host.  DataFrame functions only.
 
-The paths of a host are generalised segment by segment into templates:
+The paths of a host are generalised segment by segment, to their last one,
+into templates:
 
-* variable segments (numbers, identifiers, or values with a small share
-  among many siblings) become ``*``;
 * branches with labelled pages whose share of blocked pages is statistically
-  like that of their labelled siblings (two-proportion z-test) are merged;
-  so are the branches without labels;
-* other branches keep their name.
+  like that of their labelled siblings (two-proportion z-test) are merged,
+  as ``*`` if the segment is a number or identifier, ``(any)`` if it has a
+  small share among many siblings, else ``(alike)``; others keep their name,
+  so do those without a labelled sibling to compare with;
+* branches without labels are merged with each other, numbers and identifiers
+  with labelled ones of that kind.
 
 The labelled pages are those that a rule decides.  A template is rejected if
 its share of blocked among labelled pages, smoothed towards the overall
@@ -25,7 +27,6 @@ from panelspark.llm.frames import col, cut_lineage, prepare
 
 # The rules of the registered query.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-DEPTH = 4                 # segments that templates tell apart
 FANOUT, SHARE = 10, 0.2   # a value among so many siblings and with at most this share is variable
 Z = 1.96                  # branches within so many standard errors are alike
 PRIOR_WEIGHT = 4.0
@@ -52,29 +53,47 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
     return (rule if rules else F.lit(None).cast("string")), (verdict if rules else F.lit(None).cast("string"))
 
 
-def templates(paths: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Adds ``template`` to (host, segs, n, bad, known): one row per distinct host and path segments."""
+def _like(hits: Column, n: Column, other_hits: Column, other_n: Column) -> Column:
+    """Two-proportion z-test; null if either side is empty."""
+    p = (hits + other_hits) / (n + other_n)
+    return F.when((n > 0) & (other_n > 0), F.abs(hits / n - other_hits / other_n) <= Z * F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) * (1 / n + 1 / other_n)) + 1e-9)
+
+
+def templates(paths: DataFrame) -> DataFrame:
+    """Adds ``template`` to (host, segs, n, bad, known): one row per distinct host and path segments.
+
+    Goes down a segment at a time until every path has ended or is alone below its node.
+    """
     x = paths.withColumn("template", F.lit(""))
-    for level in range(depth):
-        seg = F.get("segs", F.lit(level))
-        x = x.withColumn("seg", F.coalesce(seg, F.lit("")))
+    done, level = None, 0
+    c = F.col
+    while True:
+        size = F.size("segs")
+        x = x.withColumn("seg", F.coalesce(F.get("segs", F.lit(level)), F.lit("")))
         # one row per branch; paths that end here have the empty branch
-        branch = x.groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("known").alias("known"))
-        node = branch.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"),
-                                                      F.sum("known").alias("all_known"), F.count(F.lit(1)).alias("fan"))
+        branch = x.groupBy("host", "template", "seg").agg(F.count(F.lit(1)).alias("rows"), *(F.sum(k).alias(k) for k in ("bad", "known", "n")))
+        node = branch.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"), F.sum("known").alias("all_known"),
+                                                      F.sum("rows").alias("all_rows"), F.count(F.lit(1)).alias("fan"))
         b = branch.join(node, ["host", "template"])
-        variable = F.col("seg").rlike(_VARIABLE) | ((F.col("fan") >= FANOUT) & (F.col("n") <= F.col("all_n") * SHARE))
-        rate, rest = F.col("bad") / F.col("known"), F.col("all_known") - F.col("known")
-        other = F.when(rest > 0, (F.col("all_bad") - F.col("bad")) / rest)
-        pooled = F.col("all_bad") / F.col("all_known")
-        error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("known") + 1 / rest))
-        alike = F.when(F.col("known") > 0, F.when(rest > 0, F.abs(rate - other) <= Z * error).otherwise(F.lit(False))).otherwise(F.lit(False))
-        name = (F.when(F.col("seg") == "", F.lit("/"))
-                .when(variable, F.lit("/*")).when(F.col("known") == 0, F.lit("/(unlabelled)"))
-                .when(alike, F.lit("/(alike)")).otherwise(F.concat(F.lit("/"), F.col("seg"))))
-        x = cut_lineage(x.join(b.select("host", "template", "seg", name.alias("step")), ["host", "template", "seg"])
-                        .withColumn("template", F.concat("template", "step")).drop("step", "seg"), "url-templates")
-    return x
+        kind = (F.when(c("seg").rlike(_VARIABLE), "/*").when((c("fan") >= FANOUT) & (c("n") <= c("all_n") * SHARE), "/(any)").otherwise("/(alike)"))
+        b = b.withColumns({"kind": kind, "alike": (c("seg") != "") & F.coalesce(
+            _like(c("bad"), c("known"), c("all_bad") - c("bad"), c("all_known") - c("known")), F.lit(False))})
+        name = (F.when(c("seg") == "", F.lit("/"))
+                .when(c("known") > 0, F.when(c("alike"), c("kind")).otherwise(F.concat(F.lit("/"), c("seg"))))
+                .when(c("kind") == "/*", c("kind")).otherwise(F.lit("/(unlabelled)")))
+        # a path alone below its node has no siblings from here on
+        rest = F.transform(F.slice("segs", level + 1, F.greatest(size, F.lit(1))), lambda s: F.when((c("known") == 0) & s.rlike(_VARIABLE), F.lit("/*"))
+                           .when(c("known") == 0, F.lit("/(unlabelled)")).otherwise(F.concat(F.lit("/"), s)))
+        alone = c("all_rows") == 1
+        x = cut_lineage(x.join(b.select("host", "template", "seg", "all_rows", name.alias("step")), ["host", "template", "seg"])
+                        .withColumns({"template": F.when(alone, F.concat(c("template"), F.array_join(rest, ""), F.lit("/"))).otherwise(F.concat("template", "step")),
+                                      "open": ~alone & (c("seg") != "")}).select("host", "segs", "n", "bad", "known", "template", "open"), "url-templates")
+        closed = x.filter("not open").drop("open")
+        done = closed if done is None else done.unionByName(closed)
+        x = x.filter("open").drop("open")
+        level += 1
+        if not x.limit(1).count():
+            return done
 
 
 def filter_urls(pages: DataFrame, url: str = "url", key: str = "page_id",
@@ -90,7 +109,7 @@ def filter_urls(pages: DataFrame, url: str = "url", key: str = "page_id",
     host, path = host_and_path(col(url))
     x = pages.select(col(key).alias("__key"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    segs = F.slice(F.filter(F.split("path", "/"), lambda s: s != ""), 1, DEPTH)
+    segs = F.filter(F.split("path", "/"), lambda s: s != "")
     x = x.select("__key", "host", "path", rule.alias("rule"), verdict.alias("by_rule"), segs.alias("segs"))
     paths = x.groupBy("host", "segs").agg(F.count(F.lit(1)).alias("n"), F.sum((F.coalesce(F.col("by_rule"), F.lit("")) == "block").cast("long")).alias("bad"),
                                           F.count("by_rule").alias("known"))

@@ -273,6 +273,25 @@ def test_url_templates_spread_a_verdict_over_variable_segments(spark):
     assert got[5].verdict == "block" and got[105].verdict == "allow" and got[5].template != got[105].template
 
 
+def verdicts(spark, rules, paths):
+    pages = spark.createDataFrame([(i, f"http://h.example.org{p}", "y") for i, p in enumerate(paths)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in urls.filter_urls(pages, rules=rules).collect()}
+    assert len(got) == len(paths)
+    return {p: got[i] for i, p in enumerate(paths)}
+
+
+def test_url_templates_tell_deep_segments_apart(spark):
+    rules = [("block", f"h.example.org/a/b/c/d/e/f/spam/{i}") for i in range(10, 40)] + [("allow", f"h.example.org/a/b/c/d/e/f/news/{i}") for i in range(10, 40)]
+    got = verdicts(spark, rules, [f"/a/b/c/d/e/f/{d}/{i}" for d in ("spam", "news") for i in range(40)] + ["/a" * 300])
+    assert got["/a/b/c/d/e/f/spam/5"].verdict == "block" and got["/a/b/c/d/e/f/news/5"].verdict == "allow"
+
+
+def test_url_labelled_branch_among_many_is_compared_before_it_is_merged(spark):
+    paths = [f"/de/{i}" for i in range(20)] + [f"/{d}/{i}" for d in ("en", "fr", "es", "it", "nl", "pl", "pt", "sv", "da", "fi", "cs") for i in range(20)] + ["/about"]
+    got = verdicts(spark, [("block", "h.example.org/de/")], paths)
+    assert all(r.verdict == ("block" if p.startswith("/de/") else "allow") for p, r in got.items())
+
+
 def test_html(spark):
     article = "<html><head><title>t</title><script>var a='<p>';</script></head><body><nav>Menu</nav><div class='ad'>Buy</div><article><h1>T &amp; U</h1><p>a  <b>b</b>\nc<br>d</article><footer>f"
     menu = "<body><div>Home | News</div><p>{}</p><div class='comments'><p>me</p></div><div>Imprint and more of it</div>"
