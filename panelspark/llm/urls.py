@@ -8,8 +8,10 @@ into templates:
   as ``*`` if the segment is a number or identifier, ``(any)`` if it has a
   small share among many siblings, else ``(alike)``; others keep their name,
   so do those without a labelled sibling to compare with;
-* branches without labels are merged with each other, numbers and identifiers
-  with labelled ones of that kind.
+* branches without labels are merged into those if their own shape (shares
+  of pages that end here and that go on with a variable segment, mean depth)
+  is statistically like the shape of the merged labelled branches, numbers
+  and identifiers in any case; what is left is merged without labels.
 
 The labelled pages are those that a rule decides.  A template is rejected if
 its share of blocked among labelled pages, smoothed towards the overall
@@ -66,21 +68,32 @@ def templates(paths: DataFrame) -> DataFrame:
     """
     x = paths.withColumn("template", F.lit(""))
     done, level = None, 0
+    shape = ["n", "ends", "goes", "deep", "deep2"]
     c = F.col
     while True:
         size = F.size("segs")
-        x = x.withColumn("seg", F.coalesce(F.get("segs", F.lit(level)), F.lit("")))
+        x = x.withColumns({"seg": F.coalesce(F.get("segs", F.lit(level)), F.lit("")), "ends": F.when(size == level + 1, c("n")).otherwise(0),
+                           "goes": F.when(F.coalesce(F.get("segs", F.lit(level + 1)), F.lit("")).rlike(_VARIABLE), c("n")).otherwise(0),
+                           "deep": size * c("n"), "deep2": size * size * c("n")})
         # one row per branch; paths that end here have the empty branch
-        branch = x.groupBy("host", "template", "seg").agg(F.count(F.lit(1)).alias("rows"), *(F.sum(k).alias(k) for k in ("bad", "known", "n")))
+        branch = x.groupBy("host", "template", "seg").agg(F.count(F.lit(1)).alias("rows"), *(F.sum(k).alias(k) for k in ("bad", "known", *shape)))
         node = branch.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"), F.sum("known").alias("all_known"),
                                                       F.sum("rows").alias("all_rows"), F.count(F.lit(1)).alias("fan"))
         b = branch.join(node, ["host", "template"])
         kind = (F.when(c("seg").rlike(_VARIABLE), "/*").when((c("fan") >= FANOUT) & (c("n") <= c("all_n") * SHARE), "/(any)").otherwise("/(alike)"))
         b = b.withColumns({"kind": kind, "alike": (c("seg") != "") & F.coalesce(
             _like(c("bad"), c("known"), c("all_bad") - c("bad"), c("all_known") - c("known")), F.lit(False))})
+        group = (b.filter("alike").groupBy("host", "template")
+                 .agg(*(F.sum(k).alias(f"g_{k}") for k in shape), F.collect_set("kind").alias("kinds")))   # three kinds at most
+        b = b.join(group, ["host", "template"], "left")
+        both = c("n") + c("g_n")
+        spread = (c("deep2") + c("g_deep2")) / both - ((c("deep") + c("g_deep")) / both) * ((c("deep") + c("g_deep")) / both)
+        shaped = F.coalesce(_like(c("ends"), c("n"), c("g_ends"), c("g_n")) & _like(c("goes"), c("n"), c("g_goes"), c("g_n"))
+                            & (F.abs(c("deep") / c("n") - c("g_deep") / c("g_n")) <= Z * F.sqrt(F.greatest(spread, F.lit(0.0)) * (1 / c("n") + 1 / c("g_n"))) + 1e-9), F.lit(False))
+        joins = F.when(F.array_contains("kinds", c("kind")), c("kind")).otherwise(F.element_at(F.array_sort("kinds"), 1))
         name = (F.when(c("seg") == "", F.lit("/"))
                 .when(c("known") > 0, F.when(c("alike"), c("kind")).otherwise(F.concat(F.lit("/"), c("seg"))))
-                .when(c("kind") == "/*", c("kind")).otherwise(F.lit("/(unlabelled)")))
+                .when(c("kind") == "/*", c("kind")).when(shaped, joins).otherwise(F.lit("/(unlabelled)")))
         # a path alone below its node has no siblings from here on
         rest = F.transform(F.slice("segs", level + 1, F.greatest(size, F.lit(1))), lambda s: F.when((c("known") == 0) & s.rlike(_VARIABLE), F.lit("/*"))
                            .when(c("known") == 0, F.lit("/(unlabelled)")).otherwise(F.concat(F.lit("/"), s)))

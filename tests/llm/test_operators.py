@@ -280,6 +280,16 @@ def verdicts(spark, rules, paths):
     return {p: got[i] for i, p in enumerate(paths)}
 
 
+def test_url_purity_reaches_unlabelled_branches_of_like_shape(spark):
+    rules = [("block", "h.example.org/spam/"), ("block", "h.example.org/bets/")]
+    paths = [f"/{d}/{i}" for d in ("spam", "bets", "pills") for i in range(30)] + [f"/news/{i}/long/story" for i in range(30)] + ["/about"]
+    got = verdicts(spark, rules, paths)
+    assert got["/pills/3"].verdict == "block" and got["/pills/3"].decided_by == "template" and got["/pills/3"].template == got["/spam/3"].template
+    assert got["/news/3/long/story"].verdict == "allow" and got["/about"].verdict == "allow"
+    # one labelled branch alone says nothing of its siblings
+    assert verdicts(spark, rules[:1], paths)["/pills/3"].verdict == "allow"
+
+
 def test_url_templates_tell_deep_segments_apart(spark):
     rules = [("block", f"h.example.org/a/b/c/d/e/f/spam/{i}") for i in range(10, 40)] + [("allow", f"h.example.org/a/b/c/d/e/f/news/{i}") for i in range(10, 40)]
     got = verdicts(spark, rules, [f"/a/b/c/d/e/f/{d}/{i}" for d in ("spam", "news") for i in range(40)] + ["/a" * 300])
