@@ -7,9 +7,10 @@ Viterbi.  It is trained here, by gradient steps on the exact log-likelihood
 of common secret formats and of harmless look-alikes, and up to
 ``sample_rows`` documents of the table whose base matches serve as labels.
 
-Tokens far from any digit or secret word are outside by definition, so the
-field is run on stretches around those; stretches of a batch are decoded
-together.  Every text is scanned whole, in one pass without a shuffle.
+The field is run on stretches around digits, secret words, letters that
+change from small to capital within a word, long runs, and assignments of six
+characters or more; tokens far from all of those are outside by definition.
+Stretches of a batch are decoded together.  Every text is scanned whole, in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -36,15 +37,16 @@ KINDS = ("assign", "access", "hex", "crf")
 
 SAMPLE_ROWS = 600        # bound on labelled rows taken from the table
 GENERATED = 1200         # generated training lines
-LEAST_LENGTH = 8         # shorter spans of the field are not reported
+LEAST_LENGTH = 6         # shorter spans of the field are not reported
 REACH = 64               # characters around a trigger that the field sees
 
 _HEX_RUN = re.compile(r"[0-9a-f]{%d,}" % HEX_MIN)
-_WORDS = r"pass(?:word|wd|phrase)|secret|token|api_?key|credential|private_?key|access_?key|bearer"
-_DIGIT = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9]|" + _WORDS, re.IGNORECASE | re.ASCII)
+_WORDS = r"pass(?:word|wd|phrase|code)|pwd|auth|secret|token|api_?key|credential|private_?key|access_?key|bearer"
+_MARKS = r"""[0-9]|[a-z](?=[A-Z])|[=:]["']?\x20?["']?(?=[A-Za-z0-9+/_.-]{6})|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20}"""
+_MARK = re.compile(_MARKS)
+_TRIGGER = re.compile(_MARKS + "|(?i:" + _WORDS + ")", re.ASCII)
 # a text without any of these (in lower case) needs no search for words or assignments
-_HINTS = ("pass", "secret", "token", "api", "credential", "private", "access", "bearer")
+_HINTS = ("pass", "pwd", "auth", "secret", "token", "api", "credential", "private", "access", "bearer")
 _KEYWORD = re.compile(r"(?:[a-z]+_)*(?:" + _WORDS + r")s?", re.IGNORECASE | re.ASCII)
 _TOKEN = re.compile(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]", re.ASCII)
 _SPACE = re.compile(r"\s")
@@ -74,10 +76,10 @@ def secret_values(text: str) -> list[tuple[int, int]]:
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of the text near a digit or a secret word, cut at white space."""
+    """Parts of the text near a trigger, cut at white space."""
     out: list[list[int]] = []
     done = -1
-    for m in (_TRIGGER if _hinted(text) else _DIGIT).finditer(text):
+    for m in (_TRIGGER if _hinted(text) else _MARK).finditer(text):
         if m.end() <= done:
             continue
         lo, hi = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
@@ -259,22 +261,31 @@ def generated_lines(n: int = GENERATED, seed: int = 11) -> list[tuple[str, list[
     alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
     word = lambda: pick("etaoinshrdlu", rng.randint(2, 9))
+    camel = lambda k: "".join(word().capitalize() for _ in range(k))
     hexs = "0123456789abcdef"
     secrets = [lambda: "ghp_" + pick(alnum, 36), lambda: "sk_live_" + pick(alnum, 24), lambda: "AKIA" + pick(alnum[:26] + alnum[-10:], 16),
                lambda: pick(hexs, rng.choice([32, 40, 64])), lambda: pick(alnum, rng.randint(16, 44)),
-               lambda: pick(alnum + "+/", 40) + "==", lambda: ".".join(["eyJ" + pick(alnum, 20), pick(alnum, 40), pick(alnum, 30)])]
+               lambda: pick(alnum + "+/", 40) + "==", lambda: ".".join(["eyJ" + pick(alnum, 20), pick(alnum, 40), pick(alnum, 30)]),
+               lambda: pick(alnum[:52], rng.randint(16, 40))]
+    # told by their name alone
+    named = [lambda: camel(rng.randint(2, 5)) + "xy", lambda: word() + "-" + word() + "-" + word(), lambda: pick(alnum[26:52], rng.randint(6, 28)), lambda: pick(alnum[:52], rng.randint(6, 16)),
+             lambda: pick(alnum, rng.randint(6, 16))]
     harmless = [lambda: f"{word()}.{rng.randint(1, 99)}@mail{rng.randint(1, 9)}.example.com", lambda: f"+1 ({pick('0123456789', 3)}) 555-{pick('0123456789', 4)}",
                 lambda: pick("0123456789", 16), lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), lambda: f"20{pick('0123456789', 2)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}",
                 lambda: f"version {rng.randint(1, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 9)}", lambda: f"https://{word()}.example.org/{word()}/{rng.randint(1, 999)}", lambda: f"the {rng.choice(['token', 'password', 'secret', 'api key'])} {word()} {word()}",
-                lambda: "-".join([pick(hexs, 8), pick(hexs, 4), pick(hexs, 4), pick(hexs, 4), pick(hexs, 12)])]
-    names = ["password", "passwd", "secret", "token", "api_key", "apikey", "access_key", "private_key", "client_secret", "bearer", "DB_PASSWORD", "AUTH_TOKEN"]
+                lambda: "-".join([pick(hexs, 8), pick(hexs, 4), pick(hexs, 4), pick(hexs, 4), pick(hexs, 12)]),
+                lambda: word() + camel(rng.randint(1, 3)), lambda: f"{word()}: {word()}{word()} {word()}", lambda: f"{word()} = {camel(2)}", lambda: f"{word().capitalize()}: {camel(1)}",
+                lambda: word() * rng.randint(3, 60), lambda: pick("etaoinshrdlu", rng.randint(16, 60)), lambda: "-".join(word() for _ in range(6)),
+                lambda: f"https://{word()}.example.org/{word()}/{word()}-{word()}"]
+    names = ["password", "passwd", "secret", "token", "api_key", "apikey", "access_key", "private_key", "client_secret", "bearer", "DB_PASSWORD", "AUTH_TOKEN", "pwd", "AUTH", "passphrase"]
     joins = [" = \"{}\"", ": {}", "={}", "='{}'", "\": \"{}\"", " := {}", " {}"]
     out = []
     for _ in range(n):
         left, right = " ".join(word() for _ in range(rng.randint(0, 8))), " ".join(word() for _ in range(rng.randint(0, 8)))
         if rng.random() < 0.5:
-            value = rng.choice(secrets)()
-            head = (rng.choice(names) + rng.choice(joins)).split("{}") if rng.random() < 0.8 else ["", ""]
+            by_name = rng.random() < 0.4
+            value = rng.choice(named if by_name else secrets)()
+            head = (rng.choice(names) + rng.choice(joins[:-1] if by_name else joins)).split("{}") if by_name or rng.random() < 0.8 else ["", ""]
             lead = f"{left} {head[0]}"
             out.append((f"{lead}{value}{head[-1]} {right}", [(len(lead), len(lead) + len(value))]))
         else:

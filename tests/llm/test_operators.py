@@ -172,6 +172,17 @@ def test_field_finds_held_out_secrets():
     assert sum(good) >= 0.95 * len(good) and sum(false) <= 0.03 * len(false)
 
 
+def test_field_finds_secrets_without_digits():
+    """Fixed texts that the generator did not make, far from any digit."""
+    model = secrets.train_field(None)
+    for text, value in (("please use pwd: CorrectHorseBatteryStaple for now", "CorrectHorseBatteryStaple"), ("AUTH=QwErTyUiOpAsDfGh", "QwErTyUiOpAsDfGh"),
+                        ("export AUTH='kLmNoP' done", "kLmNoP"), ("the pwd = trustnoonehere please", "trustnoonehere")):
+        at = text.index(value)
+        assert any(k == 3 and a <= at and b >= at + len(value) for a, k, b in secrets.find_spans([text], model)[0]), text
+    for text in ("JavaScript and TypeScript are names, so is getUserName here", "Subject: Meeting of the board", "an extraordinarily incomprehensibilities-laden word"):
+        assert secrets.find_spans([text], model)[0] == [], text
+
+
 def test_licenses(spark, empty):
     rows = texts() + ["All rights  reserved. cc-by CC BY general public license", "SPDX-License-Identifier: (MIT OR Apache-2.0) AND ISC\nx",
                       "spdx-license-identifier: AND ("]
