@@ -98,3 +98,9 @@ def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelspark.llm.suffixes import remove_repeats
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op13_spelling_variants")
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.spelling import spelling_variants as variants
+    return variants(table(spark, sf_dir, "documents"))
