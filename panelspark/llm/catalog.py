@@ -104,3 +104,9 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelspark.llm.spelling import spelling_variants as variants
     return variants(table(spark, sf_dir, "documents"))
+
+
+@query("op11_conversation_prefix_trie")
+def conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.prefixes import grafted_trie
+    return grafted_trie(table(spark, sf_dir, "conversations"))
