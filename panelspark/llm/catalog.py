@@ -110,3 +110,9 @@ def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelspark.llm.prefixes import grafted_trie
     return grafted_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_lm_scoring")
+def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.lm import score_held_out
+    return score_held_out(table(spark, sf_dir, "documents"))
