@@ -36,37 +36,125 @@ def safe_corr(a, b) -> Column:
 def correlation_long(df: DataFrame, columns: Sequence[str], digits: int = 3) -> DataFrame:
     """Full correlation matrix as ``(feature_a, feature_b, r)``, pairwise-complete, 0 where undefined.
 
-    One pass over the input, no self-join, no shuffle of row data: every row
-    emits one small struct per column pair (both present) and
-    ``groupBy(pair)`` computes ``covar_pop`` / ``stddev_pop`` (numerically
-    stable online moments); partial aggregation leaves one row per pair per
-    task before the shuffle.  The aggregate stays three functions whatever
-    the column count - a single wide aggregate of F^2 moment functions is
-    expensive to plan and compile.
+    Two passes over the input: the column means (one aggregate row), then the
+    moments of the centred columns.  A task adds up masked k x k moment
+    matrices batch by batch and emits one row per column pair, so the shuffle
+    holds tasks x pairs rows whatever the number of input rows.  NaN counts
+    as missing.
     """
     cols = list(columns)
     k = len(cols)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    arr = F.array(*[F.struct(F.lit(i * k + j).alias("p"), F.col(cols[i]).cast("double").alias("a"),
-                             F.col(cols[j]).cast("double").alias("b")) for i, j in pairs])
-    long = df.select(F.inline(arr)).filter(F.col("a").isNotNull() & F.col("b").isNotNull())
-    g = long.groupBy("p").agg(F.covar_pop("a", "b").alias("c"), F.stddev_pop("a").alias("sa"),
-                              F.stddev_pop("b").alias("sb"))
-    r = rnd(F.coalesce(F.when((F.col("sa") > 0) & (F.col("sb") > 0), F.col("c") / (F.col("sa") * F.col("sb"))),
-                       F.lit(0.0)), digits)
-    res = g.select((F.col("p") / k).cast("int").alias("i"), (F.col("p") % k).cast("int").alias("j"), r.alias("r"))
-    # the pair table has k*(k+1)/2 rows (bounded by the column count): restore pairs without any
-    # complete row as 0 and mirror each off-diagonal cell with an explode (one lineage, no union)
-    allp = (df.sparkSession.range(k * k)
-            .select((F.col("id") / k).cast("int").alias("i"), (F.col("id") % k).cast("int").alias("j"))
-            .filter(F.col("i") <= F.col("j")))
-    full = allp.join(F.broadcast(res), ["i", "j"], "left").select("i", "j", F.coalesce("r", F.lit(0.0)).alias("r"))
+    x = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"c{i}") for i, c in enumerate(cols)])
+    means = x.agg(*[F.avg(f"c{i}").alias(f"c{i}") for i in range(k)]).first()
+    centre = [m if m is not None else 0.0 for m in means]
+
+    def moments(batches):
+        import numpy as np
+        import pyarrow as pa
+        n, s, q, p = (np.zeros((k, k)) for _ in range(4))
+        for b in batches:
+            v = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(k)], 1).astype(float) - centre
+            there = (~np.isnan(v)).astype(float)
+            v = np.where(there > 0, v, 0.0)
+            n += there.T @ there
+            s += v.T @ there          # [a, b]: sum of a where b is there, too
+            q += (v * v).T @ there
+            p += v.T @ v
+        i, j = np.triu_indices(k)
+        yield pa.RecordBatch.from_arrays([pa.array(z) for z in (i, j, n[i, j], s[i, j], s[j, i], q[i, j], q[j, i], p[i, j])],
+                                         names=["i", "j", "n", "sa", "sb", "qa", "qb", "p"])
+
+    parts = x.mapInArrow(moments, "i long, j long, n double, sa double, sb double, qa double, qb double, p double")
+    g = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "qa", "qb", "p")])
+    cov = F.try_divide("p", "n") - F.try_divide("sa", "n") * F.try_divide("sb", "n")
+    var = lambda z, y: F.try_divide(z, "n") - F.try_divide(y, "n") * F.try_divide(y, "n")
+    # a variance that is rounding noise against the mean square belongs to a constant column
+    real = lambda z, y: var(z, y) > F.lit(1e-14) * F.try_divide(z, "n")
+    r = F.when(real("qa", "sa") & real("qb", "sb"), cov / F.sqrt(var("qa", "sa") * var("qb", "sb")))
+    g = g.select("i", "j", rnd(F.coalesce(r, F.lit(0.0)), digits).alias("r"))
+    # the pairs, k (k + 1) / 2 of them, whether the input has rows or not; each off-diagonal one both ways
+    every = (df.sparkSession.range(k * k).select((F.col("id") / k).cast("long").alias("i"), (F.col("id") % k).alias("j"))
+             .filter(F.col("i") <= F.col("j")))
+    full = every.join(F.broadcast(g), ["i", "j"], "left").select("i", "j", F.coalesce("r", F.lit(0.0)).alias("r"))
     cell = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
     both = F.when(F.col("i") == F.col("j"), F.array(cell("i", "j"))).otherwise(F.array(cell("i", "j"), cell("j", "i")))
-    mirrored = full.select(F.explode(both).alias("c"), "r")
     names = F.array(*[F.lit(c) for c in cols])
-    return mirrored.select(F.element_at(names, F.col("c.a") + 1).alias("feature_a"),
-                           F.element_at(names, F.col("c.b") + 1).alias("feature_b"), "r")
+    return full.select(F.explode(both).alias("c"), "r").select(
+        F.element_at(names, (F.col("c.a") + 1).cast("int")).alias("feature_a"),
+        F.element_at(names, (F.col("c.b") + 1).cast("int")).alias("feature_b"), "r")
+
+
+def ranked_in(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), out: str = "rank") -> DataFrame:
+    """0-based place of each row along ``order`` inside its group of ``by``, without a window over a whole group.
+
+    Rows are sorted into key ranges; a row's place is its place in its range
+    plus what the earlier ranges hold of its group.  Only the first group of
+    a range can have begun before it, so that table has a row per range.
+    ``order`` must be total for the places to be defined; the group columns
+    must not be null.
+    """
+    from panelspark.session import cut_lineage
+    by = list(by)
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    x = cut_lineage(df.repartitionByRange(n, *by, *order).withColumn("_range", F.spark_partition_id()), "ranked")
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = (x.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.sum("_n").over(earlier))
+              .filter(F.col("_before") > 0).drop("_n"))
+    x = x.withColumn("_in", F.row_number().over(Window.partitionBy("_range", *by).orderBy(*order)) - 1)
+    return (x.join(F.broadcast(before), [*by, "_range"], "left")
+            .select(*df.columns, (F.col("_in") + F.coalesce("_before", F.lit(0))).cast("long").alias(out)))
+
+
+IN_BRACKET = 10_000
+
+
+def exact_medians(df: DataFrame, columns: Sequence[str], keep: int = IN_BRACKET) -> list[float | None]:
+    """The interpolated median of each column (nulls and NaN left out; None without values).
+
+    Every pass is one aggregate row over all columns: it counts what lies
+    below and inside each column's bracket and proposes a narrower one from
+    approximate quantiles.  Once a bracket holds at most ``keep`` values (or
+    one value only) these are brought over and sorted.  A bracket that
+    misses the median is noticed by its counts and widened.
+    """
+    cols = list(columns)
+    x = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"c{i}") for i, c in enumerate(cols)])
+    n = dict(enumerate(x.agg(*[F.count(f"c{i}") for i in range(len(cols))]).first()))
+    out: list[float | None] = [None] * len(cols)
+    bracket = {i: (float("-inf"), float("inf"), n[i], 0, 0.0) for i in n if n[i]}   # low, high, values inside, below, widening
+
+    def inside(i: int) -> Column:
+        low, high = bracket[i][:2]
+        return F.col(f"c{i}").between(F.lit(low), F.lit(high))
+
+    while bracket:
+        ready = [i for i, b in bracket.items() if b[2] <= keep or b[0] == b[1]]
+        if ready:
+            got = x.agg(*[F.sort_array(F.collect_list(F.when(inside(i) & F.lit(bracket[i][0] != bracket[i][1]), F.col(f"c{i}"))))
+                          for i in ready]).first()
+            for i, values in zip(ready, got):
+                low, high, held, below, _ = bracket.pop(i)
+                at = lambda rank: low if low == high else values[rank - below]
+                a, b = at((n[i] - 1) // 2), at(n[i] // 2)
+                out[i] = a + (b - a) * 0.5 if (n[i] - 1) % 2 else a
+        if not bracket:
+            break
+        todo = list(bracket)
+        share = {i: (((n[i] - 1) // 2 - bracket[i][3] + 0.5) / bracket[i][2], (n[i] // 2 - bracket[i][3] + 0.5) / bracket[i][2]) for i in todo}
+        near = {i: 0.002 + bracket[i][4] for i in todo}
+        quantiles = x.agg(*[F.percentile_approx(F.when(inside(i), F.col(f"c{i}")),
+                                                [max(0.0, share[i][0] - near[i]), min(1.0, share[i][1] + near[i])], 1000) for i in todo]).first()
+        tried = dict(zip(todo, quantiles))
+        counts = x.agg(*[c for i in todo for c in (F.count_if(F.col(f"c{i}") < F.lit(tried[i][0])),
+                                                   F.count_if(F.col(f"c{i}").between(F.lit(tried[i][0]), F.lit(tried[i][1]))))]).first()
+        for j, i in enumerate(todo):
+            below, held = counts[2 * j], counts[2 * j + 1]
+            low, high, was, before, wider = bracket[i]
+            if below <= (n[i] - 1) // 2 and n[i] // 2 < below + held and (held < was or tried[i][0] == tried[i][1]):
+                bracket[i] = (*tried[i], held, below, 0.0)
+            else:
+                bracket[i] = (low, high, was, before, min(0.5, max(0.004, 4 * wider)))
+    return out
 
 
 def ordered_cumsum(df: DataFrame, order_col: str, sum_cols: Sequence[str], partition_cols: Sequence[str] = (),
