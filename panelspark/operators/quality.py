@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.bands import grade_letter, grade_point
-from panelspark.functions.constants import TRUE_STRINGS
+from panelspark.functions.constants import (
+    ACCOMMODATIONS, EMPLOYMENT_STATUSES, ENTRY_MODES, GENDERS, LEVELS, NOT_BLANK_COLUMNS, TRUE_STRINGS,
+)
 from panelspark.functions.numeric import rnd
 from panelspark.operators.history import keep_first
 
@@ -144,6 +146,36 @@ def parse_id_list(lines: DataFrame, text: str = "value", line: str = "line_no",
     return kept, counts
 
 
+def student_import_rules() -> list[Rule]:
+    """The published contract of the student import."""
+    return ([Rule(c, "not_blank") for c in NOT_BLANK_COLUMNS]
+            + [Rule("level", "int_in", LEVELS), Rule("entry_mode", "in_set", ENTRY_MODES), Rule("entry_score", "float_range", (0.0, 400.0)),
+               Rule("date_of_birth", "date"), Rule("gender", "in_set", GENDERS), Rule("accommodation", "in_set", ACCOMMODATIONS),
+               Rule("employment_status", "in_set", EMPLOYMENT_STATUSES), Rule("has_scholarship", "bool")])
+
+
+def _part(updates: DataFrame, problems: Sequence[tuple[Column, str]]) -> tuple[DataFrame, DataFrame]:
+    found = F.filter(F.array(*[F.when(bad, F.lit(text)) for bad, text in problems]), lambda p: p.isNotNull())
+    x = updates.withColumn("reason", F.array_join(found, "; "))
+    return x.filter(F.col("reason") == "").drop("reason"), x.filter(F.col("reason") != "")
+
+
+def split_score_updates(updates: DataFrame, ca: str = "ca_score", exam: str = "exam_score") -> tuple[DataFrame, DataFrame]:
+    """(rows that I4 takes, rejected rows with a ``reason``): one bad update does not stop the others."""
+    off = lambda c, high: F.coalesce(~F.col(c).between(0, high), F.lit(False))  # noqa: E731  NaN is above every number
+    return _part(updates, [(off(ca, 30), f"{ca} must be between 0 and 30"), (off(exam, 70), f"{exam} must be between 0 and 70")])
+
+
+def split_attendance_updates(updates: DataFrame, held: str = "sessions_held", attended: str = "sessions_attended",
+                             enforce_le: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows that I5 takes, rejected rows with a ``reason``): counts must be there and not negative."""
+    bad = lambda c: F.coalesce(F.col(c) < 0, F.lit(True))
+    problems = [(bad(held), f"{held} must be 0 or more"), (bad(attended), f"{attended} must be 0 or more")]
+    if enforce_le:
+        problems.append((F.coalesce(F.col(attended) > F.col(held), F.lit(False)), f"{attended} exceeds {held}"))
+    return _part(updates, problems)
+
+
 def last_update(updates: DataFrame, key: Sequence[str], seq: str, cols: Sequence[str]) -> DataFrame:
     """Per key, each column's latest non-null value by sequence (``max_by`` skips nulls)."""
     aggs = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(seq))).alias(c) for c in cols]
@@ -181,16 +213,15 @@ def apply_score_updates(base: DataFrame, updates: DataFrame, key: Sequence[str],
 
 
 def apply_attendance_updates(base: DataFrame, updates: DataFrame, key: Sequence[str], held: str = "sessions_held",
-                             attended: str = "sessions_attended", enforce_le: bool = False, seq: str | None = None) -> DataFrame:
+                             attended: str = "sessions_attended", enforce_le: bool = False, seq: str = "seq") -> DataFrame:
     """Upsert by key: rate = attended / held, null unless held is positive.
 
-    Of several updates of a key the last by ``seq`` counts (without ``seq``
-    the one with the most sessions), so one row per key stays.  Attended may
-    exceed held (rate above 1); ``enforce_le`` makes that raise, inside the
-    value so that it cannot be pruned.
+    Of several updates of a key the last by ``seq`` counts, so one row per
+    key stays.  Attended may exceed held (rate above 1); ``enforce_le`` makes
+    that raise, inside the value so that it cannot be pruned.
     """
     pair = F.struct(held, attended)
-    order = F.struct(seq, held, attended) if seq else pair
+    order = F.struct(seq, held, attended)
     up = updates.groupBy(*key).agg(F.max_by(pair, order).alias("_u"))
     value = F.col(f"_u.{attended}")
     if enforce_le:

@@ -91,6 +91,15 @@ def import_summary(t):
     return Q.validation_summary(df, errors, ins, skipped, "c_nationkey")
 
 
+@query("import_skipped", sql="with " + IMPORT_SQL + """
+select o."row", o.outcome as reason, cast(chk.c_nationkey as varchar) as c_nationkey, chk.c_mktsegment
+from outcome o join chk on o."row" = chk.line_no + 2 where o.outcome in ('exists', 'duplicate_in_file')""")
+def import_skipped(t):
+    """Every skipped row of the import with its key and reason."""
+    _, _, skipped, _ = _import(t)
+    return skipped.select((F.col("line_no") + 2).alias("row"), "reason", "c_nationkey", "c_mktsegment")
+
+
 @query("parse_id_list", sql="""
 with ids as (select l_partkey - 5 as id from lineitem)
 select cast(count(distinct case when id > 0 then id end) as bigint) as valid,
@@ -120,7 +129,6 @@ def _open_lineitems(t):
     return t["lineitem"].join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
 
 
-ORACLES_SCORE = None
 
 
 @query("score_updates", sql="with " + OPEN_LI + """,
@@ -157,6 +165,21 @@ def score_updates(t):
                     "status", "is_carryover")
 
 
+def attendance_inputs(t):
+    """(attendance of the completed enrolments, updates of some and new ones)."""
+    o = t["orders"].filter(F.col("o_orderdate") < V.open_cutoff()).select("o_orderkey")
+    li = t["lineitem"]
+    base = (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+            .select(*ENR_KEY, (10 + F.col("l_linenumber")).alias("sessions_held"),
+                    F.floor(F.col("l_quantity") / 5).cast("int").alias("sessions_attended")))
+    base = base.withColumn("attendance_rate", F.try_divide(F.col("sessions_attended").cast("double"),
+                                                           F.col("sessions_held").cast("double")))
+    up = li.filter(F.col("l_returnflag") == "A").select(*ENR_KEY, (F.col("l_linenumber") - 1).alias("sessions_held"),
+                                                        F.floor(F.col("l_quantity") / 4).cast("int").alias("sessions_attended"),
+                                                        F.lit(1).alias("seq"))
+    return base, up
+
+
 @query("attendance_updates", sql="""
 with base as (select l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, 10 + l.l_linenumber as sessions_held,
     cast(floor(l.l_quantity / 5) as int) as sessions_attended
@@ -170,15 +193,7 @@ select *, round(case when sessions_held > 0 then sessions_attended / cast(sessio
 from allr""")
 def attendance_updates(t):
     """Upsert attendance by enrolment; rate = attended / held, null when held is 0, may exceed 1."""
-    o = t["orders"].filter(F.col("o_orderdate") < V.open_cutoff()).select("o_orderkey")
-    li = t["lineitem"]
-    base = (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
-            .select(*ENR_KEY, (10 + F.col("l_linenumber")).alias("sessions_held"),
-                    F.floor(F.col("l_quantity") / 5).cast("int").alias("sessions_attended")))
-    base = base.withColumn("attendance_rate", F.try_divide(F.col("sessions_attended").cast("double"),
-                                                           F.col("sessions_held").cast("double")))
-    up = li.filter(F.col("l_returnflag") == "A").select(*ENR_KEY, (F.col("l_linenumber") - 1).alias("sessions_held"),
-                                                        F.floor(F.col("l_quantity") / 4).cast("int").alias("sessions_attended"))
+    base, up = attendance_inputs(t)
     x = Q.apply_attendance_updates(base, up, ENR_KEY)
     return x.select(*ENR_KEY, "sessions_held", "sessions_attended", r6("attendance_rate").alias("attendance_rate"))
 
@@ -247,6 +262,3 @@ def null_out_orders(t):
     """Seeded, partition-independent nulling of 4-8% per column (checked against D13 bounds in tests)."""
     o = t["orders"].select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
     return Q.null_out(o, ["o_totalprice", "o_orderpriority", "o_orderstatus"], ["o_orderkey"])
-
-
-ORACLES_SCORE = ORACLES["score_updates"]

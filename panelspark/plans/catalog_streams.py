@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.numeric import r6
 from panelspark.operators import quality as Q
-from panelspark.plans.catalog_quality import ORACLES_SCORE
 from panelspark.plans.registry import ORACLES, query
 from panelspark.session import scratch_path
+from panelspark.sources.versions import KeyedTable
 from panelspark.streaming import streams as ST
 
 
@@ -26,38 +26,70 @@ def _score_update_inputs(t):
     return base, u1, u2, ENR_KEY
 
 
-@query("stream_score_updates")
-def stream_score_updates(t):
-    """Q1: score updates arrive as a file stream (two files, one per trigger) and are merged
-    batch by batch with ``foreachBatch``; each batch writes a new version folder.  A field's last update wins by sequence inside a batch."""
+def _stream_scores(t):
+    """(table, schema, rejects folder, key) after three files of updates, one per trigger; the third one is out of range."""
     spark = t.spark
     base, u1, u2, key = _score_update_inputs(t)
-    base_path = scratch_path(spark, "enr-base")
-    base.write.parquet(base_path)
+    bad = u1.filter(F.col("l_linenumber") == 1).withColumns({"exam_score": F.col("exam_score") + 71, "seq": F.lit(9)})
     upd_dir = scratch_path(spark, "score-updates")
-    u1.write.mode("append").parquet(upd_dir)
-    u2.write.mode("append").parquet(upd_dir)
-    stream = ST.file_stream(spark, upd_dir, u1.schema, max_files=1)
-    out_root = scratch_path(spark, "enr-versions")
-    q = ST.stream_updates(stream, base_path, lambda cur, b: Q.apply_score_updates(cur, b, key), scratch_path(spark, "q1-ckpt"),
-                          out_root)
+    for u in (u1, u2, bad):
+        u.coalesce(1).write.mode("append").parquet(upd_dir)
+    table = KeyedTable(spark, scratch_path(spark, "enr-table"), key)
+    table.create(base)
+    rejects = scratch_path(spark, "score-rejects")
+    q = ST.stream_updates(ST.file_stream(spark, upd_dir, u1.schema, max_files=1), table, base.schema,
+                          lambda cur, b: Q.apply_score_updates(cur, b, key), scratch_path(spark, "q1-ckpt"), Q.split_score_updates, rejects)
+    q.awaitTermination()
+    return table, base.schema, rejects, key
+
+
+@query("stream_score_updates")
+def stream_score_updates(t):
+    """Q1: score updates arrive as a file stream, one file per trigger, and are upserted batch by batch;
+    a batch rewrites the key buckets that it touches, updates out of range are rejected."""
+    table, schema, _, key = _stream_scores(t)
+    return table.read(schema).select(*key, r6("ca_score").alias("ca_score"), "exam_score", "total_score", "grade", "grade_point",
+                                     "status", "is_carryover")
+
+
+@query("stream_rejected_updates", sql="""
+select l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, 'exam_score must be between 0 and 70' as reason
+from lineitem l join orders o on l.l_orderkey = o.o_orderkey
+where o.o_orderdate >= timestamp '2001-07-01 00:00:00' and l.l_linestatus = 'O' and l.l_linenumber = 1""")
+def stream_rejected_updates(t):
+    """Q1: the updates that the stream set aside, with the reason."""
+    _, _, rejects, key = _stream_scores(t)
+    return t.spark.read.parquet(rejects).select(*key, "reason")
+
+
+@query("stream_attendance_updates")
+def stream_attendance_updates(t):
+    """Q1: attendance counts arrive as a file stream and are upserted; negative counts are rejected."""
+    from panelspark.plans.catalog_quality import ENR_KEY, attendance_inputs
+    spark = t.spark
+    base, up = attendance_inputs(t)
+    bad = up.withColumns({"sessions_held": F.lit(-1), "seq": F.lit(2)})
+    upd_dir = scratch_path(spark, "attendance-updates")
+    for u in (up, bad):
+        u.coalesce(1).write.mode("append").parquet(upd_dir)
+    table = KeyedTable(spark, scratch_path(spark, "attendance-table"), ENR_KEY)
+    table.create(base)
+    q = ST.stream_updates(ST.file_stream(spark, upd_dir, up.schema, max_files=1), table, base.schema,
+                          lambda cur, b: Q.apply_attendance_updates(cur, b, ENR_KEY), scratch_path(spark, "q1a-ckpt"),
+                          Q.split_attendance_updates, scratch_path(spark, "attendance-rejects"))
     q.awaitTermination()
-    final = spark.read.parquet(ST.latest_version_path(spark, out_root))
-    return final.select(*key, r6("ca_score").alias("ca_score"), "exam_score", "total_score", "grade", "grade_point",
-                        "status", "is_carryover")
+    return table.read(base.schema).select(*ENR_KEY, "sessions_held", "sessions_attended", r6("attendance_rate").alias("attendance_rate"))
 
 
 @query("stream_latest_event")
 def stream_latest_event(t):
-    """Q2: latest event per user as a streaming aggregation in update mode."""
+    """Q2: latest event per user, upserted batch by batch; the stream keeps no state."""
     spark = t.spark
-    ev = t["events"]
-    src = ST.file_stream(spark, t.base, ev.schema, glob="events.parquet")
-    latest = ST.stream_latest(src, "user_id", ["ts", "event_id"], ["event_id", "event_type", "value"])
-    out = ST.run_to_table(latest, "update", "q2", spark)
-    w = Window.partitionBy("user_id").orderBy(F.desc("batch"))
-    final = out.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "batch")
-    return final.select("user_id", "event_id", "event_type", r6("value").alias("value"))
+    ev = t["events"].select("user_id", "ts", "event_id", "event_type", "value")
+    src = ST.file_stream(spark, t.base, t["events"].schema, glob="events.parquet")
+    table = KeyedTable(spark, scratch_path(spark, "latest-events"), ["user_id"])
+    ST.stream_latest_table(src, table, ev.schema, ["ts", "event_id"], scratch_path(spark, "q2-ckpt")).awaitTermination()
+    return table.read(ev.schema).select("user_id", "event_id", "event_type", r6("value").alias("value"))
 
 
 @query("stream_engagement_windows", sql="""
@@ -79,5 +111,6 @@ def stream_engagement_windows(t):
 
 
 # Q1 / Q2 compute the same result as their batch counterparts.
-ORACLES["stream_score_updates"] = ORACLES_SCORE
+ORACLES["stream_score_updates"] = ORACLES["score_updates"]
+ORACLES["stream_attendance_updates"] = ORACLES["attendance_updates"]
 ORACLES["stream_latest_event"] = ORACLES.get("latest_event_per_user", "")

@@ -13,7 +13,8 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.session import scratch_path, sized_broadcast
+from panelspark.session import cut_lineage, scratch_path, sized_broadcast
+from panelspark.sources.versions import VersionedTables
 
 
 class MissingColumnsError(ValueError):
@@ -41,18 +42,77 @@ def with_line_numbers(df: DataFrame, out: str = "line_no") -> DataFrame:
     return y.select(*df.columns, (F.col("_off") + F.col("_mid") - F.col("_mid0")).alias(out))
 
 
+MOST_LINES = 100_000   # of one record; more is an unclosed quote
+
+
+def _numbered_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, record, text): the records of every file in order, from 0; quoted line breaks do not end a record.
+
+    A line lies inside a quoted cell if an odd number of quotes stands
+    before it in its file.  These counts, and the numbers of records that
+    begin before a line, are prefix sums: inside a split by a window, over
+    splits by a table with a row per split.  Blank lines between records are
+    no records.
+    """
+    x = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    x = cut_lineage(x.withColumn("odd", (F.char_length("line") - F.char_length(F.replace("line", F.lit('"'), F.lit("")))) % 2), "csv-lines")
+    inside = Window.partitionBy("file", "split").orderBy("at")
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+
+    def before(df: DataFrame, amount: str, out: str) -> DataFrame:
+        per = df.groupBy("file", "split").agg(F.sum(amount).alias("_n")).select(
+            "file", "split", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+        run = F.coalesce(F.sum(amount).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return df.withColumn("_in", run).join(sized_broadcast(per), ["file", "split"]).withColumn(out, F.col("_in") + F.col("_off")).drop("_in", "_off")
+
+    x = before(x, "odd", "quotes").withColumn("inner", F.col("quotes") % 2 == 1)
+    x = x.withColumn("starts", (~F.col("inner") & (F.trim(F.regexp_replace("line", "\r$", "")) != "")).cast("long"))
+    x = before(x.drop("quotes"), "starts", "_before")
+    x = x.withColumn("record", F.col("_before") + F.col("starts") - 1).filter((F.col("starts") == 1) | F.col("inner"))
+    whole = F.expr("array_join(transform(sort_array(collect_list(struct(split, at, line))), s -> s.line), '\n')")
+    many = F.count(F.lit(1)) > MOST_LINES
+    text = F.when(many, F.raise_error(F.concat(F.lit("a quote is not closed in "), F.first("file"))).cast("string")).otherwise(whole)
+    if x.filter("inner").isEmpty():   # every record is a line: nothing to put together
+        return x.select("file", "record", F.regexp_replace("line", "\r$", "").alias("text"))
+    return x.groupBy("file", "record").agg(text.alias("text")).withColumn("text", F.regexp_replace("text", "\r$", ""))
+
+
 def read_csv_strings(spark: SparkSession, path: str, required: Sequence[str], line_col: str | None = "line_no",
                      header: bool = True) -> DataFrame:
     """Read every cell as a string; fail before any row if required columns are missing (A2).
 
-    The header check is metadata-only (schema of a header-only read).
+    The first record of every file is the header and must be the same in all
+    of them.  Cells may hold quoted line breaks and doubled quotes; an empty
+    cell is an empty string, a missing one null.  ``line_col`` numbers the
+    records after the header from 0, in the order of files and places.
     """
-    reader = spark.read.option("header", header).option("inferSchema", False).option("mode", "PERMISSIVE")
-    df = reader.csv(path)
-    missing = [c for c in required if c not in df.columns]
+    import csv
+    records = cut_lineage(_numbered_records(spark, path), "csv-records")
+    if header:
+        heads = [r["text"] for r in records.filter("record = 0").select("text").distinct().limit(2).collect()]
+        if len(heads) > 1:
+            raise ValueError("the files do not have the same header")
+        names = next(csv.reader([heads[0]])) if heads else []
+        records = records.filter("record > 0").withColumn("record", F.col("record") - 1)
+    else:
+        names = list(required)
+    missing = [c for c in required if c not in names]
     if missing:
         raise MissingColumnsError(f"CSV is missing required columns: {', '.join(missing)}")
-    return with_line_numbers(df, line_col) if line_col else df
+    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    cells = F.from_csv("text", F.lit(schema), {"escape": '"', "emptyValue": "", "nullValue": "\u0000", "lineSep": "\u0001",
+                                               "maxCharsPerColumn": "-1", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+    # the parser gives null for an empty cell and for one that is not there: commas outside quotes tell them apart
+    there = F.size(F.split(F.regexp_replace("text", '"[^"]*"', ""), ",", -1))
+    x = records.select("file", "record", cells.alias("c"), there.alias("_there"))
+    own = [F.when(F.col("_there") > j, F.coalesce(F.col("c")[n], F.lit(""))).alias(n) for j, n in enumerate(names)]
+    if not line_col:
+        return x.select(*own)
+    per = x.groupBy("file").agg((F.max("record") + 1).alias("_n"))   # a row per file
+    off = per.select("file", F.coalesce(F.sum("_n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    return x.join(sized_broadcast(off), "file").select(*own, (F.col("record") + F.col("_off")).alias(line_col))
 
 
 def write_csv(df: DataFrame, path: str, order: Sequence[str] | None = None) -> str:
@@ -75,21 +135,16 @@ def write_csv_snapshot(spark: SparkSession, tables: Mapping[str, DataFrame], bas
     return base
 
 
-def replace_tables(tables: Mapping[str, DataFrame], base: str, fmt: str = "parquet",
-                   partition_by: Mapping[str, Sequence[str]] | None = None) -> dict[str, str]:
-    """Idempotent full reload: each table overwritten as a whole (A4).
+def replace_tables(spark: SparkSession, tables: Mapping[str, DataFrame], base: str,
+                   partition_by: Mapping[str, Sequence[str]] | None = None) -> VersionedTables:
+    """Idempotent full reload of all tables at once (A4): written aside, then switched together.
 
-    Overwrite replaces the folder atomically per job commit, so running
-    it twice yields the same contents; ids are preserved as written.
+    A reload that fails in between leaves the old tables in place; ids are
+    kept as they are.
     """
-    out = {}
-    for name, df in tables.items():
-        w = df.write.mode("overwrite").format(fmt)
-        if partition_by and name in partition_by:
-            w = w.partitionBy(*partition_by[name])
-        w.save(f"{base}/{name}")
-        out[name] = f"{base}/{name}"
-    return out
+    store = VersionedTables(spark, base)
+    store.commit(tables, partition_by=partition_by)
+    return store
 
 
 def replace_by_key(base: DataFrame, new: DataFrame, key: Sequence[str] | str) -> DataFrame:

@@ -1,11 +1,12 @@
 """Structured Streaming re-aims (Q1-Q3) of the one-row-at-a-time writes.
 
 * Q1 ``stream_updates``: a file stream of update batches applied with
-  ``foreachBatch``; each micro-batch merges into a versioned table folder
-  keyed by batch id, so a replayed batch (after a failure) rewrites the
-  same output and the upsert stays idempotent.
-* Q2 ``stream_latest``: latest value per key (``max_by`` on (ts, id)) in
-  update mode - state is one row per key.
+  ``foreachBatch`` to a table in hash buckets; a micro-batch rewrites the
+  buckets that it touches and tags the new version with its id, so a replay
+  changes nothing, and rejected rows go to a table of their own.
+* Q2 ``stream_latest_table``: latest value per key upserted the same way, no
+  state in the stream; ``stream_latest`` is the streaming aggregation, whose
+  state is one row per key.
 * Q3 ``stream_windows``: event-time windows with a watermark; late rows
   beyond the watermark are dropped, state is purged as the watermark moves.
 """
@@ -18,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from panelspark.session import scratch_path
+from panelspark.session import cut_lineage, scratch_path
+from panelspark.sources.versions import KeyedTable
 
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_files: int | None = None,
@@ -32,40 +34,43 @@ def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", ma
     return reader.load(path)
 
 
-def stream_updates(updates: DataFrame, base_path: str, apply: Callable[[DataFrame, DataFrame], DataFrame],
-                   checkpoint: str, out_root: str, fmt: str = "parquet") -> StreamingQuery:
-    """Q1: each micro-batch applies ``apply(current, batch)`` and writes version ``batch_id``.
+def stream_updates(updates: DataFrame, table: KeyedTable, schema, apply: Callable[[DataFrame, DataFrame], DataFrame],
+                   checkpoint: str, split: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None,
+                   rejects: str | None = None) -> StreamingQuery:
+    """Q1: every micro-batch upserts ``apply(current rows, batch)`` into the buckets that it touches.
 
-    The current version is read from the highest committed version folder;
-    writing a fresh folder per batch id (never overwriting what is being
-    read) keeps a replayed batch idempotent.
+    ``split`` parts a batch into (good rows, rejected rows); the rejected
+    ones go to ``rejects``/batch=<id> and do not stop the stream.  The batch
+    id tags the table's version, so a batch that is replayed after a failure
+    leaves the same table and the same rejects.
     """
-    spark = updates.sparkSession
-
     def run(batch: DataFrame, batch_id: int) -> None:
-        import os
-        versions = sorted(int(d.split("=")[1]) for d in _list_dirs(spark, out_root) if d.startswith("v="))
-        prior = [v for v in versions if v < batch_id]
-        current = spark.read.format(fmt).load(f"{out_root}/v={prior[-1]}") if prior else spark.read.format(fmt).load(base_path)
-        apply(current, batch).write.mode("overwrite").format(fmt).save(os.path.join(out_root, f"v={batch_id}"))
+        rows = cut_lineage(batch, "stream-batch")
+        good, bad = split(rows) if split else (rows, None)
+        if bad is not None and rejects:
+            bad.write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+        table.upsert(good, schema, apply, tag=f"batch-{batch_id}")
 
     return (updates.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def _list_dirs(spark: SparkSession, root: str) -> list[str]:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(conf)
-    if not fs.exists(path):
-        return []
-    return [st.getPath().getName() for st in fs.listStatus(path) if st.isDirectory()]
+def stream_latest_table(events: DataFrame, table: KeyedTable, schema, order: Sequence[str], checkpoint: str) -> StreamingQuery:
+    """Q2: the latest row per key in a table; the stream itself keeps no state.
 
+    A batch is reduced to one row per key and compared with the stored rows
+    of the buckets that it touches, so what must be kept grows with the
+    table, on disk, and never in the state store.
+    """
+    cols = [f.name for f in schema.fields]
+    newest = lambda df: df.groupBy(*table.key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_r")).select("_r.*")
 
-def latest_version_path(spark: SparkSession, out_root: str) -> str:
-    versions = sorted(int(d.split("=")[1]) for d in _list_dirs(spark, out_root) if d.startswith("v="))
-    return f"{out_root}/v={versions[-1]}"
+    def run(batch: DataFrame, batch_id: int) -> None:
+        latest = cut_lineage(newest(batch.select(*cols)), "latest-batch")
+        table.upsert(latest, schema, lambda now, new: newest(now.unionByName(new)), tag=f"batch-{batch_id}")
+
+    return (events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
 
 
 def stream_latest(events: DataFrame, key: str, order: Sequence[str], value_cols: Sequence[str]) -> DataFrame:

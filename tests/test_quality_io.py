@@ -85,7 +85,7 @@ def test_score_attendance_status_updates(spark):
     assert out[1].total_score == 45.0 and out[1].grade == "D" and out[1].status == "completed"
     assert out[2].status == "ongoing" and out[2].ca_score == 5.0 and out[2].total_score is None
     att = spark.createDataFrame([(1, 10, 5, 0.5)], "id long, sessions_held int, sessions_attended int, attendance_rate double")
-    up = spark.createDataFrame([(1, 0, 3), (2, 4, 6)], "id long, sessions_held int, sessions_attended int")
+    up = spark.createDataFrame([(1, 0, 3, 1), (2, 4, 6, 1)], "id long, sessions_held int, sessions_attended int, seq int")
     rates = {r.id: r.attendance_rate for r in Q.apply_attendance_updates(att, up, ["id"]).collect()}
     assert rates == {1: None, 2: 1.5}
     iv = spark.createDataFrame([(1, "planned", None, None)], "id long, status string, note string, resolved_at timestamp")
