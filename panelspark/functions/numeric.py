@@ -34,3 +34,29 @@ def r6t(x) -> Column:
     rounding tie, so an ulp of difference in the inputs cannot flip the last digit."""
     c = F.col(x) if isinstance(x, str) else x
     return rnd(c + F.lit(TIE_BREAK), 6)
+
+
+def half_even(x, digits: int | Column = 0) -> Column:
+    """``x`` rounded to ``digits``, ties to the even digit, decided on the exact binary value.
+
+    The product with 10^digits is taken with its rounding error (the number
+    is split into two halves whose products are exact), so 4.025, stored a
+    little above, goes up although ``round`` and ``bround`` see a tie.  The
+    sign of a value that rounds to zero is kept.
+    """
+    scale = F.lit(float(10 ** digits)) if isinstance(digits, int) else F.pow(F.lit(10.0), digits)
+
+    def step(s: Column) -> Column:
+        a, k = s["a"], s["k"]
+        high = a * F.lit(134217729.0) - (a * F.lit(134217729.0) - a)
+        p = a * k
+        error = (high * k - p) + (a - high) * k
+        n = F.floor(p).cast("double")
+        up = F.when(p - n != 0.5, p - n > 0.5).when(error != 0, error > 0).otherwise(n % 2 != 0)
+        value = (n + up.cast("int")) / k * F.when(s["c"] < 0, -1.0).otherwise(1.0)
+        return F.when(F.isnan(a) | (p >= 4.5e15), s["c"]).otherwise(value)
+
+    c = (F.col(x) if isinstance(x, str) else x).cast("double")
+    # one element: the value is named once, however long the expression is that makes it
+    one = F.array(F.struct(c.alias("c"), F.abs(c).alias("a"), scale.cast("double").alias("k")))
+    return F.when(c.isNotNull(), F.get(F.transform(one, step), F.lit(0)))

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.bands import risk_tier
-from panelspark.functions.numeric import rnd
+from panelspark.functions.bands import risk_tier, standing_band
+from panelspark.functions.numeric import half_even
 from panelspark.operators.select import ranked_register
 
 
@@ -60,10 +60,21 @@ def scoped_rows_all_users(df: DataFrame, grants: DataFrame, key: str = "student_
     return grants.withColumnRenamed("student_id", key).join(df, key)
 
 
+def scoped_log(log: DataFrame, grants: DataFrame, at: str, tie: str, key: str = "student_id") -> DataFrame:
+    """Every user's log rows in scope, newest first (equal times by ``tie``)."""
+    return scoped_rows_all_users(log, grants, key).orderBy(F.desc(at), tie, "user_id")
+
+
 def format_percent(p, digits: int = 1):
     """'12.3%' text of a probability."""
     # format_string renders null as (truncated) "null": guard it so callers can coalesce
-    return F.when(p.isNotNull(), F.concat(F.format_string(f"%.{digits}f", rnd(p * 100 + F.lit(1e-9), digits)), F.lit("%")))
+    return F.when(p.isNotNull(), F.concat(F.format_string(f"%.{digits}f", half_even(p * 100, digits)), F.lit("%")))
+
+
+def format_number(c, digits: int = 1):
+    """'12.3' text, '-' for null."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(F.when(c.isNotNull(), F.format_string(f"%.{digits}f", half_even(c, digits))), F.lit("-"))
 
 
 def register_report(register: DataFrame, name: str = "name", level: str = "level",
@@ -87,3 +98,29 @@ def entity_profile(entities: DataFrame, history: DataFrame, enrolments: DataFram
     e = enrolments.groupBy(key).agg(F.count(F.lit(1)).alias("n_enrolments"),
                                     F.countDistinct("course_id").alias("n_courses"))
     return entities.join(h, key, "left").join(e, key, "left")
+
+
+def profile_history(history: DataFrame, key: str = "student_id", period: Sequence[str] = ("session", "semester")) -> DataFrame:
+    """P5 in rows: every period of every entity with its standing and line number (an entity has few periods)."""
+    w = Window.partitionBy(key).orderBy(*period)
+    return history.withColumns({"standing": standing_band("cgpa"), "line": F.row_number().over(w).cast("long")})
+
+
+def profile_enrolments(items: DataFrame, courses: DataFrame) -> DataFrame:
+    """P5 in rows: every enrolment with its course; rows, not lists, since one entity may own a third of them."""
+    return items.join(courses.select("course_id", "department"), "course_id")
+
+
+def report_history_lines(rows: DataFrame, key: str = "student_id") -> DataFrame:
+    """History rows as report text."""
+    return rows.select(key, F.col("session").cast("string").alias("session"), F.col("semester").cast("string").alias("semester"),
+                       format_number("gpa", 2).alias("gpa"), format_number("cgpa", 2).alias("cgpa"), "standing")
+
+
+def report_enrolment_lines(rows: DataFrame, key: str = "student_id") -> DataFrame:
+    """Enrolment rows as report text; missing -> '-'."""
+    dash = F.lit("-")
+    return rows.select(key, F.col("course_id").cast("string").alias("course"),
+                       F.format_string("%s S%s", F.col("session").cast("string"), F.col("semester").cast("string")).alias("period"),
+                       format_number("ca_score").alias("ca"), format_number("exam_score").alias("exam"), format_number("total_score").alias("total"),
+                       F.coalesce("grade", dash).alias("grade"), F.coalesce(format_percent(F.col("attendance_rate"), 0), dash).alias("attendance"))

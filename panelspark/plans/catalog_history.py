@@ -6,6 +6,7 @@ from panelspark.operators import history as H
 from panelspark.operators import rollups as R
 from panelspark.plans import views as V
 from panelspark.functions.numeric import r6
+from panelspark.plans.catalog_rollups import LEVEL_MODE_SQL
 from panelspark.plans.registry import query
 from panelspark.plans.sql_views import ENR, HIST_CTE, with_views
 
@@ -67,7 +68,7 @@ def prior_difficulty(t):
     return x.select("course_id", *V.PERIOD, r6("difficulty_index").alias("difficulty_index"))
 
 
-@query("peer_deviation", sql=with_views(ENR, __import__("panelspark.plans.catalog_rollups", fromlist=["LEVEL_MODE_SQL"]).LEVEL_MODE_SQL) + """,
+@query("peer_deviation", sql=with_views(ENR, LEVEL_MODE_SQL) + """,
 load as (select student_id, session, semester, cast(sum(units) as bigint) as credit_load from enr group by all),
 j as (select a.*, l.level from load a join lvl l on a.student_id = l.student_id and a.session = l.session
   and a.semester = l.semester)

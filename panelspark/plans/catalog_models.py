@@ -5,12 +5,14 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.numeric import r6
 from panelspark.operators import metrics as M
+from panelspark.operators import fairness as FA
 from panelspark.plans import prep as P
+from panelspark.plans import tasks as TK
 from panelspark.plans import train as TR
 from panelspark.plans import views as V
+from panelspark.plans.catalog_features import panel_sql
 from panelspark.plans.registry import query
 from panelspark.plans.sql_views import HIST_CTE, TERM_CTE
-from panelspark.session import scratch_path
 
 MED_COLS = ("ca_std_dev_across_courses", "ca_average", "min_attendance_rate")
 
@@ -70,19 +72,48 @@ def temporal_split(t):
     return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
 
 
-@query("group_folds")
+# folds: entities ranked by rows (most first, ties by a hash of the key) and dealt there and back
+FOLD_SQL = """, placed as (select *, row_number() over (partition by stratum order by size desc,
+    md5(cast(student_id as varchar) || '-42'), student_id) - 1 as place from per),
+dealt as (select student_id, cast(((case when (place // 5) % 2 = 0 then place % 5 else 4 - place % 5 end) + start) % 5 as int) as fold
+  from placed)
+"""
+
+
+@query("group_folds", sql=HIST_CTE + """, per as (select student_id, count(*) as size, 0 as stratum, 0 as start from hist group by student_id)"""
+       + FOLD_SQL + "select h.student_id, h.session, h.semester, d.fold from hist h join dealt d on h.student_id = d.student_id")
 def group_folds(t):
-    """K7: entity-level folds by seeded hash (no entity straddles two folds)."""
+    """K7: whole students dealt to 5 folds, largest first, there and back."""
     return P.group_folds(V.history(t).select(*V.KEY), "student_id", 5)
 
 
-@query("stratified_group_folds")
+STRATIFIED_SQL = HIST_CTE + """,
+cnt as (select student_id, count(*) as size, count(*) filter (where gpa < 2.0) as stratum from hist group by student_id),
+st as (select stratum, coalesce(sum(count(*)) over (order by stratum desc rows between unbounded preceding and 1 preceding), 0) % 5 as start
+  from cnt group by stratum),
+per as (select cnt.*, st.start from cnt join st on cnt.stratum = st.stratum)""" + FOLD_SQL
+
+
+@query("stratified_group_folds", sql=STRATIFIED_SQL + """
+select h.student_id, h.session, h.semester, case when h.gpa < 2.0 then 1 else 0 end as risk_label, d.fold
+from hist h join dealt d on h.student_id = d.student_id""")
 def stratified_group_folds(t):
-    """K8: entity folds hashed within strata of each entity's positive (gpa < 2) rate."""
+    """K8: students dealt to 5 folds inside each number of positive (gpa < 2) rows."""
     h = V.history(t).select(*V.KEY, (F.col("gpa") < 2.0).cast("int").alias("risk_label"))
     return P.stratified_group_folds(h, "student_id", "risk_label", 5)
 
 
+@query("fold_balance", sql=STRATIFIED_SQL + """
+select d.fold, count(*) as n_rows, count(distinct h.student_id) as n_students, cast(sum(case when h.gpa < 2.0 then 1 else 0 end) as bigint) as n_positive
+from hist h join dealt d on h.student_id = d.student_id group by d.fold""")
+def fold_balance(t):
+    """K8: rows, students and positive rows per fold."""
+    h = V.history(t).select(*V.KEY, (F.col("gpa") < 2.0).cast("int").alias("risk_label"))
+    x = P.stratified_group_folds(h, "student_id", "risk_label", 5)
+    return x.groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("student_id").alias("n_students"),
+                                 F.sum("risk_label").cast("long").alias("n_positive"))
+
+
 def _prepared_panel(t):
     from panelspark.plans.catalog_features import panel_featureset
     from panelspark.functions.rows import column_types
@@ -93,7 +124,7 @@ def _prepared_panel(t):
 
 @query("smote_minority")
 def smote_minority(t):
-    """K9: synthetic at-risk rows from sorted random-projection neighbourhoods (training rows only)."""
+    """K9: synthetic at-risk rows between nearest at-risk rows, until both classes are equal (training rows only)."""
     from panelspark.session import cut_lineage
     fs, numeric, categorical = _prepared_panel(t)
     df = cut_lineage(fs.df.withColumn("row_id", F.concat_ws("-", *[F.col(c).cast("string") for c in fs.meta_cols])))
@@ -109,19 +140,27 @@ def _panel_with_folds(t, k=3):
     return df, numeric, categorical
 
 
+def _compared(t, task):
+    return TR.results_frame(t.spark, TK.train_task(t, task, TK.SHORT_GRIDS[TK.TASKS[task].kind]))
+
+
 @query("classifier_comparison")
 def classifier_comparison(t):
-    """L1 + L4-L7: six classifiers, entity folds, out-of-fold F1 macro, in-sample gap, temporal refit,
-    leakage redaction (risk label = gpa < 2.0)."""
-    df, numeric, categorical = _panel_with_folds(t)
-    return TR.compare(df, "risk_classification", "classification", numeric, categorical, "risk_label", "session", k=3)
+    """L1 + L3-L7: six classifiers with and without synthetic rows, grids over stratified student folds: out-of-fold F1 macro,
+    in-sample gap, later-period refit, leakage redaction (risk label = gpa < 2.0)."""
+    return _compared(t, "risk_classification")
 
 
 @query("regressor_comparison")
 def regressor_comparison(t):
-    """L2: six regressors on the same folds (target = term GPA)."""
-    df, numeric, categorical = _panel_with_folds(t)
-    return TR.compare(df, "gpa_regression", "regression", numeric, categorical, "target_gpa", "session", k=3)
+    """L2: six regressors and their grids over student folds (target = term GPA)."""
+    return _compared(t, "gpa_regression")
+
+
+@query("course_score_comparison")
+def course_score_comparison(t):
+    """L2 for T3: six regressors over the course items (target = item score), three folds when large."""
+    return _compared(t, "course_score")
 
 
 @query("grid_search_logistic")
@@ -205,9 +244,7 @@ select r.task || '__' || r.algorithm as version, r.algorithm = c.algorithm as is
 from red r join champ c on r.task = c.task""")
 def activate_champion(t):
     """One active version per task after activating the champion."""
-    reg = registry(t)
-    champ = TR.select_champion(rule_metrics(t), variant=None).first()  # one row per task: bounded
-    out = TR.activate_exclusive(reg, champ["task"], f"{champ['task']}__{champ['algorithm']}")
+    out = TR.activate_champions(registry(t), TR.select_champion(rule_metrics(t), variant=None))
     return out.select("version", "is_active")
 
 
@@ -218,24 +255,58 @@ select r.task, r.algorithm, r.task || '__' || r.algorithm as version, 'f1_macro'
 from red r join champ c on r.task = c.task""")
 def comparison_table(t):
     """Registry rows as a comparison table (metric read back from the JSON metrics)."""
-    reg = registry(t)
-    champ = TR.select_champion(rule_metrics(t), variant=None).first()
-    reg = TR.activate_exclusive(reg, champ["task"], f"{champ['task']}__{champ['algorithm']}")
-    ct = TR.comparison_table(reg)
+    ct = TR.comparison_table(TR.activate_champions(registry(t), TR.select_champion(rule_metrics(t), variant=None)))
     return ct.select("task", "algorithm", "version", "metric_name", r6("metric_value").alias("metric_value"),
                      "leakage_flag", "cv_std", "train_test_gap", "is_active")
 
 
 @query("registry_record")
 def registry_record(t):
-    """Fit the logistic pipeline, save it under the shared folder, emit its registry row."""
-    from pyspark.ml.classification import LogisticRegression
-    from panelspark.session import cut_lineage
-    fs, numeric, categorical = _prepared_panel(t)
-    df = cut_lineage(fs.df.withColumn("label", F.col("risk_label").cast("double")))
-    model = Pipeline(stages=[*P.prep_stages(numeric, categorical), LogisticRegression(maxIter=50)]).fit(df)
-    scored = model.transform(df)
-    metrics = M.confusion_and_prf(scored, "label", "prediction").first().asDict()
-    path = scratch_path(t.spark, "model-risk_classification__logistic_regression")
-    return TR.registry_record(model, path, "risk_classification", "logistic_regression", df.count(),
-                              fs.feature_cols, {"maxIter": 50}, metrics, t.spark)
+    """The registry after training all three tasks: a row per version, one active version per task."""
+    reg = TK.trained_store(t).registry()
+    return reg.select("version", "task", "algorithm", "use_smote", "training_rows", "feature_list", "hyperparameters", "metrics", "is_active")
+
+
+@query("registry_training_rows", sql="with pf as (" + panel_sql(False) + """),
+items as (select count(*) as n from lineitem l join orders o on l.l_orderkey = o.o_orderkey join part p on l.l_partkey = p.p_partkey
+  where o.o_orderdate < timestamp '2001-07-01 00:00:00')
+select 'risk_classification' as task, (select count(*) from pf) as training_rows, 35 as n_features
+union all select 'gpa_regression', (select count(*) from pf), 35 union all select 'course_score', (select n from items), 6""")
+def registry_training_rows(t):
+    """Rows and features that each task's versions were trained on."""
+    reg = TK.trained_store(t).registry()
+    return reg.select("task", "training_rows", F.size("feature_list").alias("n_features")).distinct()
+
+
+def _fairness(t, task):
+    rates, flags, _ = TK.fairness_on_holdout(t, task, TK.trained_store(t))
+    return rates, flags
+
+
+@query("fairness_holdout_risk")
+def fairness_holdout_risk(t):
+    """The active risk model refitted on earlier periods, rates per group on the latest one, gaps and flag per attribute."""
+    rates, flags = _fairness(t, "risk_classification")
+    wide = flags.groupBy("attribute").pivot("metric", list(FA.RATE_METRICS)).agg(F.first("gap"))
+    gaps = wide.select("attribute", *[F.col(m).alias(f"{m}_gap") for m in FA.RATE_METRICS]).join(
+        flags.groupBy("attribute").agg(F.bool_or("flagged").alias("flagged")), "attribute")
+    return rates.select("attribute", "value", "n", *[r6(m).alias(m) for m in FA.RATE_METRICS]).join(gaps, "attribute")
+
+
+@query("fairness_holdout_gpa")
+def fairness_holdout_gpa(t):
+    """N5, regression form: errors and mean predictions per group on the latest period, gap and flag per attribute."""
+    errors, flags = _fairness(t, "gpa_regression")
+    gaps = flags.select("attribute", r6("gap").alias("mean_predicted_gap"), "flagged")
+    return errors.select("attribute", "value", "n", *[r6(c).alias(c) for c in ("mae", "mean_predicted", "mean_actual")]).join(gaps, "attribute")
+
+
+@query("fairness_holdout_groups", sql="with pf as (" + panel_sql(False) + """),
+late as (select * from pf where session >= (select max(session) from pf)),
+u as (select 'entry_mode' as attribute, entry_mode as value from late union all select 'employment_status', employment_status from late
+  union all select 'accommodation', accommodation from late)
+select attribute, value, count(*) as n from u where value is not null group by attribute, value""")
+def fairness_holdout_groups(t):
+    """The rows of the latest period that each group's rates rest on."""
+    rates, _ = _fairness(t, "risk_classification")
+    return rates.select("attribute", "value", "n")

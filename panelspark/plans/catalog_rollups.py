@@ -6,6 +6,7 @@ from panelspark.operators import rollups as R
 from panelspark.plans import views as V
 from panelspark.functions.numeric import r6
 from panelspark.plans.registry import query
+from panelspark.plans.scoring import OPEN_SQL, scored_open
 from panelspark.plans.sql_views import ENR, GRADED, HIST, HIST_CTE, TERM, with_views
 
 
@@ -100,8 +101,8 @@ def course_difficulty(t):
     return R.course_difficulty(V.graded(t), c)
 
 
-@query("overview_kpis", sql=with_views(ENR, GRADED, HIST, __import__("panelspark.plans.sql_views", fromlist=["TERM"]).TERM)
-       + "," + __import__("panelspark.plans.scoring", fromlist=["OPEN_SQL"]).OPEN_SQL + """
+@query("overview_kpis", sql=with_views(ENR, GRADED, HIST, TERM)
+       + "," + OPEN_SQL + """
 select (select count(*) from customer) as total_students,
   (select count(*) from customer where c_acctbal > 0) as active_students,
   (select count(*) from tiered where risk_tier = 'low') as at_risk_low,
@@ -109,12 +110,12 @@ select (select count(*) from customer) as total_students,
   (select count(*) from tiered where risk_tier = 'high') as at_risk_high,
   (select count(*) from tiered where risk_tier = 'critical') as at_risk_critical,
   (select round(coalesce(avg(c), 0.0), 3) from (select arg_max(cgpa, session * 10 + semester) as c
-     from hist group by student_id) x) as average_cgpa""")
+     from hist group by student_id) x) as average_cgpa,
+  (select count(*) from orders where o_orderstatus in ('O', 'P')) as total_interventions_open""")
 def overview_kpis(t):
-    """Headline numbers as independent one-row aggregates cross-joined."""
-    from panelspark.plans.scoring import scored_open
+    """Headline numbers as independent one-row aggregates cross-joined; orders stand for interventions."""
     ent = t["customer"].select((F.col("c_acctbal") > 0).alias("is_active"))
-    return R.overview_kpis(ent, scored_open(t), V.history(t), active="is_active")
+    return R.overview_kpis(ent, scored_open(t), V.history(t), active="is_active", interventions=V.interventions(t))
 
 
 EVENT_DOMAIN = ("click", "view", "purchase", "signup", "error", "refund")
@@ -217,24 +218,42 @@ def open_periods(t):
     return R.distinct_periods(V.enrolments(t), V.KEY)
 
 
-@query("tier_groups", sql=with_views(ENR, GRADED, HIST, __import__("panelspark.plans.sql_views", fromlist=["TERM"]).TERM)
-       + "," + __import__("panelspark.plans.scoring", fromlist=["OPEN_SQL"]).OPEN_SQL + """
+@query("tier_groups", sql=with_views(ENR, GRADED, HIST, TERM)
+       + "," + OPEN_SQL + """
 select risk_tier, cast(case risk_tier when 'critical' then 1 when 'high' then 2 when 'moderate' then 3 else 4 end as int)
     as tier_order, count(*) over (partition by risk_tier) as tier_size, student_id, round(probability, 6) as probability
 from tiered""")
 def tier_groups(t):
     """Register grouped by tier in urgency order (flattened form)."""
-    from panelspark.plans.scoring import scored_open
     s = scored_open(t).select("student_id", r6("probability").alias("probability"), "risk_tier")
     return R.tier_groups(s)
 
 
-@query("feature_correlations")
+NUMERIC = ("prior_cgpa", "prior_gpa", "gpa_trend", "gpa_volatility", "credits_earned_ratio", "carryover_count", "semesters_completed",
+           "ca_average", "ca_std_dev_across_courses", "lowest_ca_score", "courses_below_ca_threshold", "mean_attendance_rate",
+           "min_attendance_rate", "attendance_std_dev", "courses_below_75_percent", "credit_load", "core_course_ratio",
+           "mean_course_difficulty_index", "level", "ca_to_max_ratio", "credit_load_vs_level_mean", "submission_rate", "punctuality_rate",
+           "lms_logins_normalised", "study_hours_per_week", "tutorial_attendance_rate", "library_visits_normalised", "has_scholarship",
+           "entry_score_normalised", "attendance_x_ca_average", "study_hours_per_credit_load", "gpa_trend_x_credit_load")
+
+
+def _correlation_sql() -> str:
+    from panelspark.plans.catalog_features import panel_sql
+    cells = ", ".join(f"corr({a}, {b}) as r_{i}_{j}" for i, a in enumerate(NUMERIC) for j, b in enumerate(NUMERIC) if i <= j)
+    pick = " union all ".join(
+        f"select '{a}' as feature_a, '{b}' as feature_b, r_{min(i, j)}_{max(i, j)} as r from c"
+        for i, a in enumerate(NUMERIC) for j, b in enumerate(NUMERIC))
+    pf = "with pf as (" + panel_sql(False) + "), n as (select " + ", ".join(f"cast({c} as double) as {c}" for c in NUMERIC) + " from pf)"
+    return pf + f""", c as (select {cells} from n), l as ({pick})
+select feature_a, feature_b, round(case when r is null or isnan(r) then 0.0 else r end, 3) as r from l"""
+
+
+@query("feature_correlations", sql=_correlation_sql())
 def feature_correlations(t):
     """D11 as served: Pearson over every numeric column of the J1 feature table (pairwise-complete,
-    3 dp, undefined -> 0), long form; one pass with a per-pair aggregate."""
+    3 dp, undefined -> 0), long form; masked moments per task."""
     from panelspark.functions.rows import column_types
-    from panelspark.plans.catalog_features import panel_featureset
+    from panelspark.plans.catalog_features import _present, panel_featureset
     fs = panel_featureset(t)
     numeric, _ = column_types(fs.df, fs.feature_cols)
-    return R.correlation_matrix(fs.df, numeric)
+    return R.correlation_matrix(fs.df.select(*_present(fs.df, fs.feature_cols)), numeric)

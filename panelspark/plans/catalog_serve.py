@@ -2,14 +2,18 @@
 
 from pyspark.sql import functions as F
 
-from panelspark.functions.numeric import r6
+from panelspark.functions.numeric import half_even, r6
+from panelspark.functions.rows import confidence
 from panelspark.operators import rollups as R
 from panelspark.operators import select as SEL
 from panelspark.operators import serve as SV
 from panelspark.plans import scoring as S
+from panelspark.plans import tasks as TK
 from panelspark.plans import views as V
+from panelspark.plans.catalog_features import panel_sql
 from panelspark.plans.registry import query
 from panelspark.plans.sql_views import ALL_CTE, ENR, HIST_CTE, with_views
+from panelspark.session import cut_lineage, scratch_path
 
 TIERED = ALL_CTE + "," + S.OPEN_SQL + "\n"
 
@@ -97,23 +101,89 @@ def scope_counts(t):
 
 
 @query("scoped_open_orders", sql="with " + GRANTS_SQL + """
-select g.user_id, o.o_orderkey, cast(cast(o.o_orderdate as date) as varchar) as order_date
-from grants g join orders o on g.student_id = o.o_custkey
-where g.role = 'adviser' and o.o_orderstatus = 'O'""")
+select g.user_id, g.role, o.o_orderkey, cast(cast(o.o_orderdate as date) as varchar) as order_date
+from grants g join orders o on g.student_id = o.o_custkey where o.o_orderstatus = 'O'""")
 def scoped_open_orders(t):
-    """Each adviser's in-scope log rows with a status filter, newest first."""
-    g = grants(t).filter(F.col("role") == "adviser")
-    o = t["orders"].filter(F.col("o_orderstatus") == "O").select(F.col("o_custkey").alias("student_id"), "o_orderkey",
-                                                                 "o_orderdate")
-    x = SV.scoped_rows_all_users(o, g)
-    return (x.orderBy(F.desc("o_orderdate"), "o_orderkey")
-            .select("user_id", "o_orderkey", F.to_date("o_orderdate").cast("string").alias("order_date")))
+    """The log rows in scope of every adviser, lecturer and student with a status filter, newest first."""
+    log = V.interventions(t).filter(F.col("status") == "planned")
+    x = SV.scoped_log(log, grants(t), "created_at", "intervention_id")
+    return x.select("user_id", "role", F.col("intervention_id").alias("o_orderkey"), F.to_date("created_at").cast("string").alias("order_date"))
+
+
+@query("scoped_register", sql="with base as (" + TIERED + """ select student_id, probability from tiered), """ + GRANTS_SQL + """,
+who as (select role, min(user_id) as user_id from grants group by role)
+select w.role, w.user_id, b.student_id, round(b.probability, 6) as probability
+from who w join grants g on w.user_id = g.user_id and w.role = g.role join base b on g.student_id = b.student_id
+union all select 'admin', 'admin', student_id, round(probability, 6) from base""")
+def scoped_register(t):
+    """P2 + P6: the register as the first user of every role sees it; the admin sees all of it."""
+    g = cut_lineage(grants(t), "grants")
+    first = {r["role"]: r["u"] for r in g.groupBy("role").agg(F.min("user_id").alias("u")).collect()}   # a row per role
+    s = cut_lineage(S.scored_open(t).select("student_id", "probability"), "register")
+    out = None
+    for role, user in [*sorted(first.items()), ("admin", "admin")]:
+        part = SV.scope_rows(s, g, user, role).select(F.lit(role).alias("role"), F.lit(user).alias("user_id"), "student_id",
+                                                      r6("probability").alias("probability"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("profile_history", sql=HIST_CTE + """
+select student_id, session, semester, credits_registered, credits_earned, round(gpa, 6) as gpa, round(cgpa, 6) as cgpa,
+  case when cgpa < 2.0 then 'probation' when cgpa < 2.5 then 'warning' else 'good' end as standing,
+  row_number() over (partition by student_id order by session, semester) as line
+from hist""")
+def profile_history(t):
+    """P5: the history rows of every profile, numbered in period order, with the standing."""
+    x = SV.profile_history(V.history(t))
+    return x.select(*V.KEY, "credits_registered", "credits_earned", r6("gpa").alias("gpa"), r6("cgpa").alias("cgpa"), "standing", "line")
+
+
+PROFILE_SQL = with_views(ENR) + """,
+pe as (select student_id, course_id, p_brand as department, session, semester, ca_score, total_score,
+    case when status = 'completed' then total_score - ca_score end as exam_score, status,
+    case when total_score is null then null when total_score >= 70 then 'A' when total_score >= 60 then 'B' when total_score >= 50 then 'C'
+      when total_score >= 45 then 'D' when total_score >= 40 then 'E' else 'F' end as grade, attendance_rate
+  from enr join part on course_id = p_partkey)
+"""
+
+
+@query("profile_enrolments", sql=PROFILE_SQL + """
+select student_id, course_id, department, session, semester, round(ca_score, 6) as ca_score, round(exam_score, 6) as exam_score,
+  round(total_score, 6) as total_score, grade, round(attendance_rate, 6) as attendance_rate, status from pe""")
+def profile_enrolments(t):
+    """P5: the enrolment rows of every profile with their course, grade and attendance."""
+    x = SV.profile_enrolments(V.profile_items(t), V.courses(t))
+    return x.select("student_id", "course_id", "department", "session", "semester", *[r6(c).alias(c) for c in ("ca_score", "exam_score", "total_score")],
+                    "grade", r6("attendance_rate").alias("attendance_rate"), "status")
+
+
+def _one(c: str, digits: int = 1) -> str:
+    return f"coalesce(printf('%.{digits}f', {c}), '-')"
+
+
+@query("report_history_lines", sql=HIST_CTE + """
+select student_id, cast(session as varchar) as session, cast(semester as varchar) as semester, printf('%.2f', gpa) as gpa,
+  printf('%.2f', cgpa) as cgpa, case when cgpa < 2.0 then 'probation' when cgpa < 2.5 then 'warning' else 'good' end as standing
+from hist""")
+def report_history_lines(t):
+    """The academic history table of every student report, as text."""
+    return SV.report_history_lines(SV.profile_history(V.history(t)))
+
+
+@query("report_enrolment_lines", sql=PROFILE_SQL + "select student_id, cast(course_id as varchar) as course, "
+       "cast(session as varchar) || ' S' || cast(semester as varchar) as period, " + _one("ca_score") + " as ca, " + _one("exam_score")
+       + " as exam, " + _one("total_score") + " as total, coalesce(grade, '-') as grade, "
+       "coalesce(printf('%.0f', attendance_rate * 100) || '%', '-') as attendance from pe")
+def report_enrolment_lines(t):
+    """The enrolment table of every student report, as text; missing -> '-'."""
+    return SV.report_enrolment_lines(SV.profile_enrolments(V.profile_items(t), V.courses(t)))
 
 
 @query("register_report", sql=TIERED + """
 select t.student_id, coalesce(c.c_name, '-') as name, coalesce(cast(l.level as varchar), '-') as level,
   upper(substr(t.risk_tier, 1, 1)) || substr(t.risk_tier, 2) as tier,
-  printf('%.1f', round(t.probability * 100 + 1e-9, 1)) || '%' as risk
+  printf('%.1f', t.probability * 100) || '%' as risk
 from tiered t left join customer c on t.student_id = c.c_custkey
 left join (select student_id, session, semester, level from (
     select student_id, session, semester, level,
@@ -146,23 +216,20 @@ def entity_profiles(t):
 
 @query("entity_forecast")
 def entity_forecast(t):
-    """Per open entity, risk (reference scorer) + GPA forecast with interval and projected
-    CGPA + per-open-course score forecasts (nested, bounded by the term's course load)."""
-    from panelspark.functions import rows as RW
-    s = S.scored_open(t)
-    ext = S.extended_lagged(t).select(*V.KEY, "prior_gpa", "semesters_completed", "gpa")
-    hist_err = S.extended_lagged(t).filter(F.col("gpa").isNotNull()).select(
-        (F.col("gpa") - F.coalesce("prior_gpa", F.lit(2.5))).alias("_e"))
-    rmse = hist_err.agg(F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"))
-    x = s.join(ext.drop("gpa"), list(V.KEY)).crossJoin(F.broadcast(rmse))
-    point, lo, hi = RW.prediction_interval(F.coalesce("prior_gpa", F.lit(2.5)), F.col("rmse"), 0.0, 5.0)
-    x = x.select(*V.KEY, "probability", "risk_tier", point.alias("predicted_gpa"), lo.alias("gpa_lower"),
-                 hi.alias("gpa_upper"),
-                 RW.blend_running_mean("prior_cgpa", "semesters_completed", point).alias("projected_cgpa"))
-    items = (V.enrolments(t).filter(F.col("status") == "ongoing")
-             .groupBy(*V.KEY).agg(F.sort_array(F.collect_list(F.struct(
-                 "course_id", (F.col("ca_score") / 0.3 * F.col("attendance_rate")).alias("predicted_score")))).alias("items")))
-    return x.join(items, list(V.KEY), "left")
+    """Per open student, risk, GPA with interval and projected CGPA, and the score of every open course item (nested,
+    bounded by the term's course load), all from the active models."""
+    store = TK.trained_store(t)
+    items = TK.score_open_items(t, store).groupBy(*V.KEY).agg(
+        F.sort_array(F.collect_list(F.struct("course_id", r6("predicted_score").alias("predicted_score")))).alias("items"))
+    x = TK.score_open(t, store).join(items, list(V.KEY), "left")
+    numbers = ("probability", "predicted_gpa", "gpa_lower", "gpa_upper", "projected_cgpa")
+    return x.select(*V.KEY, *[r6(c).alias(c) for c in numbers], "risk_tier", "risk_algorithm", "gpa_algorithm", "items")
+
+
+@query("open_item_scores")
+def open_item_scores(t):
+    """The active model's score of every open course item."""
+    return TK.score_open_items(t, TK.trained_store(t)).withColumn("predicted_score", r6("predicted_score"))
 
 
 @query("gpa_histogram", sql=HIST_CTE + """,
@@ -205,51 +272,30 @@ def level_comparison(t):
                                   r6(F.stddev_samp("grade_point")).alias("sd_grade_point"))
 
 
-def _fitted_models(t):
-    """Logistic risk classifier + linear GPA regressor on the completed-period feature table
-    (checkpointed once), and the open-period features to score."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.regression import LinearRegression
-    from panelspark.functions.rows import column_types
-    from panelspark.plans.catalog_features import panel_featureset
-    from panelspark.plans.prep import prep_stages
-    from panelspark.session import cut_lineage
-    fs = panel_featureset(t)
-    numeric, categorical = column_types(fs.df, fs.feature_cols)
-    train = cut_lineage(fs.df, "train-panel")
-    prep = Pipeline(stages=prep_stages(numeric, categorical)).fit(train)
-    prepared = prep.transform(train).cache()
-    clf = LogisticRegression(labelCol="risk_label", maxIter=50).fit(prepared)
-    reg = LinearRegression(labelCol="target_gpa", predictionCol="predicted_gpa").fit(prepared)
-    open_fs = panel_featureset(t, include_current=True)
-    return prep, clf, reg, open_fs.df
-
-
 @query("score_open_periods")
 def score_open_periods(t):
-    """Open-period features -> fitted classifier probability -> risk tier."""
-    from pyspark.ml import PipelineModel
-    prep, clf, _, open_df = _fitted_models(t)
-    scored = SV.score_with_model(open_df, PipelineModel(stages=[prep, clf]))
-    return scored.select(*V.KEY, r6("probability").alias("probability"), "risk_tier")
+    """Open-period features -> the registry's active classifier -> probability, tier and confidence."""
+    x = TK.score_open(t, TK.trained_store(t))
+    return x.select(*V.KEY, r6("probability").alias("probability"), "risk_tier", r6(confidence("probability")).alias("confidence"),
+                    F.col("risk_algorithm").alias("algorithm"))
+
+
+@query("scored_open_keys", sql="with pf as (" + panel_sql(True) + ") select student_id, session, semester from pf")
+def scored_open_keys(t):
+    """The active model scores every open (student, period), each once."""
+    return TK.score_open(t, TK.trained_store(t)).select(*V.KEY)
 
 
 @query("batch_predict")
 def batch_predict(t):
-    """Requested ids -> status (not found / no ongoing / ok) -> risk + predicted GPA for the ok
+    """Requested ids -> status (not found / no ongoing / ok) -> risk + predicted GPA of the active models for the ok
     ones (the GPA is filled, unlike the source) -> appended to a prediction log, read back."""
-    from pyspark.ml import PipelineModel
-    from panelspark.functions.bands import clip
     from panelspark.operators.joins import lookup_with_status
     from panelspark.sources.files import append_log
-    from panelspark.session import scratch_path
-    prep, clf, reg, open_df = _fitted_models(t)
-    scored = SV.score_with_model(open_df, PipelineModel(stages=[prep, clf, reg]))
-    scored = scored.select("student_id", "probability", "risk_tier", clip("predicted_gpa", 0.0, 5.0).alias("predicted_gpa"))
+    scored = TK.score_open(t, TK.trained_store(t)).select("student_id", "probability", "risk_tier", "predicted_gpa")
     req = t["lineitem"].select(F.col("l_partkey").alias("student_id"))
     ent = t["customer"].select(F.col("c_custkey").alias("student_id"))
-    status = lookup_with_status(req, ent, scored, "student_id")
+    status = cut_lineage(lookup_with_status(req, ent, scored, "student_id"), "batch-status")
     path = scratch_path(t.spark, "batch-predictions")
     append_log(status.filter(F.col("status") == "ok"), path, ["probability", "risk_tier", "predicted_gpa"])
     logged = t.spark.read.parquet(path).select("student_id", F.lit(True).alias("logged"))
@@ -264,11 +310,10 @@ lv as (select student_id, level from (select student_id, level, row_number() ove
   group by all) c) r where rk = 1),
 lc as (select student_id, arg_max(cgpa, session * 10 + semester) as cgpa from hist group by student_id)
 select c.c_custkey as student_id, coalesce(c.c_name, '-') as name, coalesce(cast(lv.level as varchar), '-') as level,
-  coalesce(printf('%.2f', round(lc.cgpa + 1e-9, 2)), '-') as latest_cgpa
+  coalesce(printf('%.2f', lc.cgpa), '-') as latest_cgpa
 from customer c left join lv on c.c_custkey = lv.student_id left join lc on c.c_custkey = lc.student_id""")
 def entity_report(t):
     """P8 (entity report): name, open-period level and latest CGPA as text; missing -> '-'."""
-    from panelspark.functions.numeric import rnd
     lvl = R.term_rollup(V.enrolments(t).filter(F.col("status") == "ongoing"), ["student_id"], with_difficulty=False) \
         .select("student_id", "level")
     lc = R.latest_value(V.history(t), "student_id", V.PERIOD, "cgpa")
@@ -276,5 +321,5 @@ def entity_report(t):
     x = V.students(t).select("student_id", "name").join(lvl, "student_id", "left").join(lc, "student_id", "left")
     return x.select("student_id", F.coalesce("name", dash).alias("name"),
                     F.coalesce(F.col("level").cast("string"), dash).alias("level"),
-                    F.coalesce(F.when(F.col("cgpa").isNotNull(), F.format_string("%.2f", rnd(F.col("cgpa") + F.lit(1e-9), 2))),
+                    F.coalesce(F.when(F.col("cgpa").isNotNull(), F.format_string("%.2f", half_even("cgpa", 2))),
                                dash).alias("latest_cgpa"))

@@ -1,4 +1,4 @@
-"""Training and model selection (L1-L11) with Spark ML.
+"""Training and model selection (L1-L8) with Spark ML.
 
 Algorithms per task (same folds, same prep stages):
   classification: logistic regression, decision tree, random forest,
@@ -7,15 +7,21 @@ Algorithms per task (same folds, same prep stages):
   gradient-boosted trees, generalized linear model, factorization machine.
 Kernel SVM / SVR / MLP regression have no Spark ML counterpart and are not built.
 
-Metrics are DataFrame aggregates (``operators.metrics``); CV folds are
-entity-level (``prep.group_folds``); the feature table is cached once and
-reused across all fits.
+``search`` prepares every split once (imputation, scaling and encoding fitted
+on its training rows, synthetic minority rows added to those only), writes the
+prepared splits to the shared folder, and fits the whole grid of every
+algorithm on them; driver threads only submit fits.  A result row holds the
+best parameters of one (algorithm, variant) with its out-of-fold, in-sample
+and later-period metrics.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -35,7 +41,28 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.constants import LEAKAGE_ACCURACY_THRESHOLD, LEAKAGE_R2_THRESHOLD, SEED
 from panelspark.operators import metrics as M
-from panelspark.plans.prep import prep_stages
+from panelspark.plans.prep import prep_stages, smote, temporal_split
+from panelspark.session import cut_lineage
+
+# --- FIXED VALUES: published grids; C is the inverse of n times Spark's regParam, depth 30 (Spark's limit) stands for unlimited.
+# glm and factorization_machine stand in for SVR and MLP regression, which Spark has not; their values are our own.
+CLASSIFICATION_GRIDS: dict[str, dict[str, list]] = {
+    "logistic_regression": {"C": [0.1, 1.0, 10.0]},
+    "decision_tree": {"max_depth": [4, 8, 30]},
+    "random_forest": {"n_estimators": [150, 300], "max_depth": [8, 30]},
+    "gradient_boosting": {"n_estimators": [150, 300], "max_depth": [3, 6]},
+    "svm": {"C": [1.0, 10.0]},
+    "mlp": {"hidden": [[32], [64, 32]]},
+}
+REGRESSION_GRIDS: dict[str, dict[str, list]] = {
+    "linear_regression": {},
+    "decision_tree": {"max_depth": [4, 8, 30]},
+    "random_forest": {"n_estimators": [150, 300], "max_depth": [8, 30]},
+    "gradient_boosting": {"n_estimators": [150, 300], "max_depth": [3, 6]},
+    "glm": {"C": [1.0, 10.0]},
+    "factorization_machine": {"factors": [4, 8]},
+}
+PRIMARY = {"classification": "f1_macro", "regression": "r2"}
 
 
 class F1MacroEvaluator(Evaluator):
@@ -73,96 +100,201 @@ def platt_svm(features: str = "features", label: str = "label", reg: float = 0.0
             LogisticRegression(featuresCol="svm_margin_vec", labelCol=label)]
 
 
-def classifiers(n_features: int, features: str = "features", label: str = "label") -> dict[str, list]:
-    return {
-        "logistic_regression": [LogisticRegression(featuresCol=features, labelCol=label, maxIter=50)],
-        "decision_tree": [DecisionTreeClassifier(featuresCol=features, labelCol=label, maxDepth=5, seed=SEED)],
-        "random_forest": [RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=30, maxDepth=6, seed=SEED)],
-        "gradient_boosting": [GBTClassifier(featuresCol=features, labelCol=label, maxIter=20, maxDepth=3, seed=SEED)],
-        "svm": platt_svm(features, label),
-        "mlp": [MultilayerPerceptronClassifier(featuresCol=features, labelCol=label, layers=[n_features, 16, 2],
-                                               maxIter=50, seed=SEED)],
-    }
-
-
-def regressors(features: str = "features", label: str = "label") -> dict[str, list]:
-    return {
-        "linear_regression": [LinearRegression(featuresCol=features, labelCol=label)],
-        "decision_tree": [DecisionTreeRegressor(featuresCol=features, labelCol=label, maxDepth=5, seed=SEED)],
-        "random_forest": [RandomForestRegressor(featuresCol=features, labelCol=label, numTrees=30, maxDepth=6, seed=SEED)],
-        "gradient_boosting": [GBTRegressor(featuresCol=features, labelCol=label, maxIter=20, maxDepth=3, seed=SEED)],
-        "glm": [GeneralizedLinearRegression(featuresCol=features, labelCol=label, family="gaussian")],
-        "factorization_machine": [FMRegressor(featuresCol=features, labelCol=label, factorSize=4, maxIter=50, seed=SEED)],
-    }
-
-
-def _with_label(df: DataFrame, label_col: str) -> DataFrame:
-    return df.withColumn("label", F.col(label_col).cast("double"))
-
-
-def _prob(df: DataFrame) -> DataFrame:
-    return df.withColumn("y_score", vector_to_array("probability")[1])
+def estimator(kind: str, algorithm: str, params: Mapping, n_rows: int, n_features: int) -> list:
+    """Unfitted stages of an algorithm over ``features`` and ``label``; unknown names raise KeyError."""
+    cols = {"featuresCol": "features", "labelCol": "label"}
+    reg = 1.0 / (params["C"] * max(n_rows, 1)) if "C" in params else 0.0
+    depth, trees = params.get("max_depth", 5), params.get("n_estimators", 30)
+    if kind == "classification":
+        make = {
+            "logistic_regression": lambda: [LogisticRegression(**cols, maxIter=100, regParam=reg)],
+            "decision_tree": lambda: [DecisionTreeClassifier(**cols, maxDepth=depth, seed=SEED)],
+            "random_forest": lambda: [RandomForestClassifier(**cols, numTrees=trees, maxDepth=depth, seed=SEED)],
+            "gradient_boosting": lambda: [GBTClassifier(**cols, maxIter=trees, maxDepth=depth, seed=SEED)],
+            "svm": lambda: platt_svm(reg=reg),
+            "mlp": lambda: [MultilayerPerceptronClassifier(**cols, layers=[n_features, *params.get("hidden", [16]), 2],
+                                                           maxIter=100, seed=SEED)],
+        }
+    else:
+        make = {
+            "linear_regression": lambda: [LinearRegression(**cols)],
+            "decision_tree": lambda: [DecisionTreeRegressor(**cols, maxDepth=depth, seed=SEED)],
+            "random_forest": lambda: [RandomForestRegressor(**cols, numTrees=trees, maxDepth=depth, seed=SEED)],
+            "gradient_boosting": lambda: [GBTRegressor(**cols, maxIter=trees, maxDepth=depth, seed=SEED)],
+            "glm": lambda: [GeneralizedLinearRegression(**cols, family="gaussian", regParam=reg)],
+            "factorization_machine": lambda: [FMRegressor(**cols, factorSize=params.get("factors", 4), maxIter=50, seed=SEED)],
+        }
+    return make[algorithm]()
+
+
+def expand_grid(grid: Mapping[str, Sequence]) -> list[dict]:
+    """All combinations, the first values first; one empty combination for an empty grid."""
+    return [dict(zip(grid, v)) for v in itertools.product(*grid.values())]
+
+
+@dataclass
+class Result:
+    """Best parameters of one (algorithm, variant) and what they reach."""
+    task: str
+    kind: str
+    algorithm: str
+    smote: bool
+    params: dict
+    fold_scores: list[float]
+    metrics: dict            # out of fold; numbers are None when redacted
+    temporal: dict           # fitted on earlier periods, measured on the latest
+    in_sample: float
+    leakage_flag: bool
+    n_rows: int
+    features: list[str]
+    model: PipelineModel = field(repr=False)
+
+    @property
+    def score(self) -> float | None:
+        return self.metrics.get(PRIMARY[self.kind])
+
+    @property
+    def cv_mean(self) -> float:
+        return sum(self.fold_scores) / len(self.fold_scores)
+
+    @property
+    def cv_std(self) -> float:
+        m = self.cv_mean
+        return (sum((x - m) ** 2 for x in self.fold_scores) / len(self.fold_scores)) ** 0.5
+
+
+@dataclass
+class _Split:
+    name: str
+    train: dict[bool, DataFrame]     # by variant
+    test: DataFrame
+    n_rows: dict[bool, int]
+    prep: PipelineModel
+
+
+def _prepare(name: str, train: DataFrame, test: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
+             variants: Sequence[bool]) -> _Split:
+    prep = Pipeline(stages=prep_stages(numeric, categorical)).fit(train)
+    tr = cut_lineage(prep.transform(train).select("row_id", "features", "label"), f"split-{name}")
+    te = cut_lineage(prep.transform(test).select("row_id", "features", "label", "fold"), f"split-{name}-test")
+    frames = {False: tr}
+    if True in variants:
+        frames[True] = cut_lineage(tr.unionByName(smote(tr, "features", "label", "row_id")), f"split-{name}-smote")
+    return _Split(name, {v: frames[v] for v in variants}, te, {v: frames[v].count() for v in variants}, prep)
+
+
+def _redact(kind: str, metrics: dict) -> tuple[dict, bool]:
+    high = metrics["accuracy"] > LEAKAGE_ACCURACY_THRESHOLD if kind == "classification" else (metrics["r2"] or 0) > LEAKAGE_R2_THRESHOLD
+    return ({k: None for k in metrics}, True) if high else (metrics, False)
+
+
+def _measure(kind: str, scored: DataFrame) -> dict:
+    if kind == "classification":
+        m = M.confusion_and_prf(scored, "label", "prediction").first().asDict()
+        p = scored.withColumn("y_score", vector_to_array("probability")[1])
+        m["roc_auc"] = M.roc_auc(p, "label", "y_score").first()["roc_auc"]
+        return m
+    return M.regression_metrics(scored, "label", "prediction").first().asDict()
 
 
-def _metrics_row(task, name, kind, oof, insample, temporal):
+def _fold_scores(kind: str, oof: DataFrame, k: int) -> list[float]:
+    """Primary metric of every fold from one job (a row per fold)."""
     if kind == "classification":
-        cv = M.confusion_and_prf(oof, "label", "prediction").first()
-        ins = M.confusion_and_prf(insample, "label", "prediction").first()
-        tmp = M.confusion_and_prf(temporal, "label", "prediction").first()
-        auc = M.roc_auc(_prob(oof), "label", "y_score").first()["roc_auc"]
-        per_fold = (oof.groupBy("fold").agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("a"))
-                    .agg(F.stddev_pop("a")).first()[0])
-        return (task, name, float(cv["f1_macro"]), float(per_fold or 0.0), float(cv["accuracy"]),
-                float(ins["accuracy"]), float(ins["accuracy"]) - float(cv["f1_macro"]),
-                float(tmp["f1_macro"]), float(tmp["accuracy"]), float(auc) if auc is not None else None, None)
-    cv = M.regression_metrics(oof, "label", "prediction").first()
-    ins = M.regression_metrics(insample, "label", "prediction").first()
-    tmp = M.regression_metrics(temporal, "label", "prediction").first()
-    return (task, name, float(cv["r2"]), None, None, float(ins["r2"]), float(ins["r2"]) - float(cv["r2"]),
-            float(tmp["r2"]), None, None, float(cv["rmse"]))
-
-
-def compare(df: DataFrame, task: str, kind: str, numeric: Sequence[str], categorical: Sequence[str], label_col: str,
-            time_col: str, k: int = 3, algorithms: Sequence[str] | None = None) -> DataFrame:
-    """L1/L2 + L4-L7: per algorithm, out-of-fold CV score, in-sample score and gap, temporal
-    refit score (train on earlier periods, test on the latest), leakage redaction.
-
-    ``df`` must carry a ``fold`` column.  The feature table is checkpointed
-    once (lineage cut in the shared checkpoint folder); the prep stages are
-    fitted once per split on that split's training rows only, and the
-    prepared split is cached and shared by all algorithms.
+        got = {r["fold"]: r["f1_macro"] for r in M.confusion_and_prf(oof, "label", "prediction", by=["fold"]).collect()}
+    else:
+        e = F.col("label") - F.col("prediction")
+        r2 = 1 - F.try_divide(F.sum(e * e), F.var_pop("label") * F.count("label"))
+        got = {r["fold"]: r["r2"] for r in oof.groupBy("fold").agg(r2.alias("r2")).collect()}
+    return [float(got.get(i) or 0.0) for i in range(k)]
+
+
+def search(df: DataFrame, task: str, kind: str, numeric: Sequence[str], categorical: Sequence[str], label_col: str,
+           time_col: str, key: Sequence[str], k: int, grids: Mapping[str, Mapping[str, Sequence]] | None = None,
+           variants: Sequence[bool] | None = None, parallelism: int = 4) -> list[Result]:
+    """The whole grid of every algorithm over the folds; one result per (algorithm, variant).
+
+    ``df`` carries a ``fold`` column (``prep.group_folds``) and unique
+    ``key`` columns.  Variants are without and, for classification, with
+    synthetic minority rows.  The best parameters (first of equals) are
+    refitted on all rows (the model that is kept) and on all but the latest
+    period (the later-period metrics).
     """
-    from panelspark.plans.prep import temporal_split
-    from panelspark.session import cut_lineage
-    spark = df.sparkSession
-    data = cut_lineage(_with_label(df, label_col))
-    train, test = temporal_split(data, time_col)
-    splits = [(f"fold{i}", data.filter(F.col("fold") != i), data.filter(F.col("fold") == i)) for i in range(k)]
-    splits += [("full", data, data), ("temporal", train, test)]
-    prepared = []
-    for name, tr, te in splits:
-        pm = Pipeline(stages=prep_stages(numeric, categorical)).fit(tr)
-        prepared.append((name, pm.transform(tr).cache(), pm.transform(te).cache()))
-    nfeat = len(prepared[0][1].select("features").first()["features"])
-    algos = classifiers(nfeat) if kind == "classification" else regressors()
+    grids = grids or (CLASSIFICATION_GRIDS if kind == "classification" else REGRESSION_GRIDS)
+    variants = tuple(variants if variants is not None else ((False, True) if kind == "classification" else (False,)))
+    name = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key])
+    data = cut_lineage(df.withColumns({"label": F.col(label_col).cast("double"), "row_id": name}).filter(F.col("label").isNotNull()), "search")
+    early, late = temporal_split(data, time_col)
+    splits = [_prepare(f"fold{i}", data.filter(F.col("fold") != i), data.filter(F.col("fold") == i), numeric, categorical, variants)
+              for i in range(k)]
+    splits += [_prepare("full", data, data, numeric, categorical, variants), _prepare("temporal", early, late, numeric, categorical, variants)]
+    by_name = {s.name: s for s in splits}
+    first = splits[0].test.select("features").first()
+    n_features = len(first["features"]) if first else 0
+
+    def fit(split: _Split, algorithm: str, params: Mapping, variant: bool) -> PipelineModel:
+        stages = estimator(kind, algorithm, params, split.n_rows[variant], n_features)
+        return Pipeline(stages=stages).fit(split.train[variant])
+
+    def out_of_fold(algorithm: str, params: Mapping, variant: bool) -> DataFrame:
+        parts = [fit(s, algorithm, params, variant).transform(s.test) for s in splits[:k]]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def one(job: tuple[str, bool]) -> Result:
+        algorithm, variant = job
+        best = None
+        for params in expand_grid(grids[algorithm]):
+            oof = out_of_fold(algorithm, params, variant)
+            scores = _fold_scores(kind, oof, k)
+            if best is None or sum(scores) > sum(best[1]):
+                best = (params, scores, oof)
+        params, scores, oof = best
+        full = fit(by_name["full"], algorithm, params, variant)
+        later = fit(by_name["temporal"], algorithm, params, variant)
+        inside = _measure(kind, full.transform(by_name["full"].test))
+        metrics, flag = _redact(kind, _measure(kind, oof))
+        temporal, flag_late = _redact(kind, _measure(kind, later.transform(by_name["temporal"].test)))
+        return Result(task, kind, algorithm, variant, params, scores, metrics, temporal,
+                      inside["accuracy"] if kind == "classification" else inside["r2"], flag or flag_late, data_rows,
+                      [*numeric, *categorical], PipelineModel(stages=[by_name["full"].prep, *full.stages]))
+
+    data_rows = data.count()
+    with ThreadPoolExecutor(max(1, parallelism)) as pool:
+        return list(pool.map(one, [(a, v) for a in grids for v in variants]))
+
+
+def results_frame(spark, results: Sequence[Result]) -> DataFrame:
+    """One row per (task, algorithm, variant); metrics that crossed the leakage limit are null."""
     rows = []
-    for algo, est in algos.items():
-        if algorithms and algo not in algorithms:
-            continue
-        preds = {}
-        for name, tr, te in prepared:
-            preds[name] = Pipeline(stages=est).fit(tr).transform(te)
-        oof = preds["fold0"]
-        for i in range(1, k):
-            oof = oof.unionByName(preds[f"fold{i}"], allowMissingColumns=True)
-        rows.append(_metrics_row(task, algo, kind, oof, preds["full"], preds["temporal"]))
-    for _, tr, te in prepared:
-        tr.unpersist()
-        te.unpersist()
-    schema = ("task string, algorithm string, cv_score double, cv_std double, cv_accuracy double, "
-              "in_sample double, train_test_gap double, temporal_score double, temporal_accuracy double, "
-              "roc_auc double, rmse double")
-    return redact_suspicious(spark.createDataFrame(rows, schema), kind)
+    for r in results:
+        m, t = r.metrics, r.temporal
+        num = lambda v: None if v is None else float(v)
+        rows.append((r.task, r.algorithm, r.smote, json.dumps(r.params, sort_keys=True), num(r.score), num(r.cv_mean), num(r.cv_std),
+                     num(m.get("accuracy")), num(m.get("roc_auc")), num(m.get("rmse")), num(m.get("mae")), num(r.in_sample),
+                     num(r.in_sample - r.cv_mean), num(t.get(PRIMARY[r.kind])), num(t.get("accuracy")), num(t.get("rmse")),
+                     r.leakage_flag, r.n_rows))
+    return spark.createDataFrame(rows, "task string, algorithm string, smote boolean, params string, cv_score double, cv_mean double, "
+                                       "cv_std double, cv_accuracy double, roc_auc double, rmse double, mae double, in_sample double, "
+                                       "train_test_gap double, temporal_score double, temporal_accuracy double, temporal_rmse double, "
+                                       "leakage_flag boolean, training_rows long")
+
+
+def best_variants(results: Sequence[Result]) -> list[Result]:
+    """The better variant of every (task, algorithm); no score or 0 ranks last, the first of equals stays."""
+    best: dict[tuple[str, str], Result] = {}
+    for r in results:
+        have = best.get((r.task, r.algorithm))
+        if have is None or (r.score or float("-inf")) > (have.score or float("-inf")):
+            best[(r.task, r.algorithm)] = r
+    return list(best.values())
+
+
+def champion(results: Sequence[Result]) -> Result | None:
+    """The best scored, unflagged result; the first by name of equals; None without any."""
+    fit = [r for r in results if not r.leakage_flag and r.score is not None]
+    return min(fit, key=lambda r: (-r.score, r.algorithm), default=None)
 
 
 def redact_suspicious(metrics: DataFrame, kind: str, acc_col: str = "cv_accuracy", r2_col: str = "cv_score") -> DataFrame:
@@ -176,18 +308,21 @@ def redact_suspicious(metrics: DataFrame, kind: str, acc_col: str = "cv_accuracy
 
 
 def select_champion(metrics: DataFrame, score: str = "cv_score", variant: str | None = "smote") -> DataFrame:
-    """Best variant per (task, algorithm), then the best unflagged algorithm per task.
+    """L8 over a metrics table: best variant per (task, algorithm), then the best unflagged algorithm per task.
 
-    A score of 0.0 or null ranks last (treated as minus infinity).
+    Among variants no score or 0 ranks last; a task without any score has no
+    champion.  Equal scores: the variant without synthetic rows, then the
+    last algorithm by name.
     """
-    s = F.when(F.col(score).isNull() | (F.col(score) == 0.0), F.lit(float("-inf"))).otherwise(F.col(score))
-    x = metrics.withColumn("_s", s)
+    x = metrics
     if variant and variant in metrics.columns:
-        x = (x.groupBy("task", "algorithm").agg(F.max_by(F.struct(*[c for c in x.columns]), F.col("_s")).alias("_r"))
+        low = F.when(F.col(score) == 0.0, F.lit(None)).otherwise(F.col(score))
+        order = F.struct(F.coalesce(low, F.lit(float("-inf"))), ~F.col(variant))
+        x = (x.withColumn("_o", order).groupBy("task", "algorithm").agg(F.max_by(F.struct(*metrics.columns), F.col("_o")).alias("_r"))
              .select("_r.*"))
-    x = x.filter(~F.coalesce(F.col("leakage_flag"), F.lit(False)))
-    best = x.groupBy("task").agg(F.max_by(F.struct("algorithm", "_s"), F.struct("_s", "algorithm")).alias("_b"))
-    return best.select("task", F.col("_b.algorithm").alias("algorithm"), F.col("_b._s").alias(score))
+    x = x.filter(~F.coalesce(F.col("leakage_flag"), F.lit(False)) & F.col(score).isNotNull())
+    best = x.groupBy("task").agg(F.max(F.struct(F.col(score).alias("s"), "algorithm")).alias("_b"))
+    return best.select("task", F.col("_b.algorithm").alias("algorithm"), F.col("_b.s").alias(score))
 
 
 def activate_exclusive(registry: DataFrame, task: str, version: str) -> DataFrame:
@@ -196,6 +331,13 @@ def activate_exclusive(registry: DataFrame, task: str, version: str) -> DataFram
                                .otherwise(F.col("is_active")))
 
 
+def activate_champions(registry: DataFrame, champions: DataFrame) -> DataFrame:
+    """L9 for all tasks at once: in a task with a champion only its version is active; the others stay as they are."""
+    won = champions.select("task", F.concat_ws("__", "task", "algorithm").alias("_won"))
+    x = registry.join(F.broadcast(won), "task", "left")   # a row per task
+    return x.withColumn("is_active", F.coalesce(F.col("version") == F.col("_won"), F.col("is_active"))).select(*registry.columns)
+
+
 def comparison_table(registry: DataFrame) -> DataFrame:
     """Metric name per task, value read from the JSON metrics, leakage flag; ordered."""
     name = F.when(F.col("task") == "risk_classification", F.lit("f1_macro")).otherwise(F.lit("r2"))
@@ -208,20 +350,8 @@ def comparison_table(registry: DataFrame) -> DataFrame:
             .orderBy("task", "algorithm"))
 
 
-def registry_record(model: PipelineModel, path: str, task: str, algorithm: str, rows: int,
-                    features: Sequence[str], params: dict, metrics: dict, spark) -> DataFrame:
-    """Persist the fitted pipeline and return its registry row (version = task__algorithm)."""
-    model.write().overwrite().save(path)
-    return spark.createDataFrame([(f"{task}__{algorithm}", task, algorithm, rows, list(features),
-                                   {k: str(v) for k, v in params.items()}, json.dumps(metrics), path, False)],
-                                 "version string, task string, algorithm string, training_rows long, "
-                                 "feature_list array<string>, hyperparameters map<string,string>, metrics string, "
-                                 "artifact_path string, is_active boolean") \
-        .withColumn("trained_at", F.current_timestamp())
-
-
 def grid_search(df: DataFrame, stages: list, estimator, grid: dict, kind: str, k: int = 3, parallelism: int = 2):
-    """L3: exhaustive grid over entity folds (``fold`` column), refit of the best on all rows."""
+    """L3 for any single estimator: exhaustive grid over entity folds (``fold`` column), refit of the best on all rows."""
     builder = ParamGridBuilder()
     for param, values in grid.items():
         builder = builder.addGrid(getattr(estimator, param), values)

@@ -29,14 +29,14 @@ def open_cutoff():
     return F.lit(OPEN_FROM).cast("timestamp_ntz")
 
 
-def enrolments(t) -> DataFrame:
-    """One row per enrolment (lineitem) with course attributes and scores.
+def enrolments(t, *more: str) -> DataFrame:
+    """One row per enrolment (lineitem) with course attributes and scores, and the lineitem columns ``more``.
 
     lineitem x orders is the only fact-fact join (shuffle on orderkey, AQE
     splits a hot order); part joins on partkey and is broadcast by AQE only
     when its measured size is under the threshold.
     """
-    li = t["lineitem"].select("l_orderkey", "l_partkey", "l_quantity", "l_discount")
+    li = t["lineitem"].select("l_orderkey", "l_partkey", "l_quantity", "l_discount", *more)
     o = t["orders"].select("o_orderkey", "o_custkey", "o_orderdate")
     p = t["part"].select("p_partkey", "p_size")
     done = F.col("o_orderdate") < open_cutoff()
@@ -52,7 +52,7 @@ def enrolments(t) -> DataFrame:
                     (F.col("l_quantity") * 0.6).alias("ca_score"),
                     F.when(done, F.col("l_quantity") * 2).alias("total_score"),
                     F.when(done, F.lit("completed")).otherwise(F.lit("ongoing")).alias("status"),
-                    (1 - F.col("l_discount") * 5).alias("attendance_rate")))
+                    (1 - F.col("l_discount") * 5).alias("attendance_rate"), *more))
 
 
 def graded(t) -> DataFrame:
@@ -97,3 +97,18 @@ def courses(t) -> DataFrame:
     return t["part"].select(F.col("p_partkey").alias("course_id"), F.col("p_brand").alias("department"),
                             F.col("p_type").alias("course_type"), (F.col("p_size") % 3 + 2).alias("units"),
                             (F.floor((F.col("p_size") - 1) / 10).cast("int") * 100 + 100).alias("level"))
+
+
+def interventions(t) -> DataFrame:
+    """orders as interventions: open orders are planned, partly filled ones in progress, the rest completed."""
+    o = t["orders"]
+    status = (F.when(F.col("o_orderstatus") == "O", "planned").when(F.col("o_orderstatus") == "P", "in_progress").otherwise("completed"))
+    return o.select(F.col("o_orderkey").alias("intervention_id"), F.col("o_custkey").alias("student_id"), status.alias("status"),
+                    F.col("o_orderdate").alias("created_at"))
+
+
+def profile_items(t) -> DataFrame:
+    """Enrolments as a profile shows them: the exam is what the total has beyond the assessment."""
+    e = enrolments(t)
+    return e.withColumns({"exam_score": F.when(F.col("status") == "completed", F.col("total_score") - F.col("ca_score")),
+                          "grade": F.when(F.col("total_score").isNotNull(), grade_letter("total_score"))})
