@@ -156,9 +156,9 @@ def test_lm_predictions_add_up_to_one(spark):
     model = lm.train_model(documents(spark, texts))
     words = sorted({w for t in texts for w in t.split()})
     assert model.totals.words == len(words) + 1
-    blobs = [r.counts for r in model.counts.collect()]
-    assert len(blobs) == 1
-    part = lm._Model(lm._Part(bytes(blobs[0])), model.totals, model.sweeps)
+    rows = model.state.collect()
+    assert len(rows) == 1 and len(rows[0].kept) == lm.SAMPLES
+    part = lm._Model(lm._Part(bytes(rows[0].counts)), model.totals, [bytes(x) for x in rows[0].kept])
     for kind in set(part.part.kind.tolist()) | {5}:
         every = np.append(part.part.words, np.uint64(12345))
         score, count = part.score(every, np.full(len(every), kind, np.uint16))
@@ -193,6 +193,16 @@ def test_seating_has_the_distribution_of_the_restaurant():
         assert abs(seen[t] / (n * rounds) - exact[t] / total) < 0.01, t
 
 
+def test_seating_goes_on_from_its_state():
+    new = np.full(300, 0.5)
+    a = Seating(np.arange(300, dtype=np.uint64), np.arange(300) % 11, new, 0.6)
+    a.resample(new, 4)
+    b = Seating.resume(a.key, *a.state(), 0.6)
+    for s in (a, b):
+        s.resample(new, 5)
+    assert (a.t == b.t).all() and (a.size == b.size).all() and (a.c == b.c).all()
+
+
 def test_seating_follows_changing_customers():
     rng = np.random.default_rng(1)
     want = rng.integers(0, 9, 500)
