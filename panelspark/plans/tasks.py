@@ -50,16 +50,16 @@ GROUP_COLUMNS = ("entry_mode", "employment_status", "accommodation")
 SHORT_GRIDS = {
     "classification": {
         "logistic_regression": {"C": [0.1, 10.0]}, "decision_tree": {"max_depth": [4, 8]},
-        "random_forest": {"n_estimators": [20], "max_depth": [5, 8]}, "gradient_boosting": {"n_estimators": [10], "max_depth": [3, 5]},
-        "svm": {"C": [1.0]}, "mlp": {"hidden": [[16], [32, 16]]}},
+        "random_forest": {"n_estimators": [20], "max_depth": [6]}, "gradient_boosting": {"n_estimators": [8], "max_depth": [3]},
+        "svm": {"C": [1.0]}, "mlp": {"hidden": [[16]]}},
     "regression": {
         "linear_regression": {}, "decision_tree": {"max_depth": [4, 8]},
-        "random_forest": {"n_estimators": [20], "max_depth": [5, 8]}, "gradient_boosting": {"n_estimators": [10], "max_depth": [3, 5]},
+        "random_forest": {"n_estimators": [20], "max_depth": [6]}, "gradient_boosting": {"n_estimators": [8], "max_depth": [3]},
         "glm": {"C": [1.0]}, "factorization_machine": {"factors": [2]}},
 }
 # What the queries that need a registry train.
 SERVED_GRIDS = {
-    "classification": {"logistic_regression": {"C": [0.1, 10.0]}, "decision_tree": {"max_depth": [4]}},
+    "classification": {"logistic_regression": {"C": [1.0]}, "decision_tree": {"max_depth": [4]}},
     "regression": {"linear_regression": {}, "decision_tree": {"max_depth": [4]}},
 }
 

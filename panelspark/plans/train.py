@@ -210,7 +210,7 @@ def _fold_scores(kind: str, oof: DataFrame, k: int) -> list[float]:
 
 def search(df: DataFrame, task: str, kind: str, numeric: Sequence[str], categorical: Sequence[str], label_col: str,
            time_col: str, key: Sequence[str], k: int, grids: Mapping[str, Mapping[str, Sequence]] | None = None,
-           variants: Sequence[bool] | None = None, parallelism: int = 4) -> list[Result]:
+           variants: Sequence[bool] | None = None, parallelism: int = 8) -> list[Result]:
     """The whole grid of every algorithm over the folds; one result per (algorithm, variant).
 
     ``df`` carries a ``fold`` column (``prep.group_folds``) and unique
@@ -224,9 +224,10 @@ def search(df: DataFrame, task: str, kind: str, numeric: Sequence[str], categori
     name = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key])
     data = cut_lineage(df.withColumns({"label": F.col(label_col).cast("double"), "row_id": name}).filter(F.col("label").isNotNull()), "search")
     early, late = temporal_split(data, time_col)
-    splits = [_prepare(f"fold{i}", data.filter(F.col("fold") != i), data.filter(F.col("fold") == i), numeric, categorical, variants)
-              for i in range(k)]
-    splits += [_prepare("full", data, data, numeric, categorical, variants), _prepare("temporal", early, late, numeric, categorical, variants)]
+    halves = [(f"fold{i}", data.filter(F.col("fold") != i), data.filter(F.col("fold") == i)) for i in range(k)]
+    halves += [("full", data, data), ("temporal", early, late)]
+    pool = ThreadPoolExecutor(max(1, parallelism))   # driver threads that wait for Spark
+    splits = list(pool.map(lambda h: _prepare(*h, numeric, categorical, variants), halves))
     by_name = {s.name: s for s in splits}
     first = splits[0].test.select("features").first()
     n_features = len(first["features"]) if first else 0
@@ -242,15 +243,13 @@ def search(df: DataFrame, task: str, kind: str, numeric: Sequence[str], categori
             out = out.unionByName(p)
         return out
 
-    def one(job: tuple[str, bool]) -> Result:
-        algorithm, variant = job
-        best = None
-        for params in expand_grid(grids[algorithm]):
-            oof = out_of_fold(algorithm, params, variant)
-            scores = _fold_scores(kind, oof, k)
-            if best is None or sum(scores) > sum(best[1]):
-                best = (params, scores, oof)
-        params, scores, oof = best
+    def tried(job: tuple[str, bool, dict]) -> tuple[list[float], DataFrame]:
+        algorithm, variant, params = job
+        oof = out_of_fold(algorithm, params, variant)
+        return _fold_scores(kind, oof, k), oof
+
+    def finished(job: tuple) -> Result:
+        (algorithm, variant, params), (scores, oof) = job
         full = fit(by_name["full"], algorithm, params, variant)
         later = fit(by_name["temporal"], algorithm, params, variant)
         inside = _measure(kind, full.transform(by_name["full"].test))
@@ -261,8 +260,14 @@ def search(df: DataFrame, task: str, kind: str, numeric: Sequence[str], categori
                       [*numeric, *categorical], PipelineModel(stages=[by_name["full"].prep, *full.stages]))
 
     data_rows = data.count()
-    with ThreadPoolExecutor(max(1, parallelism)) as pool:
-        return list(pool.map(one, [(a, v) for a in grids for v in variants]))
+    jobs = [(a, v, p) for a in grids for v in variants for p in expand_grid(grids[a])]
+    best: dict[tuple[str, bool], tuple] = {}
+    for job, got in zip(jobs, pool.map(tried, jobs)):
+        have = best.get(job[:2])
+        if have is None or sum(got[0]) > sum(have[1][0]):
+            best[job[:2]] = (job, got)
+    with pool:
+        return list(pool.map(finished, best.values()))
 
 
 def results_frame(spark, results: Sequence[Result]) -> DataFrame:
