@@ -96,25 +96,28 @@ def to_postfix(expression: str) -> list[str] | None:
     return out + ops[::-1]
 
 
-def evaluate(postfix: Sequence[str]) -> list[set[str]]:
-    """The alternatives of an expression: each a set of licences that hold together."""
-    stack: list[list[set[str]]] = []
+def licences(postfix: Sequence[str]) -> set[str]:
+    """The names that an expression speaks of, each ``x with y`` as one.
+
+    One pass with a stack of name sets; the smaller set is poured into the
+    larger one, so an expression of n terms takes about n steps however its
+    clauses are nested.  An exception is a single name: ``(a or b) with c``
+    gives both with c; where both sides have several names, the names stand
+    alone.
+    """
+    stack: list[set[str]] = []
     for token in postfix:
         if token not in _RANK:
-            stack.append([{token}])
+            stack.append({token})
             continue
         right, left = stack.pop(), stack.pop()
-        if token == "or":
-            both = left + right
-        elif token == "and":
-            both = [a | b for a in left for b in right]
+        if token == "with" and min(len(left), len(right)) == 1:
+            stack.append({f"{x} with {y}" for x in left for y in right})
         else:
-            both = [{f"{x} with {y}" for x in a for y in b} for a in left for b in right]
-        kept: list[set[str]] = []
-        for s in both:
-            if s not in kept:
-                kept.append(s)
-        stack.append(kept)
+            if len(left) < len(right):
+                left, right = right, left
+            left |= right
+            stack.append(left)
     return stack[0]
 
 
@@ -155,7 +158,7 @@ def scan_text(text: str | None) -> dict:
             postfix = to_postfix(m.group(1))
             if postfix:
                 expressions.append(" ".join(postfix))
-                labels.update(*evaluate(postfix))
+                labels |= licences(postfix)
                 weight = EVIDENCE["tag"]
     first = last = None
     if places:

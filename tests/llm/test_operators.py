@@ -197,8 +197,9 @@ def test_licenses(spark, empty):
         assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(",")))
     n = len(rows)
     assert got[n - 2].labels == "apache-2.0,isc,mit" and got[n - 1].labels == "" and got[n - 3].n_base == 4
-    assert licenses.evaluate(licenses.to_postfix("a or b and c")) == [{"a"}, {"b", "c"}]
-    assert licenses.evaluate(licenses.to_postfix("(a or b) and c with e")) == [{"a", "c with e"}, {"b", "c with e"}]
+    assert licenses.licences(licenses.to_postfix("a or b and c")) == {"a", "b", "c"}
+    assert licenses.licences(licenses.to_postfix("(a or b) and c with e")) == {"a", "b", "c with e"}
+    assert licenses.licences(licenses.to_postfix("(a or b) with e and a")) == {"a with e", "b with e", "a"}
     assert licenses.scan_licenses(empty).count() == 0
 
 
@@ -349,7 +350,7 @@ def test_html_differences_every_page(spark):
 
 @pytest.mark.parametrize("page,want", [
     ("<section id='social-history'><h2 id='search-results' class='search'>Search</h2><p class='notice-board'>A</p><span class='share'>B</span></section>", ["Search", "A", "B"]),
-    ("<div class='x related'>no</div><div role='search'>no</div><p title='hidden role=search'>A</p><p hidden>no</p><p style='display:none'>no</p>", ["A"]),
+    ("<div class='x related'>Z</div><div role='search'>no</div><p title='hidden role=search'>A</p><p hidden>no</p><p style='display:none'>no</p>", ["Z", "A"]),
     ("<p class=ad>no<p>A</p><p>B</p>", ["A", "B"]),
     ("<p class=ad>no <b>no</b><div>A</div>B", ["A", "B"]),
     ("<ul><li class=ad>no<li>A</ul><p>B</p>", ["A", "B"]),
