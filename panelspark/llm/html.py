@@ -50,14 +50,19 @@ IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir", "table", "td", "th"}), "dt
 ENDS_P = (BLOCK | {"nav", "header", "footer", "aside", "form", "menu", "dialog"}) - {"br", "body", "html", "caption", "option", "tbody", "td", "tfoot", "th", "thead", "tr"}
 SCOPE = {"table", "td", "th", "caption", "object", "template"}   # end tags of other elements do not reach out of these
 IN_HEAD = {"head", "base", "link", "meta", "noscript", "template", "html"} | RAW
-# Class tokens, ids and roles that mark what is not content.
-NOT_CONTENT = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "banner", "cookie", "cookies", "consent",
-               "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login", "sidebar", "aside", "widget",
-               "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination", "pager", "toolbar", "header", "masthead", "footer",
-               "copyright", "comment", "comments", "disqus", "reply", "replies", "respond", "share", "sharing", "social", "related", "recommended",
-               "complementary", "contentinfo", "search", "skip"}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+# Class tokens that mark adverts, notices, menus, headers, footers, sidebars and reader comments, in an article too.
+LEFT_OUT = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsored", "cookie", "cookies", "consent", "notice", "notices",
+            "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "comment", "comments"}
+# Roles of headers, menus, sidebars, footers, notices and forms.
+ROLES = {"banner", "navigation", "menu", "menubar", "complementary", "contentinfo", "alert", "alertdialog", "dialog", "form", "search"}
+# Outside an article more class tokens and ids say that something is not content.
+NOT_CONTENT = LEFT_OUT | ROLES | {"sponsor", "promo", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login", "aside", "widget",
+                                  "pagination", "pager", "toolbar", "copyright", "disqus", "reply", "replies", "respond", "share", "sharing",
+                                  "social", "related", "recommended", "skip"}
+# A quote opens a value only behind "="; what is not closed runs to the end of the page.
+_VALUE = r"=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=\s*[^\s>\"'][^\s>]*"
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:{_VALUE}|[^>])*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.DOTALL)
+_ATTRIBUTE = re.compile(r"""([^\s=/>]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>]+)))?""")
 _MARKS = re.compile(r"class|id|role|hidden|style", re.IGNORECASE)
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.IGNORECASE)
 _CLOSED = re.compile(r"""(?:^|[\s"'])/\s*$""")
@@ -70,7 +75,8 @@ def _not_content(name: str, attributes: str, inside: bool) -> bool:
         kind, value = m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "").lower()
         if kind == "hidden" and value.strip() != "until-found" or kind == "aria-hidden" and value.strip() == "true" or kind == "style" and _NO_DISPLAY.search(value):
             return True
-        if kind in ("class", "role") and (not inside or name in CONTAINER) and not NOT_CONTENT.isdisjoint(value.split()):
+        marks = NOT_CONTENT if not inside else LEFT_OUT if kind == "class" else ROLES
+        if kind in ("class", "role") and (not inside or name in CONTAINER) and not marks.isdisjoint(value.split()):
             return True
         if kind == "id" and not inside and value.strip() in NOT_CONTENT:
             return True
@@ -83,6 +89,7 @@ def page_lines(page: str | None) -> list[tuple[str, bool]]:
     lines: list[tuple[str, bool]] = []
     part: list[str] = []
     nest: list[str] = []        # open elements
+    held: dict[str, int] = {}   # how many of each kind are open
     skip = -1                   # place in ``nest`` of the element that is left out
     inside = 0                  # open article elements
     at = 0
@@ -101,13 +108,17 @@ def page_lines(page: str | None) -> list[tuple[str, bool]]:
         nonlocal skip, inside
         if skip < 0:
             end_block()
-        inside -= sum(x in ARTICLE for x in nest[place:])
+        for x in nest[place:]:
+            inside -= x in ARTICLE
+            held[x] -= 1
         del nest[place:]
         if skip >= place:
             skip = -1
 
     def find(kinds, bars) -> int:
         """Place of the innermost open element of these kinds, -1 without one or with a bar before it."""
+        if not any(held.get(x) for x in kinds):
+            return -1
         for i in range(len(nest) - 1, -1, -1):
             if nest[i] in kinds:
                 return i
@@ -136,7 +147,7 @@ def page_lines(page: str | None) -> list[tuple[str, bool]]:
         if closing:
             if skip < 0 and name in BLOCK:
                 end_block()
-            if name in nest:
+            if held.get(name):
                 bars = () if name in ARTICLE or name in ("body", "html", "head") else {"table", "template"} if name in _GROUP or name == "table" else SCOPE
                 place = find((name,), bars if name in NESTING else () if name == left_out else NESTING)
                 if place >= 0:
@@ -144,7 +155,7 @@ def page_lines(page: str | None) -> list[tuple[str, bool]]:
             continue
         if left_out == "head" and name not in IN_HEAD:
             close(skip)
-        if name in ENDS_P and "p" in nest:
+        if name in ENDS_P and held.get("p"):
             place = find(("p",), SCOPE | {"button"})
             if place >= 0:
                 close(place)
@@ -162,11 +173,10 @@ def page_lines(page: str | None) -> list[tuple[str, bool]]:
         if skip < 0 and (marked or name in SKIP):
             end_block()
             skip = len(nest)
-            nest.append(name)
-        elif name in NESTING or skip >= 0 and name == nest[skip]:
-            nest.append(name)
-        else:
+        elif not (name in NESTING or skip >= 0 and name == nest[skip]):
             continue
+        nest.append(name)
+        held[name] = held.get(name, 0) + 1
         inside += name in ARTICLE
     end_block()
     return lines
