@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.frames import col, cut_lineage, prepare
+from panelspark.llm.frames import col, cut_lineage, forget, prepare
 from panelspark.llm.graph import components
 from panelspark.llm.kernels import NOT_SPACE, Words, mix, slices, text_buffers, whole_gram
 from panelspark.session import sized_broadcast
@@ -314,18 +314,24 @@ def link_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: in
     prepare(spark)
     counts = list_lengths(docs, text, k)
     level = spark.sparkContext.broadcast(np.minimum(4 * np.log2(counts + 1.0), 127).astype(np.uint8))
-    members = cut_lineage(_sets(docs, key, text, k, percent, level), "jaccard-sets")
+    found = cut_lineage(_sets(docs, key, text, k, percent, level), "jaccard-sets")
+    members = cut_lineage(found.drop("short"), "jaccard-members")
     classes = cut_lineage(
-        members.filter("n > 0").groupBy("d1", "d2").agg(F.min("key").alias("root"), F.first("n").alias("n"), F.first("short").alias("short"))
+        found.filter("n > 0").groupBy("d1", "d2").agg(F.min("key").alias("root"), F.first("n").alias("n"), F.first("short").alias("short"))
         .withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
+    forget(found)
     # lists of one class lead nowhere; sets too small for any unequal partner put none into the index
     least = 1
     while 100 * least < percent * (least + 1):
         least += 1
     lists = cut_lineage(_postings(classes.filter(F.col("n") >= least)).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token")))
                         .filter("m > 1").drop("m"), "jaccard-lists")
+    postings = classes
+    classes = cut_lineage(classes.drop("short"), "jaccard-classes")   # the short lists are in the index now
+    forget(postings)
     for _ in range(PRUNE_ROUNDS):
-        lists = _prune(lists, percent)
+        old, lists = lists, _prune(lists, percent)
+        forget(old)
     comp = cut_lineage(lists.select("cid").distinct().select("cid", F.col("cid").alias("comp")), "jaccard-comp")
     sets = None
     for turn in range(STAR_ROUNDS + 1 if lists.limit(1).count() else 0):
@@ -335,7 +341,8 @@ def link_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: in
         if last:
             # tokens that only a class's own component has lead nowhere
             for _ in range(PRUNE_ROUNDS):
-                per = cut_lineage(_open(_can_pair(per.drop("main", "all", "top"), percent)), "jaccard-open")
+                old, per = per, cut_lineage(_open(_can_pair(per.drop("main", "all", "top"), percent)), "jaccard-open")
+                forget(old)
             # merge the short lists across components: count on how many a pair occurs
             side = lambda q: ["token", *[F.col(c).alias(d + q) for c, d in
                                          (("cid", ""), ("n", "n"), ("most", "m"), ("comp", "c"), ("at", "t"))]]
@@ -363,7 +370,10 @@ def link_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: in
                      .filter(_can_reach(F.col("n"), F.col("most"), F.col("q.n"), F.col("q.most"), percent))
                      .select(F.col("q.cid").alias("a"), F.col("cid").alias("b")).distinct())
         pairs = cut_lineage(pairs, "jaccard-pairs")
+        forget(per)
         if last:
+            if sets is not None:
+                forget(sets)
             named = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
             sets = _full_sets(docs, text, k, classes.join(named, "cid").select("cid", "d1", "d2"))
         comp = _merge(comp, cut_lineage(_verify(pairs, sets, percent), "jaccard-links"))
