@@ -46,7 +46,27 @@ def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
-@query("op7_benchmark_decontamination")
+_WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+OP7_SQL = f"""
+with d as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
+b as (select item_id, {_WORDS} as w from benchmark),
+bw as (select distinct item_id, least(10, len(w)) as n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') as s
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from b where len(w) > 0) x),
+sizes as (select distinct n from bw),
+dw as (select r, i, n, array_to_string(w[i:i + n - 1], ' ') as s
+  from (select r, w, n, unnest(range(1, len(w) - n + 2)) as i from d, sizes where len(w) >= n) x),
+hit as (select dw.r, dw.i, dw.n, bw.item_id from dw join bw on dw.n = bw.n and dw.s = bw.s),
+words as (select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + n)) as p from hit) x group by r),
+items as (select r, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids
+  from (select distinct r, cast(item_id as varchar) as item_id from hit where item_id is not null) x group by r)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(words.n_hit, 0) as bigint) as n_hit,
+  cast(coalesce(items.n_items, 0) as bigint) as n_items, sha256(coalesce(items.ids, '')) as items_sha256,
+  coalesce(words.n_hit, 0) > 0 as contaminated
+from d left join words on d.r = words.r left join items on d.r = items.r"""
+
+
+@query("op7_benchmark_decontamination", OP7_SQL)
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelspark.llm.decontaminate import find_contamination
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
