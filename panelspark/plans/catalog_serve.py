@@ -52,6 +52,26 @@ def paginate_customers(t):
     return SEL.paginate(t["customer"].select("c_custkey", "c_name"), ["c_custkey"], 3, 50)
 
 
+@query("paginate_customers_after", sql="""
+select c_custkey, c_name from customer where c_custkey > 100 order by c_custkey limit 50""")
+def paginate_customers_after(t):
+    """F2, keyset form: the page after a key; the filter reaches the scan, no rows are skipped over."""
+    return SEL.page_after(t["customer"].select("c_custkey", "c_name"), "c_custkey", 100, 50)
+
+
+@query("top_failing_per_department", sql=with_views(ENR) + """,
+g as (select *, case when total_score < 40 then 'F' else 'P' end as grade from enr where status = 'completed'),
+d as (select g.course_id, p.p_brand as department, round(avg(case when grade = 'F' then 1.0 else 0.0 end), 3) as failure_rate
+  from g join part p on g.course_id = p.p_partkey group by g.course_id, p.p_brand),
+r as (select *, row_number() over (partition by department order by failure_rate desc, course_id) as "rank" from d)
+select department, course_id, failure_rate, "rank" from r where "rank" <= 3""")
+def top_failing_per_department(t):
+    """F3 per group: the three courses with the highest failure rate in every department."""
+    d = R.course_difficulty(V.graded(t), V.courses(t).select("course_id", "department"))
+    x = SEL.top_k_per_group(d.select("department", "course_id", "failure_rate"), 3, ["department"], [F.desc("failure_rate"), F.col("course_id")])
+    return x.select("department", "course_id", "failure_rate", F.col("rank").cast("long").alias("rank"))
+
+
 @query("top_failing_courses", sql=with_views(ENR) + """,
 g as (select *, case when total_score < 40 then 'F' else 'P' end as grade from enr where status = 'completed')
 select course_id, round(avg(case when grade = 'F' then 1.0 else 0.0 end), 3) as failure_rate, count(*) as n_completed
