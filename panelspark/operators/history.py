@@ -161,13 +161,17 @@ def keep_first(df: DataFrame, key: Sequence[str], line: str) -> tuple[DataFrame,
     """First occurrence by file line wins (E12); returns (kept, duplicates).
 
     ``line`` must be an explicit line-number column captured at read time.
-    Implemented with ``min`` per key (hash aggregate) and a join, so a key
-    repeated on a third of the lines is still combined map-side.
+    The kept rows come from one aggregate (``min_by``, combined before the
+    shuffle, so a key repeated on a third of the lines is no hot group); the
+    duplicates are the rows of other lines.  Null keys are equal.
     """
-    firsts = df.groupBy(*key).agg(F.min(line).alias("_first"))
-    x = df.join(firsts, list(key))
-    kept = x.filter(F.col(line) == F.col("_first")).drop("_first")
-    dups = x.filter(F.col(line) != F.col("_first")).drop("_first")
+    others = [c for c in df.columns if c not in key]
+    kept = df.groupBy(*key).agg(F.min_by(F.struct(*others), F.col(line)).alias("_first")).select(*key, "_first.*").select(*df.columns)
+    firsts = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(F.min(line).alias("_first"))
+    same = F.lit(True)
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    dups = df.join(firsts, same & (F.col(line) != F.col("_first"))).select(*df.columns)
     return kept, dups
 
 

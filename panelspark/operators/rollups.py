@@ -149,12 +149,14 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], digits: int = 3) -
 
 
 def calibration_correlations(pairs: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
-    """Named correlations, each over its own frame with its own null drops."""
-    parts = [frame.agg(F.lit(name).alias("metric"), safe_corr(a, b).alias("r"))
-             for name, (frame, a, b) in pairs.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """Named correlations, each with its own null drops (D12); those of one frame come from one pass over it."""
+    frames: dict[int, tuple[DataFrame, list]] = {}
+    for name, (frame, a, b) in pairs.items():
+        frames.setdefault(id(frame), (frame, []))[1].append((name, a, b))
+    out = None
+    for frame, wanted in frames.values():
+        one = frame.agg(*[safe_corr(a, b).alias(name) for name, a, b in wanted]).unpivot([], [n for n, _, _ in wanted], "metric", "r")
+        out = one if out is None else out.unionByName(one)
     return out
 
 

@@ -7,6 +7,7 @@ from panelspark.plans import views as V
 from panelspark.functions.numeric import r6
 from panelspark.plans.registry import query
 from panelspark.plans.scoring import OPEN_SQL, scored_open
+from panelspark.session import cut_lineage
 from panelspark.plans.sql_views import ENR, GRADED, HIST, HIST_CTE, TERM, with_views
 
 
@@ -226,7 +227,7 @@ from tiered""")
 def tier_groups(t):
     """Register grouped by tier in urgency order (flattened form)."""
     s = scored_open(t).select("student_id", r6("probability").alias("probability"), "risk_tier")
-    return R.tier_groups(s)
+    return R.tier_groups(cut_lineage(s, "scored-panel"))
 
 
 NUMERIC = ("prior_cgpa", "prior_gpa", "gpa_trend", "gpa_volatility", "credits_earned_ratio", "carryover_count", "semesters_completed",

@@ -28,6 +28,7 @@ from panelspark.operators import history as H
 from panelspark.operators.rollups import mode_over_domain
 from panelspark.session import cut_lineage
 
+ENROLMENT_FACTS = ("units", "level", "is_core", "ca_score", "attendance_rate", "total_score", "status", "grade", "grade_point")
 HISTORY_FEATURES = ("prior_cgpa", "prior_gpa", "gpa_trend", "gpa_volatility", "credits_earned_ratio",
                     "carryover_count", "semesters_completed")
 TERM_FEATURES = ("ca_average", "ca_std_dev_across_courses", "lowest_ca_score", "courses_below_ca_threshold",
@@ -59,13 +60,18 @@ class FeatureSet:
 
 
 def term_panel(enr: DataFrame, entity: str = "student_id", course: str = "course_id",
-               period: Sequence[str] = ("session", "semester"), level_domain: Sequence | None = LEVELS) -> DataFrame:
+               period: Sequence[str] = ("session", "semester"), level_domain: Sequence | None = LEVELS,
+               materialize: bool = True) -> DataFrame:
     """Steps 1-2: one row per (entity, period) with rollup + GPA inputs + fail counts.
 
     ``enr`` columns: entity, course, period..., units, level, is_core, ca_score,
-    attendance_rate, total_score, status, grade, grade_point.
+    attendance_rate, total_score, status, grade, grade_point.  Offerings and
+    terms both read them; ``materialize`` writes these columns once, so that
+    the joins behind them run once.
     """
     key = [entity, *period]
+    if materialize:
+        enr = cut_lineage(enr.select(*key, course, *ENROLMENT_FACTS), "panel-facts")
     done = (F.col("status") == "completed") & F.col("total_score").isNotNull()
     offers = enr.filter(done).groupBy(course, *period).agg(
         F.avg("total_score").alias("mean_score"), F.sum("total_score").alias("_sum"), F.count("total_score").alias("_n"))
@@ -107,7 +113,7 @@ def panel_features(enr: DataFrame, engagement: DataFrame, static: DataFrame, ent
     accommodation, has_scholarship, entry_score.
     """
     key = [entity, *period]
-    tp = term_panel(enr, entity, course, period)
+    tp = term_panel(enr, entity, course, period, materialize=checkpoint)
     tp = tp.withColumn("gpa", F.when(F.col("credits_registered") > 0,
                                      F.col("_pts") / F.col("credits_registered").cast("double")))
     spine_cond = F.col("credits_registered") > 0
