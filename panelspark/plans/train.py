@@ -94,7 +94,7 @@ class R2Evaluator(Evaluator):
 
 def platt_svm(features: str = "features", label: str = "label", reg: float = 0.0) -> list:
     """Linear SVM + Platt scaling: a logistic regression on the SVM margin yields probabilities."""
-    return [LinearSVC(featuresCol=features, labelCol=label, regParam=reg, rawPredictionCol="svm_raw",
+    return [LinearSVC(featuresCol=features, labelCol=label, regParam=reg, maxIter=50, rawPredictionCol="svm_raw",
                       predictionCol="svm_pred"),
             VectorSlicer(inputCol="svm_raw", outputCol="svm_margin_vec", indices=[1]),
             LogisticRegression(featuresCol="svm_margin_vec", labelCol=label)]
@@ -107,13 +107,13 @@ def estimator(kind: str, algorithm: str, params: Mapping, n_rows: int, n_feature
     depth, trees = params.get("max_depth", 5), params.get("n_estimators", 30)
     if kind == "classification":
         make = {
-            "logistic_regression": lambda: [LogisticRegression(**cols, maxIter=100, regParam=reg)],
+            "logistic_regression": lambda: [LogisticRegression(**cols, maxIter=50, regParam=reg)],
             "decision_tree": lambda: [DecisionTreeClassifier(**cols, maxDepth=depth, seed=SEED)],
             "random_forest": lambda: [RandomForestClassifier(**cols, numTrees=trees, maxDepth=depth, seed=SEED)],
             "gradient_boosting": lambda: [GBTClassifier(**cols, maxIter=trees, maxDepth=depth, seed=SEED)],
             "svm": lambda: platt_svm(reg=reg),
             "mlp": lambda: [MultilayerPerceptronClassifier(**cols, layers=[n_features, *params.get("hidden", [16]), 2],
-                                                           maxIter=100, seed=SEED)],
+                                                           maxIter=50, seed=SEED)],
         }
     else:
         make = {
