@@ -7,10 +7,11 @@ Viterbi.  It is trained here, by gradient steps on the exact log-likelihood
 of common secret formats and of harmless look-alikes, and up to
 ``sample_rows`` documents of the table whose base matches serve as labels.
 
-The field is run on stretches around digits, secret words, letters that
-change from small to capital within a word, long runs, and assignments of six
-characters or more; tokens far from all of those are outside by definition.
-Stretches of a batch are decoded together.  Every text is scanned whole, in one pass without a shuffle.
+Every token of every text is decoded.  The texts of a batch stand in one
+chain that starts afresh at each text; the chain is cut into blocks whose best
+scores between any two end tags are max-plus matrices, found for all blocks at
+once, so the result is that of Viterbi over each whole text.  Token features
+are kept per distinct token and combined in numpy.  Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -18,7 +19,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from array import array
 from collections.abc import Iterable, Sequence
+from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -38,19 +42,24 @@ KINDS = ("assign", "access", "hex", "crf")
 SAMPLE_ROWS = 600        # bound on labelled rows taken from the table
 GENERATED = 1200         # generated training lines
 LEAST_LENGTH = 6         # shorter spans of the field are not reported
-REACH = 64               # characters around a trigger that the field sees
+TRAIN_TOKENS = 256       # training sequences are windows of this many tokens
+PIECE = 1 << 20          # characters tokenised at a time
+GROUP = 1 << 17          # characters of texts that are decoded together (one text at least)
+BLOCK = 64               # tokens of a block of the chain
+KNOWN = 400_000          # distinct tokens whose features a worker remembers
 
 _HEX_RUN = re.compile(r"[0-9a-f]{%d,}" % HEX_MIN)
 _WORDS = r"pass(?:word|wd|phrase|code)|pwd|auth|secret|token|api_?key|credential|private_?key|access_?key|bearer"
-_MARKS = r"""[0-9]|[a-z](?=[A-Z])|[=:]["']?\x20?["']?(?=[A-Za-z0-9+/_.-]{6})|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20}"""
-_MARK = re.compile(_MARKS)
-_TRIGGER = re.compile(_MARKS + "|(?i:" + _WORDS + ")", re.ASCII)
 # a text without any of these (in lower case) needs no search for words or assignments
 _HINTS = ("pass", "pwd", "auth", "secret", "token", "api", "credential", "private", "access", "bearer")
+_HINT = re.compile("|".join(_HINTS))
 _KEYWORD = re.compile(r"(?:[a-z]+_)*(?:" + _WORDS + r")s?", re.IGNORECASE | re.ASCII)
-_TOKEN = re.compile(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]", re.ASCII)
-_SPACE = re.compile(r"\s")
-N_FEATURES = 1 << 14
+# a token with the white space before it
+_TOKEN = re.compile(r"\s*(?:[A-Za-z0-9_]+|[^\sA-Za-z0-9_])", re.ASCII)
+_EDGE = re.compile(r"(?<=\S)[^A-Za-z0-9_]", re.ASCII)   # a token ends before this
+_SPACES = " \t\n\r\f\v"
+_DIGIT = re.compile(r"[0-9]")
+N_FEATURES = 1 << 16     # features are hashed to 16 bits
 
 
 def _hinted(text: str) -> bool:
@@ -75,83 +84,144 @@ def secret_values(text: str) -> list[tuple[int, int]]:
     return out + [(s, e) for s, k, e in base_spans(text) if k]
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of the text near a trigger, cut at white space."""
-    out: list[list[int]] = []
-    done = -1
-    for m in (_TRIGGER if _hinted(text) else _MARK).finditer(text):
-        if m.end() <= done:
-            continue
-        lo, hi = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if out and lo <= out[-1][1]:
-            lo = out[-1][0]
-            out.pop()
-        else:
-            s = _SPACE.search(text, lo)
-            lo = s.end() if lo and s and s.start() < m.start() else lo
-        e = _SPACE.search(text, hi)
-        hi = e.start() if e else len(text)
-        out.append([lo, hi])
-        done = hi - REACH
-    return [(a, b) for a, b in out]
-
-
 def _shape(token: str) -> str:
+    n = len(token)
+    size = "0" if n < 6 else "1" if n < 10 else "2" if n < 16 else "3" if n < 20 else "4" if n < 28 else "5"
+    if token.isalpha() and token.islower():
+        return "a" + size
     if not token[0].isalnum() and token[0] != "_":
         return "p" + token if ord(token[0]) < 128 else "u"
-    lower = upper = digit = False
-    for c in token:
-        if c.isdigit():
-            digit = True
-        elif c.isupper():
-            upper = True
-        else:
-            lower = True
-    s = ("a" if lower else "") + ("A" if upper else "") + ("0" if digit else "")
+    digit, upper = bool(_DIGIT.search(token)), token != token.lower()
+    s = ("a" if token != token.upper() or "_" in token else "") + ("A" if upper else "") + ("0" if digit else "")
     if digit and not upper and _HEX_RUN.fullmatch(token):
         s += "x"
     elif s == "aA" and token[1:].islower():
         s = "Aa"
-    n = len(token)
-    return f"{s}{0 if n < 6 else 1 if n < 10 else 2 if n < 16 else 3 if n < 20 else 4 if n < 28 else 5}"
-
+    return s + size
 
-def _bucket(name: str) -> int:
-    return int.from_bytes(hashlib.blake2b(name.encode("utf-8", "replace"), digest_size=4).digest(), "little") % N_FEATURES
 
+@lru_cache(maxsize=4096)
+def _shape_hash(shape: str) -> int:
+    return crc32(shape.encode("utf-8", "replace")) & 0xFFFF
 
-_buckets: dict[str, int] = {}
 
+class _Known(dict):
+    """Number of each token with the white space before it; what the features need of it by that number.
 
-def _id(name: str) -> int:
-    have = _buckets.get(name)
-    if have is None:
-        have = _bucket(name)
-        if len(_buckets) < 50_000:
-            _buckets[name] = have
-    return have
-
+    Two integers: length of the token itself (31 bits), hash of the word (16),
+    hash of its first four letters (6), is a word, is a secret word, variety of
+    its characters (3), share of vowels (3); and its shape's hash.
+    """
 
-def features(text: str, a: int, b: int, file_feature: str) -> tuple[list[tuple[int, int]], list[list[int]]]:
-    """Tokens (bounds in the text) of a stretch and the feature numbers of each."""
-    spans = [m.span() for m in _TOKEN.finditer(text, a, b)]
-    tokens = [text[i:j] for i, j in spans]
-    shapes = [_shape(t) for t in tokens]
-    key = [bool(_KEYWORD.fullmatch(t)) for t in tokens]
-    rows, since = [], 9
-    for i, (t, s) in enumerate(zip(tokens, shapes)):
-        since = min(9, since + 1)
-        before = shapes[i - 1] if i else "^"
-        after = shapes[i + 1] if i + 1 < len(tokens) else "$"
-        glued = "" if i and spans[i - 1][1] == spans[i][0] else "_"
-        glue_after = "" if i + 1 < len(tokens) and spans[i + 1][0] == spans[i][1] else "_"
-        variety = len(set(t)) * 4 // max(1, min(len(t), 16))
-        rows.append([_id("b"), _id("s" + s), _id(f"k{key[i]}"), _id(f"d{since}"), _id(f"ds{since}{s}"),
-                     _id(f"p{before}{glued}"), _id(f"n{after}{glue_after}"), _id(f"ps{before}{glued}{s}"),
-                     _id(f"v{variety}{s}"), _id(f"f{file_feature}{s}"), _id(f"w{t[:4].lower()}" if len(t) > 3 else f"W{t.lower()}")])
-        if key[i]:
-            since = 0
-    return spans, rows
+    def __init__(self):
+        super().__init__()
+        self.info, self.shape, self.size = array("q"), array("q"), 0
+
+    def forget(self) -> None:
+        """Start anew once too much is remembered."""
+        if len(self) > KNOWN or self.size > 32 * KNOWN:
+            self.clear()
+            self.__init__()
+
+    def __missing__(self, spaced: str) -> int:
+        t = spaced.lstrip(_SPACES)
+        low = t.lower()
+        some = low.encode("utf-8", "replace")[:64]
+        n, size = len(t), len(some)
+        word = t[0].isalnum() or t[0] == "_"
+        key = word and n < 64 and _HINT.search(low) is not None and _KEYWORD.fullmatch(t) is not None
+        variety = len(set(t)) * 4 // min(n, 16)
+        vowels = (size - len(some.translate(None, b"aeiou"))) * 8 // size
+        head = crc32(some[:4] if n > 3 else b"=" + some) & 63
+        # 7 at most: variety of a long token can be more
+        self.info.append(n << 30 | (crc32(some) & 0xFFFF) << 14 | head << 8 | word << 7 | key << 6 | min(variety, 7) << 3 | min(vowels, 7))
+        self.shape.append(_shape_hash(_shape(t)))
+        self.size += len(spaced)
+        self[spaced] = number = len(self.info) - 1
+        return number
+
+
+_known = _Known()
+
+
+class Tokens:
+    """The tokens of some texts: bounds in their text, number of the text, and what the features need."""
+
+    def __init__(self, texts: Sequence[str | None]):
+        ends, info, shape, count, kinds = [], [], [], [], []
+        for text in texts:
+            text = text or ""
+            n, at, stop = 0, 0, len(text.rstrip(_SPACES))
+            while at < stop:
+                cut = _EDGE.search(text, at + PIECE, stop) if at + PIECE < stop else None
+                to = cut.start() if cut else stop
+                found = _TOKEN.findall(text, at, to)
+                _known.forget()
+                numbers = np.fromiter(map(_known.__getitem__, found), np.int64, len(found))
+                info.append(np.frombuffer(_known.info, np.int64)[numbers])
+                shape.append(np.frombuffer(_known.shape, np.int64)[numbers])
+                ends.append(at + np.cumsum(np.fromiter(map(len, found), np.int64, len(found))))
+                n += len(found)
+                at = to
+            count.append(n)
+            kinds.append(int(file_feature(text)) if n else 0)
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        self.end, code, self.shape = join(ends, np.int64), join(info, np.int64), join(shape, np.int64)
+        self.count = np.array(count, dtype=np.int64)
+        self.text = np.repeat(np.arange(len(count)), self.count)
+        self.kind = np.repeat(np.array(kinds, dtype=np.int64), self.count)
+        take = lambda shift, bits: (code >> shift) & ((1 << bits) - 1)
+        self.vowels, self.variety, self.key = take(0, 3), take(3, 3), take(6, 1)
+        self.word, self.head, self.hash = take(7, 1), take(8, 6), take(14, 16)
+        self.start = self.end - (code >> 30)
+        self.first = np.zeros(len(code), dtype=bool)   # begins a text
+        self.first[(np.cumsum(self.count) - self.count)[self.count > 0]] = True
+
+
+def features(k: Tokens) -> Iterable[np.ndarray]:
+    """Feature numbers of all tokens, one array per kind of feature.
+
+    Shape, first letters and characters of the token; whether it is a secret
+    word and how far back the last one is; shapes of the neighbours and
+    whether they touch; the neighbouring words (nearest word before and
+    after, punctuation left out, and the one before that); kind of file.
+    """
+    n = len(k.end)
+    at = np.arange(n)
+    begin = np.maximum.accumulate(np.where(k.first, at, 0)) if n else at
+    last = np.append(k.first[1:], True) if n else k.first
+    shape = k.shape
+
+    def before(flag: np.ndarray) -> np.ndarray:
+        """Place of the nearest flagged token before each token of the same text, or -1."""
+        mark = np.maximum.accumulate(np.where(flag, at, -1)) if n else at
+        mark = np.append([-1], mark[:-1])[:n]
+        return np.where(mark >= begin, mark, -1)
+
+    def valued(place: np.ndarray, value: np.ndarray) -> np.ndarray:
+        return np.where(place >= 0, value[place] if n else value, 1 << 16)
+
+    key = before(k.key > 0)
+    since = np.where(key >= 0, np.minimum(9, at - key), 9)
+    touch = np.zeros(n, dtype=np.int64)
+    touch[1:] = (k.start[1:] == k.end[:-1]) & ~k.first[1:]
+    touch_after = np.append(touch[1:], 0)[:n]
+    left = np.where(k.first, 1 << 16, np.append([0], shape[:-1])[:n])
+    right = np.where(last, 1 << 16, np.append(shape[1:], 0)[:n])
+    word = before(k.word > 0)
+    # the nearest word after, by the same on the reversed order
+    far = np.minimum.accumulate(np.where(k.word > 0, at, n)[::-1])[::-1] if n else at
+    far = np.append(far[1:], n)[:n]
+    same = far < n
+    same[same] = k.text[far[same]] == k.text[at[same]]
+    after = np.where(same, far, -1)
+    second = np.where(word >= 0, word[word] if n else word, -1)
+    kinds = [shape, k.key, since, since << 17 | shape, left << 1 | touch, right << 1 | touch_after,
+             (left << 1 | touch) << 17 | shape, k.variety << 17 | shape, k.vowels << 17 | shape, k.kind << 17 | shape, k.head,
+             valued(word, k.hash), valued(after, k.hash), valued(second, k.hash)]
+    for number, code in enumerate(kinds):
+        # multiply-shift: the upper 16 bits
+        yield ((code.view(np.uint64) + np.uint64(number + 1 << 44)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
 
 
 def file_feature(text: str) -> str:
@@ -177,36 +247,65 @@ class SecretField:
             mask[i, :len(s)] = True
         return ids, mask
 
-    def decode(self, seqs: Sequence[Sequence[Sequence[int]]]) -> list[np.ndarray]:
-        """Viterbi tags (0 outside, 1 begin, 2 inside) of each feature sequence."""
-        out: list[np.ndarray | None] = [None] * len(seqs)
-        order = sorted((i for i in range(len(seqs)) if len(seqs[i])), key=lambda i: len(seqs[i]))
-        at = 0
-        while at < len(order):   # groups of similar length, bounded cells
-            to = at + 1
-            while to < len(order) and (to - at + 1) * len(seqs[order[to]]) <= 60_000:
-                to += 1
-            group = order[at:to]
-            at = to
-            ids, mask = self._padded([seqs[i] for i in group])
-            score = self.emit[ids].sum(axis=2)
-            n, length, _ = score.shape
-            back = np.zeros((n, length, 3), dtype=np.int8)
-            v = self.begin + score[:, 0]
-            for t in range(1, length):
-                step = v[:, :, None] + self.move[None]
-                back[:, t] = step.argmax(axis=1)
-                nv = step.max(axis=1) + score[:, t]
-                back[:, t][~mask[:, t]] = np.arange(3)
-                v = np.where(mask[:, t][:, None], nv, v)
-            tag = v.argmax(axis=1)
-            tags = np.zeros((n, length), dtype=np.int8)
-            for t in range(length - 1, -1, -1):
-                tags[:, t] = tag
-                tag = back[np.arange(n), t, tag] if t else tag
-            for r, i in enumerate(group):
-                out[i] = tags[r, :len(seqs[i])]
-        return [o if o is not None else np.zeros(0, dtype=np.int8) for o in out]
+    def decode(self, tokens: Tokens) -> np.ndarray:
+        """Viterbi tags (0 outside, 1 begin, 2 inside) of all tokens, each text a chain of its own."""
+        score = np.zeros((len(tokens.end), 3), dtype=np.float32)
+        table = self.emit.astype(np.float32)
+        for numbers in features(tokens):
+            score += table.take(numbers.view(np.int64), axis=0)
+        return self.best(score, tokens.first)
+
+    def best(self, score: np.ndarray, first: np.ndarray, block: int = BLOCK) -> np.ndarray:
+        """Best tags of chains that begin where ``first`` is set, from (token, tag) scores."""
+        n = len(score)
+        if not n:
+            return np.zeros(0, dtype=np.int8)
+        rows = -(-n // block)
+        padded = np.zeros((rows * block, 3))
+        padded[:n] = score
+        # one plane per tag, the tokens of one place of all blocks side by side
+        plane = np.ascontiguousarray(padded.reshape(rows, block, 3).transpose(1, 2, 0))
+        starts = np.append(np.flatnonzero(first), [n] if n < rows * block else [])   # what fills the last block is a chain of its own
+        starts = starts.astype(np.int64)
+        starts = [starts[starts % block == t] // block for t in range(block)]
+        move, begin = self.move, self.begin
+
+        def step(v: np.ndarray, t: int) -> np.ndarray:
+            """(..., tag before, tag, block) scores of moving to token t of every block."""
+            ways = v[..., :, None, :] + move[:, :, None]
+            if len(starts[t]):
+                ways[..., starts[t]] = v[..., :, None, starts[t]] + begin[:, None]
+            return ways
+
+        # best scores through each block, by the tag before it and the tag at its end
+        through = np.where(np.eye(3, dtype=bool)[:, :, None], 0.0, np.full((3, 3, rows), -1e18))
+        for t in range(block):
+            through = step(through, t).max(axis=1) + plane[t]
+        enter, at = np.zeros((3, rows)), np.zeros(3)
+        for r, part in enumerate(through.transpose(2, 0, 1)):
+            enter[:, r] = at
+            at = (at[:, None] + part).max(axis=0)
+            at -= at.max()
+        back = np.zeros((block, 3, rows), dtype=np.int8)
+        v = enter
+        for t in range(block):
+            ways = step(v, t)
+            back[t] = ways.argmax(axis=0)
+            v = ways.max(axis=0) + plane[t]
+        # the tag before a block, for each tag at its end
+        block_at = np.arange(rows)
+        origin = np.repeat(np.arange(3, dtype=np.int8)[:, None], rows, axis=1)
+        for t in range(block - 1, -1, -1):
+            origin = back[t][origin, block_at]
+        end = np.zeros(rows, dtype=np.int8)
+        end[-1] = v[:, -1].argmax()
+        for r in range(rows - 1, 0, -1):
+            end[r - 1] = origin[end[r], r]
+        tags = np.zeros((block, rows), dtype=np.int8)
+        for t in range(block - 1, -1, -1):
+            tags[t] = end
+            end = back[t][end, block_at]
+        return tags.T.ravel()[:n]
 
     @classmethod
     def train(cls, seqs: Sequence[Sequence[Sequence[int]]], gold: Sequence[Sequence[int]], epochs: int = 12,
@@ -226,7 +325,7 @@ class SecretField:
             for c in rng.permutation(len(chunks)):
                 ids, mask = cls._padded([seqs[i] for i in chunks[c]])
                 n, length, _ = ids.shape
-                want = np.zeros((n, length), dtype=int)
+                want = np.zeros((n, length), dtype=np.int64)
                 for r, i in enumerate(chunks[c]):
                     want[r, :len(gold[i])] = gold[i]
                 score = emit[ids].sum(axis=2)
@@ -266,7 +365,7 @@ def generated_lines(n: int = GENERATED, seed: int = 11) -> list[tuple[str, list[
     secrets = [lambda: "ghp_" + pick(alnum, 36), lambda: "sk_live_" + pick(alnum, 24), lambda: "AKIA" + pick(alnum[:26] + alnum[-10:], 16),
                lambda: pick(hexs, rng.choice([32, 40, 64])), lambda: pick(alnum, rng.randint(16, 44)),
                lambda: pick(alnum + "+/", 40) + "==", lambda: ".".join(["eyJ" + pick(alnum, 20), pick(alnum, 40), pick(alnum, 30)]),
-               lambda: pick(alnum[:52], rng.randint(16, 40))]
+               lambda: pick(alnum[:52], rng.randint(16, 40)), lambda: "-".join(["xoxb", pick("0123456789", 12), pick("0123456789", 12), pick(alnum, 24)])]
     # told by their name alone
     named = [lambda: camel(rng.randint(2, 5)) + "xy", lambda: word() + "-" + word() + "-" + word(), lambda: pick(alnum[26:52], rng.randint(6, 28)), lambda: pick(alnum[:52], rng.randint(6, 16)),
              lambda: pick(alnum, rng.randint(6, 16))]
@@ -276,7 +375,9 @@ def generated_lines(n: int = GENERATED, seed: int = 11) -> list[tuple[str, list[
                 lambda: "-".join([pick(hexs, 8), pick(hexs, 4), pick(hexs, 4), pick(hexs, 4), pick(hexs, 12)]),
                 lambda: word() + camel(rng.randint(1, 3)), lambda: f"{word()}: {word()}{word()} {word()}", lambda: f"{word()} = {camel(2)}", lambda: f"{word().capitalize()}: {camel(1)}",
                 lambda: word() * rng.randint(3, 60), lambda: pick("etaoinshrdlu", rng.randint(16, 60)), lambda: "-".join(word() for _ in range(6)),
-                lambda: f"https://{word()}.example.org/{word()}/{word()}-{word()}"]
+                lambda: f"https://{word()}.example.org/{word()}/{word()}-{word()}",
+                lambda: f"https://{word()}.example.org/{word()}?id={pick(alnum, rng.randint(8, 20))}&page={rng.randint(1, 99)}",
+                lambda: f"https://{word()}.example.org/{pick(alnum, rng.randint(8, 24))}", lambda: word().upper() + " " + word().upper() + word().upper()]
     names = ["password", "passwd", "secret", "token", "api_key", "apikey", "access_key", "private_key", "client_secret", "bearer", "DB_PASSWORD", "AUTH_TOKEN", "pwd", "AUTH", "passphrase"]
     joins = [" = \"{}\"", ": {}", "={}", "='{}'", "\": \"{}\"", " := {}", " {}"]
     out = []
@@ -293,14 +394,12 @@ def generated_lines(n: int = GENERATED, seed: int = 11) -> list[tuple[str, list[
     return out
 
 
-def _tags(spans: list[tuple[int, int]], secrets: Iterable[tuple[int, int]]) -> list[int]:
-    tags = [0] * len(spans)
+def _tags(start: np.ndarray, end: np.ndarray, secrets: Iterable[tuple[int, int]]) -> np.ndarray:
+    tags = np.zeros(len(start), dtype=np.int64)
     for lo, hi in secrets:
-        first = True
-        for i, (a, b) in enumerate(spans):
-            if a >= lo and b <= hi:
-                tags[i] = 1 if first else 2
-                first = False
+        inside = np.flatnonzero((start >= lo) & (end <= hi))
+        tags[inside] = 2
+        tags[inside[:1]] = 1
     return tags
 
 
@@ -315,46 +414,47 @@ def train_field(docs: DataFrame | None = None, text: str = "text", sample_rows:
         first = [r["h"] for r in some.select("h").distinct().orderBy("h").limit(sample_rows).collect()]
         rows = some.filter(F.col("h") <= first[-1]).dropDuplicates(["h"]).orderBy("h").collect() if first else []
         lines += [(r["t"], secret_values(r["t"])) for r in rows]
+    tokens = Tokens([line for line, _ in lines])
+    numbers = np.stack(list(features(tokens)), axis=1)
+    ends = np.cumsum(tokens.count)
     seqs, gold = [], []
-    for line, secrets in lines:
-        kind = file_feature(line)
-        for a, b in stretches(line):
-            spans, rows_ = features(line, a, b, kind)
-            if spans:
-                seqs.append(rows_)
-                gold.append(_tags(spans, [s for s in secrets if s[0] < b and s[1] > a]))
+    for lo, hi, (_, secrets) in zip(ends - tokens.count, ends, lines):
+        tags = _tags(tokens.start[lo:hi], tokens.end[lo:hi], secrets)
+        for a in range(lo, hi, TRAIN_TOKENS):
+            b = min(a + TRAIN_TOKENS, hi)
+            seqs.append(numbers[a:b])
+            gold.append(tags[a - lo:b - lo])
     return SecretField.train(seqs, gold)
 
 
 def find_spans(texts: Sequence[str | None], model: SecretField) -> list[list[tuple[int, int, int]]]:
     """All spans (start, kind number, end) of each text: base matches, and the field's where no base match lies."""
-    out, seqs, where = [], [], []
-    for i, text in enumerate(texts):
-        text = text or ""
-        out.append(base_spans(text))
-        kind = None
-        for a, b in stretches(text):
-            kind = kind or file_feature(text)
-            spans, rows = features(text, a, b, kind)
-            if spans:
-                seqs.append(rows)
-                where.append((i, spans))
-    for (i, spans), tags in zip(where, model.decode(seqs)):
-        if not tags.any():
-            continue
-        lo = hi = None
-        found = []
-        for (a, b), tag in zip(spans, tags):
-            if tag != 2 and lo is not None:
-                found.append((lo, hi))
-                lo = None
-            if tag == 1:
-                lo = a
-            hi = b
-        if lo is not None:
-            found.append((lo, hi))
-        base = [(s, e) for s, k, e in out[i] if k < 3]
-        for a, b in found:
+    out: list[list[tuple[int, int, int]]] = []
+    lo = 0
+    while lo < len(texts):   # some texts at a time, at least one
+        hi, size = lo + 1, len(texts[lo] or "")
+        while hi < len(texts) and size + len(texts[hi] or "") <= GROUP:
+            size += len(texts[hi] or "")
+            hi += 1
+        out += _spans_of(texts[lo:hi], model)
+        lo = hi
+    return out
+
+
+def _spans_of(texts: Sequence[str | None], model: SecretField) -> list[list[tuple[int, int, int]]]:
+    out = [base_spans(text or "") for text in texts]
+    tokens = Tokens(texts)
+    tags = model.decode(tokens)
+    found: dict[int, list[tuple[int, int]]] = {}
+    marked = np.flatnonzero(tags)
+    # a span begins at tag 1; the tokens of tag 2 that follow it without a gap belong to it
+    heads = np.flatnonzero(tags[marked] == 1)
+    for a, b in zip(heads, np.append(heads[1:], len(marked))):
+        i, j = marked[a], marked[b - 1]
+        found.setdefault(int(tokens.text[i]), []).append((int(tokens.start[i]), int(tokens.end[j])))
+    for i, spans in found.items():
+        base = [(s, e) for s, k, e in out[i]]
+        for a, b in spans:
             while b > a and texts[i][b - 1] in ".,;:!?\"')":
                 b -= 1
             if b - a >= LEAST_LENGTH and not any(a < e and b > s for s, e in base):

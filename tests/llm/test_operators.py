@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,6 +185,45 @@ def test_field_finds_secrets_without_digits():
         assert secrets.find_spans([text], model)[0] == [], text
 
 
+def test_blocks_of_the_chain_give_the_best_tags():
+    """Viterbi over blocks against all tag sequences of short chains, several texts to a chain."""
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        n = int(rng.integers(1, 8))
+        score, first = rng.normal(size=(n, 3)), rng.random(n) < 0.3
+        first[0] = True
+        model = secrets.SecretField(np.zeros((1, 3)), rng.normal(size=(3, 3)), rng.normal(size=3))
+        worth = lambda tags: sum(score[i, t] + (model.begin[t] if first[i] else model.move[tags[i - 1], t]) for i, t in enumerate(tags))
+        want = max(itertools.product(range(3), repeat=n), key=worth)
+        for block in (1, 2, 3, 64):
+            assert tuple(model.best(score, first, block)) == want
+
+
+def test_every_token_is_decoded(monkeypatch):
+    """Tokens against a plain search, whatever the pieces; the field sees a secret far inside a long text."""
+    rows = [t for t in texts() if t] + ["  a\t\tb_1 é;;x \n", " \n ", "a" * 300, "no-spaces-" * 50]
+    plain = [[m.span() for m in re.finditer(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]", t, re.A)] for t in rows]
+    for piece in (1 << 20, 16):
+        monkeypatch.setattr(secrets, "PIECE", piece)
+        k = secrets.Tokens(rows)
+        got = [[] for _ in rows]
+        for i, a, b in zip(k.text, k.start, k.end):
+            got[i].append((a, b))
+        assert got == plain and [int(x) for x in np.flatnonzero(k.first)] == [sum(map(len, plain[:i])) for i in range(len(rows)) if plain[i]]
+    model = secrets.train_field(None)
+    far = "so it is said and done " * 5000
+    value = "ghp_abcDEF0123456789abcDEF0123456789abcd"
+    assert secrets.find_spans([far + value + " " + far, None, ""], model) == [[(len(far), 3, len(far) + len(value))], [], []]
+
+
+def test_field_keeps_ids_of_links():
+    model = secrets.train_field(None)
+    assert secrets.find_spans(["see https://a.example.org/x?id=aZ09bY18cX27dW36 for more"], model) == [[]]
+    whole = "xoxb-123456789012-123456789012-AbCdEfGhIjKlMnOpQrStUvWx"
+    (spans,) = secrets.find_spans([f"use {whole} here"], model)
+    assert spans == [(4, 3, 4 + len(whole))]
+
+
 def test_licenses(spark, empty):
     rows = texts() + ["All rights  reserved. cc-by CC BY general public license", "SPDX-License-Identifier: (MIT OR Apache-2.0) AND ISC\nx",
                       "spdx-license-identifier: AND ("]
