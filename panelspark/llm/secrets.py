@@ -42,7 +42,8 @@ KINDS = ("assign", "access", "hex", "crf")
 SAMPLE_ROWS = 600        # bound on labelled rows taken from the table
 GENERATED = 1200         # generated training lines
 LEAST_LENGTH = 6         # shorter spans of the field are not reported
-TRAIN_TOKENS = 256       # training sequences are windows of this many tokens
+TRAIN_TOKENS = 64        # training sequences are windows of this many tokens
+SAMPLE_WINDOWS = 1200    # bound on the windows of the sampled documents that train the field
 PIECE = 1 << 20          # characters tokenised at a time
 GROUP = 1 << 17          # characters of texts that are decoded together (one text at least)
 BLOCK = 64               # tokens of a block of the chain
@@ -345,7 +346,9 @@ class SecretField:
                 d_move = (pair * both[:, :, None, None]).sum(axis=(0, 1))
                 np.subtract.at(d_move, (want[:, :-1][both], want[:, 1:][both]), 1)
                 d_emit = np.zeros_like(emit)
-                np.add.at(d_emit, ids[mask], np.repeat(d[mask][:, None, :], ids.shape[2], axis=1))
+                used, part = ids[mask].ravel(), np.repeat(d[mask], ids.shape[2], axis=0)
+                for tag in range(3):
+                    d_emit[:, tag] = np.bincount(used, part[:, tag], N_FEATURES)
                 for w, g, grad in ((emit, g_emit, d_emit), (move, g_move, d_move), (begin, g_begin, d[:, 0].sum(axis=0))):
                     grad = grad / n + decay * w
                     g += grad * grad
@@ -404,8 +407,11 @@ def _tags(start: np.ndarray, end: np.ndarray, secrets: Iterable[tuple[int, int]]
 
 
 def train_field(docs: DataFrame | None = None, text: str = "text", sample_rows: int = SAMPLE_ROWS,
-                generated: int = GENERATED) -> SecretField:
-    """Fit the field on generated lines and at most ``sample_rows`` documents (lowest text hashes with a digit)."""
+                generated: int = GENERATED, sample_windows: int = SAMPLE_WINDOWS) -> SecretField:
+    """Fit the field on generated lines and ``sample_windows`` windows of ``sample_rows`` documents at most.
+
+    The documents are those of the lowest text hashes with a digit.
+    """
     lines = generated_lines(generated)
     if docs is not None and sample_rows:
         t = col(text).cast("string")
@@ -417,14 +423,18 @@ def train_field(docs: DataFrame | None = None, text: str = "text", sample_rows:
     tokens = Tokens([line for line, _ in lines])
     numbers = np.stack(list(features(tokens)), axis=1)
     ends = np.cumsum(tokens.count)
-    seqs, gold = [], []
-    for lo, hi, (_, secrets) in zip(ends - tokens.count, ends, lines):
+    own, windows = [], []   # of the generated lines, of the documents
+    for i, (lo, hi, (_, secrets)) in enumerate(zip(ends - tokens.count, ends, lines)):
         tags = _tags(tokens.start[lo:hi], tokens.end[lo:hi], secrets)
         for a in range(lo, hi, TRAIN_TOKENS):
             b = min(a + TRAIN_TOKENS, hi)
-            seqs.append(numbers[a:b])
-            gold.append(tags[a - lo:b - lo])
-    return SecretField.train(seqs, gold)
+            (own if i < generated else windows).append((numbers[a:b], tags[a - lo:b - lo]))
+    # evenly among those with a secret, which may fill half of the bound, and among the others
+    held, free = [w for w in windows if w[1].any()], [w for w in windows if not w[1].any()]
+    room = sample_windows - min(len(held), sample_windows // 2)
+    held, free = ([w[j] for j in np.linspace(0, len(w) - 1, min(len(w), most)).astype(int)] if w else []
+                  for w, most in ((held, sample_windows // 2), (free, room)))
+    return SecretField.train(*zip(*(own + held + free))) if own or held or free else SecretField.train([], [])
 
 
 def find_spans(texts: Sequence[str | None], model: SecretField) -> list[list[tuple[int, int, int]]]:
