@@ -43,3 +43,26 @@ def test_only_the_named_tasks_are_trained(spark, tmp_path, monkeypatch):
     assert trained == ["risk_classification"]
     TK.trained_store(t)
     assert trained[1:] == ["risk_classification", "course_score"]
+
+
+def test_smallest_is_the_stable_order():
+    import numpy as np
+    d = np.random.default_rng(1).integers(0, 6, (200, 40)).astype(float)
+    d[3, 5:] = np.nan
+    d[4] = np.nan
+    d[5, 2] = np.inf
+    for k in (1, 5, 39, 40, 60):
+        assert (P._smallest(d, k) == np.argsort(d, axis=1, kind="stable")[:, :k]).all()
+
+
+def test_rows_without_a_turn_look_for_no_neighbours(spark, monkeypatch):
+    from pyspark.ml.functions import array_to_vector
+    looked, search = [], P._nearest_different
+    monkeypatch.setattr(P, "_nearest_different", lambda x, k, seed: looked.append(x.filter("looks").count()) or search(x, k, seed))
+    df = spark.range(100).select(F.col("id").cast("string").alias("id"), (F.col("id") < 45).cast("int").alias("label"),
+                                 array_to_vector(F.array(F.col("id").cast("double"), F.col("id") * 2.0)).alias("features"))
+    made = P.smote(df, "features", "label", "id", k=3).collect()
+    assert len(made) == 10 and looked == [10]
+    for r in made:
+        at = float(r.id.split("-")[0])
+        assert abs(r.features[0] - at) <= 3 and abs(r.features[1] - 2 * r.features[0]) < 1e-9
