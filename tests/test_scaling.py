@@ -45,6 +45,25 @@ def test_only_the_named_tasks_are_trained(spark, tmp_path, monkeypatch):
     assert trained[1:] == ["risk_classification", "course_score"]
 
 
+def test_grid_search_prepares_every_fold_once(spark, monkeypatch):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    from pyspark.ml import Pipeline
+    df = spark.range(300).select((F.col("id") % 3).cast("int").alias("fold"), F.when(F.col("id") % 7 > 0, (F.col("id") * 37 % 101).cast("double")).alias("x"),
+                                 (F.col("id") % 5).cast("string").alias("c"), (F.col("id") * 37 % 101 + F.col("id") % 5 * 9 > 60).cast("double").alias("label"))
+    fits, fit = [], P.ExactMedianImputer._fit
+    monkeypatch.setattr(P.ExactMedianImputer, "_fit", lambda self, x: fits.append(1) or fit(self, x))
+    lr = LogisticRegression(maxIter=20)
+    got = TR.grid_search(df, P.prep_stages(["x"], ["c"]), lr, {"regParam": [0.0, 0.1, 10.0]}, "classification", k=3)
+    assert len(fits) == 4   # three folds and all rows, whatever the grid
+    grid = ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.1, 10.0]).build()
+    want = CrossValidator(estimator=Pipeline(stages=[*P.prep_stages(["x"], ["c"]), lr]), estimatorParamMaps=grid, evaluator=TR.F1MacroEvaluator(),
+                          foldCol="fold", numFolds=3, seed=42).fit(df)
+    assert all(abs(a - b) < 1e-9 for a, b in zip(got.avgMetrics, want.avgMetrics)) and len(got.avgMetrics) == 3
+    assert [m[lr.regParam] for m in got.getEstimatorParamMaps()] == [0.0, 0.1, 10.0]
+    assert got.bestModel.transform(df).filter("prediction = label").count() == want.bestModel.transform(df).filter("prediction = label").count()
+
+
 def test_smallest_is_the_stable_order():
     import numpy as np
     d = np.random.default_rng(1).integers(0, 6, (200, 40)).astype(float)
