@@ -26,26 +26,30 @@ def _score_update_inputs(t):
     return base, u1, u2, ENR_KEY
 
 
+def _arrive(spark, name, updates, table, schema, apply, split, rejects):
+    """Every frame of ``updates`` arrives as new files of one folder, written by all tasks, and is one batch of the same stream."""
+    folder, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-ckpt")
+    for u in updates:
+        u.write.mode("append").parquet(folder)
+        ST.stream_updates(ST.file_stream(spark, folder, u.schema), table, schema, apply, checkpoint, split, rejects).awaitTermination()
+
+
 def _stream_scores(t):
-    """(table, schema, rejects folder, key) after three files of updates, one per trigger; the third one is out of range."""
+    """(table, schema, rejects folder, key) after three folders full of updates, one per trigger; the third one is out of range."""
     spark = t.spark
     base, u1, u2, key = _score_update_inputs(t)
     bad = u1.filter(F.col("l_linenumber") == 1).withColumns({"exam_score": F.col("exam_score") + 71, "seq": F.lit(9)})
-    upd_dir = scratch_path(spark, "score-updates")
-    for u in (u1, u2, bad):
-        u.coalesce(1).write.mode("append").parquet(upd_dir)
     table = KeyedTable(spark, scratch_path(spark, "enr-table"), key)
     table.create(base)
     rejects = scratch_path(spark, "score-rejects")
-    q = ST.stream_updates(ST.file_stream(spark, upd_dir, u1.schema, max_files=1), table, base.schema,
-                          lambda cur, b: Q.apply_score_updates(cur, b, key), scratch_path(spark, "q1-ckpt"), Q.split_score_updates, rejects)
-    q.awaitTermination()
+    _arrive(spark, "score-updates", (u1, u2, bad), table, base.schema, lambda cur, b: Q.apply_score_updates(cur, b, key),
+            Q.split_score_updates, rejects)
     return table, base.schema, rejects, key
 
 
 @query("stream_score_updates")
 def stream_score_updates(t):
-    """Q1: score updates arrive as a file stream, one file per trigger, and are upserted batch by batch;
+    """Q1: score updates arrive as a file stream, one set of files per trigger, and are upserted batch by batch;
     a batch rewrites the key buckets that it touches, updates out of range are rejected."""
     table, schema, _, key = _stream_scores(t)
     return table.read(schema).select(*key, r6("ca_score").alias("ca_score"), "exam_score", "total_score", "grade", "grade_point",
@@ -69,15 +73,10 @@ def stream_attendance_updates(t):
     spark = t.spark
     base, up = attendance_inputs(t)
     bad = up.withColumns({"sessions_held": F.lit(-1), "seq": F.lit(2)})
-    upd_dir = scratch_path(spark, "attendance-updates")
-    for u in (up, bad):
-        u.coalesce(1).write.mode("append").parquet(upd_dir)
     table = KeyedTable(spark, scratch_path(spark, "attendance-table"), ENR_KEY)
     table.create(base)
-    q = ST.stream_updates(ST.file_stream(spark, upd_dir, up.schema, max_files=1), table, base.schema,
-                          lambda cur, b: Q.apply_attendance_updates(cur, b, ENR_KEY), scratch_path(spark, "q1a-ckpt"),
-                          Q.split_attendance_updates, scratch_path(spark, "attendance-rejects"))
-    q.awaitTermination()
+    _arrive(spark, "attendance-updates", (up, bad), table, base.schema, lambda cur, b: Q.apply_attendance_updates(cur, b, ENR_KEY),
+            Q.split_attendance_updates, scratch_path(spark, "attendance-rejects"))
     return table.read(base.schema).select(*ENR_KEY, "sessions_held", "sessions_attended", r6("attendance_rate").alias("attendance_rate"))
 
 

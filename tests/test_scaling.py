@@ -85,3 +85,25 @@ def test_rows_without_a_turn_look_for_no_neighbours(spark, monkeypatch):
     for r in made:
         at = float(r.id.split("-")[0])
         assert abs(r.features[0] - at) <= 3 and abs(r.features[1] - 2 * r.features[0]) < 1e-9
+
+
+def test_updates_are_written_and_upserted_by_many_tasks(spark, monkeypatch):
+    import glob
+    from panelspark.plans.registry import load_all
+    load_all()
+    from panelspark.plans import catalog_streams as CS
+    from panelspark.session import scratch_path
+    from panelspark.sources.versions import KeyedTable
+    folders = []
+    monkeypatch.setattr(CS, "scratch_path", lambda s, name: folders.append(scratch_path(s, name)) or folders[-1])
+    base = spark.range(0, 400, 1, 4).select("id", F.lit(0).alias("v"))
+    table = KeyedTable(spark, scratch_path(spark, "kept"), ["id"])
+    table.create(base)
+    sets = [base.withColumn("v", F.lit(n)).filter(F.col("id") % 2 == n % 2) for n in (1, 2, 3)]
+    merge = lambda now, new: now.join(new, "id", "left_anti").unionByName(new)
+    split = lambda b: (b.filter("v < 3"), b.filter("v >= 3"))
+    rejects = scratch_path(spark, "set-aside")
+    CS._arrive(spark, "many", sets, table, base.schema, merge, split, rejects)
+    assert len(glob.glob(f"{folders[0]}/*.parquet")) == 12
+    assert {(r.v, r["count"]) for r in table.read(base.schema).groupBy("v").count().collect()} == {(1, 200), (2, 200)}
+    assert [r.batch for r in spark.read.parquet(rejects).select("batch").distinct().collect()] == [2]
