@@ -107,3 +107,16 @@ def test_updates_are_written_and_upserted_by_many_tasks(spark, monkeypatch):
     assert len(glob.glob(f"{folders[0]}/*.parquet")) == 12
     assert {(r.v, r["count"]) for r in table.read(base.schema).groupBy("v").count().collect()} == {(1, 200), (2, 200)}
     assert [r.batch for r in spark.read.parquet(rejects).select("batch").distinct().collect()] == [2]
+
+
+def test_records_of_one_line_are_not_shuffled(spark, tmp_path):
+    from panelspark.sources import files as FS
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text('x,y\n1,"two\n\n""lines"""\r\n\n2,b\r\n3,"c, d"\n')
+    (folder / "b.csv").write_text("\nx,y\n4,e\n")
+    rows = FS.read_csv_strings(spark, str(folder), ["x", "y"]).orderBy("line_no").collect()
+    assert [(r.x, r.y, r.line_no) for r in rows] == [("1", 'two\n\n"lines"', 0), ("2", "b", 1), ("3", "c, d", 2), ("4", "e", 3)]
+    (folder / "a.csv").write_text("x,y\n1,a\n")
+    plain = FS.read_csv_strings(spark, str(folder), ["x", "y"], line_col=None)
+    assert sorted(r.x for r in plain.collect()) == ["1", "4"] and "Exchange" not in plain._jdf.queryExecution().executedPlan().toString()
