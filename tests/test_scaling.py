@@ -87,6 +87,18 @@ def test_rows_without_a_turn_look_for_no_neighbours(spark, monkeypatch):
         assert abs(r.features[0] - at) <= 3 and abs(r.features[1] - 2 * r.features[0]) < 1e-9
 
 
+def test_medians_and_correlations_read_their_input_once(spark, monkeypatch):
+    import panelspark.session as S
+    cuts, cut = [], S.cut_lineage
+    monkeypatch.setattr(S, "cut_lineage", lambda df, name="cut": cuts.append(name) or cut(df, name))
+    df = spark.range(10).select(F.col("id").cast("double").alias("a"), (F.col("id") * 2.0).alias("b"))
+    assert {r.r for r in stats.correlation_long(df, ["a", "b"]).collect()} == {1.0} and cuts == ["correlated"]
+    from panelspark.plans.catalog_models import impute_medians
+    from panelspark.sources.tables import Tables
+    impute_medians(Tables(spark, "/root/testdata/sf0.001")).collect()
+    assert "median-columns" in cuts
+
+
 def test_updates_are_written_and_upserted_by_many_tasks(spark, monkeypatch):
     import glob
     from panelspark.plans.registry import load_all
