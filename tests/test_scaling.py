@@ -85,6 +85,9 @@ def test_rows_without_a_turn_look_for_no_neighbours(spark, monkeypatch):
     for r in made:
         at = float(r.id.split("-")[0])
         assert abs(r.features[0] - at) <= 3 and abs(r.features[1] - 2 * r.features[0]) < 1e-9
+    twice = df.filter("id < 60").unionByName(df.filter("id < 60"))
+    assert P.smote(twice.unionByName(df.filter("id >= 60")), "features", "label", "id", k=3).count() == 0
+    assert P.smote(twice.unionByName(df.withColumn("label", F.lit(0))), "features", "label", "id", k=3).count() == 40
 
 
 def test_medians_and_correlations_read_their_input_once(spark, monkeypatch):
