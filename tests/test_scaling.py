@@ -119,7 +119,7 @@ def test_updates_are_written_and_upserted_by_many_tasks(spark, monkeypatch):
     split = lambda b: (b.filter("v < 3"), b.filter("v >= 3"))
     rejects = scratch_path(spark, "set-aside")
     CS._arrive(spark, "many", sets, table, base.schema, merge, split, rejects)
-    assert len(glob.glob(f"{folders[0]}/*.parquet")) == 12
+    assert len(glob.glob(f"{folders[0].removeprefix('file:')}/*.parquet")) == 12
     assert {(r.v, r["count"]) for r in table.read(base.schema).groupBy("v").count().collect()} == {(1, 200), (2, 200)}
     assert [r.batch for r in spark.read.parquet(rejects).select("batch").distinct().collect()] == [2]
 
