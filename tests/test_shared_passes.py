@@ -40,7 +40,8 @@ def test_medians_of_frames_are_those_of_each_frame(spark, keep):
 
 def test_preps_of_frames_are_those_of_each_frame(spark):
     df, numeric, categorical = rows(spark), ["a", "crowded", "rising"], ["s", "flag"]
-    got = P.fit_preps(df, numeric, categorical, ["fold", "early"], {f: h for f, h in FRAMES.items() if f != "none"})
+    got = P.fit_preps(df, numeric, categorical, ["fold", "early"], {f: h for f, h in FRAMES.items() if f != "none"},
+                      {f: df.filter(own(f)) for f in FRAMES if f != "none"})
     for f, model in got.items():
         want = Pipeline(stages=P.prep_stages(numeric, categorical)).fit(df.filter(own(f)))
         a, b = ({r.id: r.v for r in m.transform(df).select("id", vector_to_array("features").alias("v")).collect()} for m in (model, want))
