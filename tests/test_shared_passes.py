@@ -1,6 +1,10 @@
 """Steps that several splits or tasks have in common are done once for all of them."""
 
 import math
+import threading
+import time
+from concurrent.futures import ThreadPoolExecutor
+from types import SimpleNamespace
 
 import pytest
 from pyspark.ml import Pipeline
@@ -63,3 +67,38 @@ def test_tasks_of_a_period_share_their_rows(spark, tmp_path, monkeypatch):
     t = Tables(spark, str(tmp_path))
     frames = [TK.training_frame(t, task)[0] for task in TK.PERIOD_TASKS]
     assert made == [False] and frames[0].count() == frames[1].count() == df.count()
+
+
+def test_tasks_are_trained_side_by_side_and_registered_in_order(spark, tmp_path, monkeypatch):
+    registered, all_three = [], threading.Barrier(3, timeout=20)
+    monkeypatch.setattr(TK, "ModelStore", lambda *_: SimpleNamespace(registry=lambda: spark.createDataFrame([], "task string"), register=registered.append))
+    monkeypatch.setattr(TK, "train_task", lambda t, task, grids: all_three.wait() >= 0 and task)
+    TK.trained_store(Tables(spark, str(tmp_path)))
+    assert registered == list(TK.TASKS)
+
+
+def test_what_is_made_once_is_awaited_by_other_threads(spark, tmp_path):
+    made, t = [], Tables(spark, str(tmp_path))
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda _: TK._once(t, ("x",), lambda: time.sleep(0.2) or made.append(1) or len(made)), range(4)))
+    assert got == [1, 1, 1, 1]
+
+
+def test_holdout_reads_the_split_that_the_search_prepared(spark, tmp_path, monkeypatch):
+    from panelspark.plans import catalog_features
+    i = F.col("id")
+    df = spark.range(240).select((i % 60).alias("student_id"), (2000 + F.floor(i / 60)).cast("int").alias("session"), F.lit(1).alias("semester"),
+                                 F.when(i % 7 > 0, i * 37 % 101 / 20.0).alias("prior_cgpa"), (i * 37 % 101 + i % 5 * 3 < 35).cast("int").alias("risk_label"))
+    monkeypatch.setattr(TK, "_panel", lambda t, ongoing: FeatureSet(df, ("prior_cgpa",), ("risk_label",), ("student_id", "session", "semester")))
+    groups = spark.range(60).select(i.alias("student_id"), *[(i % 2).cast("string").alias(c) for c in TK.GROUP_COLUMNS])
+    monkeypatch.setattr(catalog_features, "panel_inputs", lambda t: (None, None, groups))
+    fits, fit = [], P.ExactMedianImputer._fit
+    monkeypatch.setattr(P.ExactMedianImputer, "_fit", lambda self, x: fits.append(1) or fit(self, x))
+    t = Tables(spark, str(tmp_path))
+    TK.train_task(t, "risk_classification", {"decision_tree": {"max_depth": [3]}})
+    for use_smote in (True, False):
+        row = {"algorithm": "decision_tree", "use_smote": use_smote, "hyperparameters": {"max_depth": "3"}}
+        store = SimpleNamespace(active_row=lambda task: row)
+        got, want = (sorted(TK.holdout_predictions(x, "risk_classification", store)[0].collect()) for x in (t, Tables(spark, str(tmp_path))))
+        assert got == want and len(got) == 60
+    assert len(fits) == 2   # the tables without a search only
