@@ -102,3 +102,11 @@ def test_holdout_reads_the_split_that_the_search_prepared(spark, tmp_path, monke
         got, want = (sorted(TK.holdout_predictions(x, "risk_classification", store)[0].collect()) for x in (t, Tables(spark, str(tmp_path))))
         assert got == want and len(got) == 60
     assert len(fits) == 2   # the tables without a search only
+
+
+@pytest.mark.parametrize("task", TK.PERIOD_TASKS)
+def test_large_tables_have_as_many_folds_as_small_ones(spark, tmp_path, monkeypatch, task):
+    df = spark.range(15_000).select((F.col("id") % 3000).alias("student_id"), F.col("id").alias("prior_cgpa"), (F.col("id") % 2).alias("risk_label"))
+    monkeypatch.setattr(TK, "_panel", lambda t, ongoing: FeatureSet(df, ("prior_cgpa",), ("risk_label",), ("student_id",)))
+    folded, _, _, k = TK.training_frame(Tables(spark, str(tmp_path)), task)
+    assert k == 5 and sorted((r["fold"], r["count"]) for r in folded.groupBy("fold").count().collect()) == [(i, 3000) for i in range(5)]
