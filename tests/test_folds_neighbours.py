@@ -142,3 +142,25 @@ def test_correlations_equal_pairwise_pearson(spark):
             pair = np.array([(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None])
             assert abs(got[a, b] - np.corrcoef(pair.T)[0, 1]) < 2e-6
     assert {v for (a, b), v in got.items() if "k" in (a, b) or "e" in (a, b)} == {0.0}
+
+
+def test_nearest_rows_are_exact_across_groups_and_chunks(spark, monkeypatch):
+    monkeypatch.setattr(P, "LEAF_ROWS", 16)
+    monkeypatch.setattr(P, "PROBES", 2)
+    monkeypatch.setattr(P, "CHUNK_BYTES", 5 * 32 * 8 * 30)   # five groups at a time
+    rng = np.random.default_rng(4)
+    a = np.vstack([np.array(vectors(700, 30, 3)), rng.integers(0, 2, (200, 30)) * 1.0, rng.normal(size=(3, 30)) * 1e4])   # ties and outliers, too
+    a = np.unique(a, axis=0)
+    got = {r.id: r.neighbours for r in P.nearest_rows(frame(spark, a.tolist()), "id", "x", 5).collect()}
+    for i in range(len(a)):
+        d = ((a[i] - a) ** 2).sum(1)
+        want = sorted((x, str(j)) for j, x in enumerate(d) if j != i)[:5]
+        assert [n.id for n in got[str(i)]] == [j for _, j in want] and np.allclose([n.d for n in got[str(i)]], [x for x, _ in want])
+
+
+def test_rows_with_values_that_are_no_numbers_are_the_last_neighbours(spark):
+    nan = float("nan")
+    rows = [("a", [0.0, 0.0], True), ("b", [1.0, 0.0], True), ("c", [nan, 0.0], True), ("d", [0.0, nan], False)]
+    df = spark.createDataFrame(rows, "id string, x array<double>, looks boolean")
+    got = {r.id: [n.id for n in r.best] for r in P._nearest_different(df, 2, 42).collect()}
+    assert got == {"a": ["b", "c"], "b": ["a", "c"], "c": ["a", "b"]}
