@@ -110,3 +110,22 @@ def test_large_tables_have_as_many_folds_as_small_ones(spark, tmp_path, monkeypa
     monkeypatch.setattr(TK, "_panel", lambda t, ongoing: FeatureSet(df, ("prior_cgpa",), ("risk_label",), ("student_id",)))
     folded, _, _, k = TK.training_frame(Tables(spark, str(tmp_path)), task)
     assert k == 5 and sorted((r["fold"], r["count"]) for r in folded.groupBy("fold").count().collect()) == [(i, 3000) for i in range(5)]
+
+
+def test_a_split_is_deleted_once_it_is_fitted_on(spark, monkeypatch):
+    import os
+    folders, there, cut, fit = [], [], TR.cut_lineage, TR.estimator
+    monkeypatch.setattr(TR, "cut_lineage", lambda df, name="cut": (lambda x: folders.append((name, x.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0])) or x)(cut(df, name)))
+
+    def estimator(*args):
+        there.append({f for n, f in folders if n.startswith("split-") and os.path.exists(f.removeprefix("//"))})
+        return fit(*args)
+
+    monkeypatch.setattr(TR, "estimator", estimator)
+    i = F.col("id")
+    df = rows(spark).limit(400).withColumns({"session": (i % 4).cast("int"), "y": (i % 5 == 0).cast("int"), "fold": (i % 4).cast("int")})
+    kept: dict = {}
+    got = TR.search(df, "t", "classification", ["a"], ["s"], "y", "session", ["id"], 4, {"decision_tree": {"max_depth": [2]}}, kept=kept)
+    assert len(got) == 2 and kept["temporal"].train[True].count() > 300 and max(map(len, there)) <= 4   # two splits of two tables each
+    left = {n for n, f in folders if os.path.exists(f.removeprefix("//"))}
+    assert left == {"split-temporal", "split-temporal-test"}
